@@ -48,4 +48,30 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_chat_format": op8_chat_format, "op10_quality_rules": op10_quality_rules, "op6_mix_sources": op6_mix_sources}
+def op3_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from harrow.llm import bpe
+
+    encoded = bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lose a passage: doc_id, spans in characters of the old text, and what stays."""
+    from harrow.llm import substrings
+
+    done = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return done.select("doc_id", F.size("removed").alias("n_spans"), removed.alias("removed_chars"), F.length("text").cast("long").alias("kept_chars"), "removed", "text").where(
+        "n_spans > 0"
+    )
+
+
+QUERIES = {
+    "op3_bpe_encode": op3_bpe_encode,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op6_mix_sources": op6_mix_sources,
+    "op8_chat_format": op8_chat_format,
+    "op10_quality_rules": op10_quality_rules,
+}
