@@ -68,10 +68,17 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harrow.llm import jaccard
+
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_bpe_encode": op3_bpe_encode,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op8_chat_format": op8_chat_format,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality_rules": op10_quality_rules,
 }
