@@ -74,10 +74,26 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harrow.llm import ann
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harrow.llm import licenses
+
+    scanned = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return scanned.select("doc_id", "license", F.round("score", 6).alias("score"), F.size("finds").cast("long").alias("n_finds"))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op3_bpe_encode": op3_bpe_encode,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_mix_sources": op6_mix_sources,
+    "op7_one_bit_neighbours": op7_one_bit_neighbours,
     "op8_chat_format": op8_chat_format,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality_rules": op10_quality_rules,
