@@ -26,8 +26,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
-    heads = jaccard.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").select(*COLUMNS)
+    heads = jaccard.jaccard_components(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    heads = Scratch(spark, "heads").keep(heads, "heads")
+    kept = docs.join(heads.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    # rows that repeat a whole document are copies too; their texts only move where there are such rows
+    return kept if heads.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
