@@ -88,10 +88,25 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", "license", F.round("score", 6).alias("score"), F.size("finds").cast("long").alias("n_finds"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harrow.llm import toxicity
+
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, held=0)
+    return scored.select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harrow.llm import quality
+
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held=1)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_toxicity": op2_toxicity,
     "op3_bpe_encode": op3_bpe_encode,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_line_quality": op5_line_quality,
     "op6_mix_sources": op6_mix_sources,
     "op7_one_bit_neighbours": op7_one_bit_neighbours,
     "op8_chat_format": op8_chat_format,
