@@ -41,7 +41,7 @@ def matches_any(value: Column, patterns: tuple[str, ...]) -> Column:
             usable.append(f"(?:{p})")
         except re.error:
             usable.append(re.escape(p))
-    return value.rlike("(?i)" + "|".join(usable)) if usable else F.lit(False)
+    return value.rlike("(?iu)" + "|".join(usable)) if usable else F.lit(False)
 
 
 def extract_links(pages: DataFrame, html_col: str = "html", base_col: str | None = None) -> DataFrame:
@@ -58,8 +58,11 @@ def extract_links(pages: DataFrame, html_col: str = "html", base_col: str | None
     links = found.select(*rest, "ord", tx.decode_entities(F.col("a.href")).alias("href"), tx.html_to_text(F.col("a.body")).alias("link_text"))
     if base_col is None:
         return links
-    absolute = F.col("href").rlike("(?i)^https?://")
-    return links.withColumn("url", F.when(absolute, F.col("href")).otherwise(urls.resolve_url(F.col("href"), F.col(base_col))))
+    absolute, rooted = F.col("href").rlike("(?i)^https?://"), F.col("href").rlike("^/(?!/)")
+    site = F.regexp_extract(F.col(base_col), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    return links.withColumn(
+        "url", F.when(absolute, F.col("href")).when(rooted & (site != ""), F.concat(site, F.col("href"))).otherwise(urls.resolve_url(F.col("href"), F.col(base_col)))
+    )
 
 
 def link_reason(url: Column, text: Column, source_host: Column, rules: LinkRules, trusted: Column | None = None) -> Column:

@@ -12,8 +12,10 @@ def label_table(catalog: DataFrame, id_col: str, labels: Column) -> DataFrame:
 
 
 def _grams(text: Column, size: int) -> Column:
-    n = F.length(text) - size + 1
-    return F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+    """Distinct substrings of so many characters, by way of an array of characters: linear in the text."""
+    of = lambda chars: F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(size)), ""))
+    grams = F.element_at(F.transform(F.array(F.split(text, "")), of), 1)
+    return F.when(F.length(text) >= size, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
 def best_match(values: DataFrame, value_col: str, labels: DataFrame, shortest: int = 4, row_cols: list[str] | None = None) -> DataFrame:
