@@ -1,3 +1,92 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express.
+
+Without SQL: op2, op5 (fitted models: held-out accuracy), op3 (BPE: the tokenizers library),
+op4 (rolling hash: planted passages), op6 (its order comes from a hash that DuckDB lacks:
+weights, passes and budgets are tested).
+"""
+
+from __future__ import annotations
+
+from harrow.llm.chat import TEMPLATE
+from harrow.llm.license_texts import TEMPLATES
+from harrow.llm.rules import Rules
 
 ORACLES: dict[str, str] = {}
+_SPACE = "[ \\t\\n\\x0B\\f\\r]+"
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+
+def _chat() -> str:
+    escaped = "replace({}, '~', '~~')"
+    for control in TEMPLATE.controls:
+        escaped = f"replace({escaped}, '{control}', '{control[0]}~{control[1:]}')"
+    marks = len(TEMPLATE.turn) + len(TEMPLATE.body) + len(TEMPLATE.end) + 1
+    return f"""with m as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+        union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+    g as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns, coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') as loss,
+        sum({marks} + length({escaped.format('role')}) + length({escaped.format('text')}))::bigint as formatted_chars from m group by conv_id)
+    select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from g"""
+
+
+ORACLES["op8_chat_format"] = _chat()
+
+
+def _rules() -> str:
+    rules = Rules()
+    level = f"ln({rules.delta} / {len(rules.ratios) * len(rules.strata)})"
+    rate = rules.risk / len(rules.ratios)
+    named = ", ".join(f"'{s}'" for s in rules.strata if s != "other")
+    ratios = " union all ".join(f"select doc_id, stratum, '{r}' as rule, {a}::double / greatest({b}, 1) as v from f" for r, (a, b) in rules.ratios.items())
+    grid = ", ".join(f"({j}, {c}::double)" for j, c in enumerate(rules.grid))
+    return f"""with w as (select doc_id, lang, coalesce(text, '') as t, {_WORDS} as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^ \\t\\n\\x0B\\f\\r]')) as l from documents),
+    places as (select doc_id, unnest(range(1, len(w) - 1)) as i, w from w where len(w) >= 3),
+    win as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as n from places),
+    rep as (select doc_id, count(*) as n from (select distinct doc_id, i + unnest([0, 1, 2]) as j from win where n >= 2) group by doc_id),
+    c as (select doc_id, case when lang in ({named}) then lang else 'other' end as stratum, len(w)::bigint as n_words, length(regexp_replace(t, '{_SPACE}', '', 'g'))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols,
+        length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g'))::bigint as n_upper, length(regexp_replace(t, '[^!?=_~^{{}}\\[\\]\\\\/@+]+', '', 'g'))::bigint as n_marks, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words
+        from w left join rep using (doc_id)),
+    f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c),
+    ratio as ({ratios}),
+    good as (select doc_id, min(quality) >= 1 as good from labels where quality is not null group by doc_id),
+    fit as (select r.*, g.good from ratio r join good g using (doc_id) join f using (doc_id) where not f.base_failed),
+    n as (select stratum, rule, count(*) filter (good) as n_good, count(*) filter (not good) as n_bad from fit group by all),
+    k as (select fit.stratum, fit.rule, j, cutoff, count(*) filter (good and v > cutoff) as kg, count(*) filter (not good and v > cutoff) as kb from fit, (values {grid}) g(j, cutoff) group by all),
+    tested as (select k.*, n_good, n_bad, kg <= n_good * {rate} and ln(list_sum(list_transform(range(0, kg + 1), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({rate}) + (n_good - i) * ln(1 - {rate}))))) <= {level} as safe
+        from k join n using (stratum, rule) where kg <= n_good),
+    ends as (select stratum, rule, min(j) filter (not safe) as e from tested group by all),
+    useful as (select t.*, kb / greatest(n_bad, 1) - kg / greatest(n_good, 1) as gain from tested t join ends using (stratum, rule) where (e is null or j < e) and kb > 0),
+    best as (select stratum, rule, cutoff from (select *, row_number() over (partition by stratum, rule order by round(gain, 9) desc, j) as r from useful where gain > 0) where r = 1),
+    hit as (select ratio.doc_id, list(ratio.rule order by ratio.rule) as failed from ratio join best using (stratum, rule) where v > cutoff group by ratio.doc_id)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and hit.failed is null as kept, coalesce(array_to_string(hit.failed, ','), '') as failed_rules from f left join hit using (doc_id)"""
+
+
+ORACLES["op10_quality_rules"] = _rules()
+
+ORACLES["op9_ngram_jaccard"] = f"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+    s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0)),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    shared as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+    links as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
+    edges as (select a, b from links union select b, a from links),
+    reach(a, b) as (select doc_id, doc_id from w union select r.a, e.b from reach r join edges e on e.a = r.b)
+    select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r.b) as component_id from w left join n using (doc_id) join reach r on r.a = w.doc_id group by all"""
+
+ORACLES["op7_one_bit_neighbours"] = """with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    d as (select q.vec_id as query_id, v.vec_id, list_distance(q.e, v.e) as score from v q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0)
+    select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score, vec_id) as rank from d) where rank <= 10"""
+
+
+def _licenses() -> str:
+    values = ", ".join(f"('{t[0]}', '{t[1]}', '{t[2].replace(chr(39), chr(39) * 2)}')" for t in TEMPLATES)
+    normal = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""with t as (select template, license, {grams} as g from (select template, license, string_split({normal.format('wording')}, ' ') as w from (values {values}) v(template, license, wording))),
+    seg as (select distinct doc_id, s from (select doc_id, unnest(list_concat([text], list_concat(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), string_split(text, chr(10))))) as s from documents where text is not null)),
+    b as (select doc_id, {grams} as g from (select doc_id, string_split({normal.format('s')}, ' ') as w from seg where regexp_matches(s, '(?i)licen|mit|copy|warrant|permi|source|cc')) where len(w) >= 2),
+    d as (select doc_id, template, license, 2.0::double * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) as score from b, t where len(b.g) <= 1.5 * len(t.g) and len(t.g) <= 1.5 * len(b.g)),
+    f as (select doc_id, template, license, max(score) as score from d where score >= 0.8 group by all),
+    o as (select *, row_number() over (partition by doc_id order by score desc, template) as r, count(*) over (partition by doc_id) as n from f)
+    select documents.doc_id, license, round(score, 6) as score, coalesce(n, 0) as n_finds from documents left join o on o.doc_id = documents.doc_id and o.r = 1"""
+
+
+ORACLES["op1_license_scan"] = _licenses()

@@ -39,7 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from harrow.llm import rules
 
     ruled = rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join(F.array_sort("failed_rules"), ",").alias("failed_rules"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
