@@ -11,7 +11,8 @@ A document is the set of hashes of its distinct 5-word shingles. Two documents l
    unrelated documents of a size than a link allows, until there are more groups than an
    R-tree can separate. See the README.)
 3. Each block ties its members to its smallest and to the member before it in order of
-   size; those pairs are verified, and components taken.
+   size; pairs tied in enough blocks are verified, and components taken. (That only spares
+   work: pairs that aren't tried here are tried in step 4.)
 4. Blocks that still hold several components are joined in full: shingles are hashed into
    GROUPS groups, the group counts are points, points are packed into an R-tree, and pairs
    of nodes whose upper corners allow too little overlap (summed coordinate minima) are
@@ -30,6 +31,7 @@ should name one text.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +39,13 @@ from harrow.llm.components import components
 from harrow.scratch import Scratch
 
 WIDTH = 5
+#: Groups of a point by size of the set: unrelated sets of n shingles differ enough from about 0.1 n groups on.
 GROUPS = 128
+TIERS = ((1024, GROUPS), (8192, 1024), (1 << 62, 4096))
+#: A block's tie counts from so large a share of the smaller member's head on.
+SUPPORT = 0.2
+#: Words of 64 bits in the filter for the texts to verify (8 MB, whatever the corpus).
+FILTER_WORDS = 1 << 20
 #: A shingle in so many documents of one Python batch is a candidate for the frequent list.
 BATCH_FREQUENT = 4
 #: Frequent shingles: at least so many documents; the list is bounded, beyond it the order is by hash alone.
@@ -69,8 +77,14 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def counts(hashes: np.ndarray) -> np.ndarray:
-    """The point of a set: how many of its hashes fall into each group."""
-    return np.minimum(np.bincount((hashes >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS), 65535).astype(np.uint16)
+    """The point of a set: how many of its hashes fall into each group. The finer tiers fold onto the coarser."""
+    groups = next(g for most, g in TIERS if len(hashes) < most)
+    return np.minimum(np.bincount((hashes >> np.uint64(40)).astype(np.int64) % groups, minlength=groups), 65535).astype(np.uint16)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """A point of a multiple of so many groups, on the coarser groups."""
+    return point.astype(np.int64).reshape(-1, groups).sum(0)
 
 
 def prefix(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -128,10 +142,33 @@ def _sets_of(frequent):
     return run
 
 
-def _whole_sets(batches):
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A bit for each id, gathered as at most FILTER_WORDS words; other ids may share a bit."""
+    import pyarrow as pa
+
+    def bits(batches):
+        for batch in batches:
+            at = (_mixed(batch.column(0).to_numpy()) % np.uint64(FILTER_WORDS * 64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bit"])
+
+    words = ids.mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(FILTER_WORDS, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _whole_sets(batches, bits):
     import pyarrow as pa
 
     for whole in batches:
+        whole = whole.filter(pa.compute.is_valid(whole.column(0)))
+        at = (_mixed(whole.column(0).to_numpy()) % np.uint64(FILTER_WORDS * 64)).astype(np.int64)
+        whole = whole.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "hashes"])
@@ -214,8 +251,14 @@ def _block_pairs(batches):
             comp = np.array([m["component"] for m in members], np.int64)
             side = np.array([m["side"] for m in members], np.int8)
             sizes = np.array([m["n"] for m in members], np.int64)
-            points = np.frombuffer(b"".join(m["point"] for m in members), np.uint16).reshape(len(ids), GROUPS)
-            p, q = RTree(sizes, points).pairs(comp)
+            fine = [np.frombuffer(m["point"], np.uint16) for m in members]
+            p, q = RTree(sizes, np.stack([folded(f, GROUPS) for f in fine])).pairs(comp)
+            close = np.ones(len(p), bool)
+            for i, (x, y) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
+                groups = min(len(fine[x]), len(fine[y]))
+                if groups > GROUPS:
+                    close[i] = _can_link(sizes[x], sizes[y], np.minimum(folded(fine[x], groups), folded(fine[y], groups)).sum())
+            p, q = p[close], q[close]
             if side.max() > 0:  # two pieces of a large block: pairs inside a piece are found elsewhere
                 across = side[p] != side[q]
                 p, q = p[across], q[across]
@@ -226,8 +269,9 @@ def _block_pairs(batches):
 
 def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Links among the pairs (a, b): the whole sets of their documents are compared."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = scratch.keep(texts.join(ids, "id", "left_semi").select("id", "text").mapInArrow(_whole_sets, "id long, hashes binary"), f"{name}-sets")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    sent = pairs.sparkSession.sparkContext.broadcast(_filter_of(ids))
+    sets = scratch.keep(texts.mapInArrow(lambda batches: _whole_sets(batches, sent.value), "id long, hashes binary"), f"{name}-sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
     links = scratch.keep(both.mapInArrow(_verified, "a long, b long").distinct(), f"{name}-links")
@@ -263,8 +307,9 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     ).where("m > 1")
     blocks = scratch.keep(blocks, "blocks")
     near = lambda other: (4 * F.least("n", f"{other}.n") >= 3 * F.greatest("n", f"{other}.n")) & (F.col("id") != F.col(f"{other}.id"))
-    star = lambda other: blocks.where(near(other)).select(F.least("id", f"{other}.id").alias("a"), F.greatest("id", f"{other}.id").alias("b"))
-    tried = scratch.keep(star("least").unionByName(star("prior")).distinct(), "star")
+    star = lambda other: blocks.where(near(other)).select(F.least("id", f"{other}.id").alias("a"), F.greatest("id", f"{other}.id").alias("b"), F.least("n", f"{other}.n").alias("n"))
+    ties = star("least").unionByName(star("prior")).groupBy("a", "b").agg(F.count("*").alias("ties"), F.max("n").alias("n"))
+    tried = scratch.keep(ties.where(F.col("ties") >= F.floor(F.lit(SUPPORT) * (F.col("n") / 4 + 1))).select("a", "b"), "star")
     links = _verify(tried, texts, scratch, "star")
 
     # Blocks with several components left, each set of members once.
