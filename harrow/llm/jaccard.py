@@ -87,6 +87,13 @@ def folded(point: np.ndarray, groups: int) -> np.ndarray:
     return point.astype(np.int64).reshape(-1, groups).sum(0)
 
 
+def fine_counts(hashes: np.ndarray) -> bytes:
+    """A point of about two groups to a shingle, a byte each (empty if a count needs more)."""
+    groups = max(GROUPS, 1 << (2 * len(hashes) - 1).bit_length())
+    point = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % groups, minlength=groups)
+    return point.astype(np.uint8).tobytes() if point.max() < 256 else b""
+
+
 def prefix(hashes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """The first n/4 + 1 hashes, frequent ones last."""
     n = len(hashes)
@@ -171,7 +178,25 @@ def _whole_sets(batches, bits):
         whole = whole.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "hashes"])
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([fine_counts(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "n", "fine", "hashes"]
+            )
+
+
+def _close(batches):
+    """Pairs whose fine points allow a link."""
+    import pyarrow as pa
+
+    for whole in batches:
+        a, b, na, nb = (whole.column(i).to_numpy() for i in range(4))
+        hit = np.ones(len(a), bool)
+        for i, (x, y) in enumerate(zip(whole.column(4), whole.column(5), strict=True)):
+            x, y = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
+            if len(x) and len(y):
+                groups = min(len(x), len(y))
+                hit[i] = _can_link(na[i], nb[i], np.minimum(folded(x, groups), folded(y, groups)).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(a[hit]), pa.array(b[hit])], names=["a", "b"])
 
 
 def linked(na: int, nb: int, both: int) -> bool:
@@ -241,7 +266,7 @@ class RTree:
 
 
 def _block_pairs(batches):
-    """Blocks (ids, comps, sizes, points as arrays) -> candidate pairs by the R-tree."""
+    """Blocks (arrays of members) -> candidates by the R-tree: for a member the larger ids that it may link with."""
     import pyarrow as pa
 
     for whole in batches:
@@ -264,16 +289,22 @@ def _block_pairs(batches):
                 p, q = p[across], q[across]
             if len(p):
                 a, b = np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], b[order]
+                starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+                partners = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(a)].astype(np.int32)), pa.array(b))
+                yield pa.RecordBatch.from_arrays([pa.array(a[starts]), partners], names=["a", "partners"])
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Links among the pairs (a, b): the whole sets of their documents are compared."""
+    """Links among the pairs (a, b): by fine points first, then the whole sets are compared."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     sent = pairs.sparkSession.sparkContext.broadcast(_filter_of(ids))
-    sets = scratch.keep(texts.mapInArrow(lambda batches: _whole_sets(batches, sent.value), "id long, hashes binary"), f"{name}-sets")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
+    sets = scratch.keep(texts.mapInArrow(lambda batches: _whole_sets(batches, sent.value), "id long, n long, fine binary, hashes binary"), f"{name}-sets")
+    of = lambda side, n, col, to: sets.select(F.col("id").alias(side), F.col("n").alias(n), F.col(col).alias(to))
+    both = pairs.join(of("a", "na", "fine", "x"), "a").join(of("b", "nb", "fine", "y"), "b").select("a", "b", "na", "nb", "x", "y")
+    close = scratch.keep(both.mapInArrow(_close, "a long, b long"), f"{name}-close")
+    both = close.join(of("a", "na", "hashes", "x"), "a").join(of("b", "nb", "hashes", "y"), "b").select("a", "b", "x", "y")
     links = scratch.keep(both.mapInArrow(_verified, "a long, b long").distinct(), f"{name}-links")
     scratch.drop(f"{name}-sets")
     return links
@@ -332,7 +363,8 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     large = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), member(F.when(F.col("own") > F.col("other"), F.lit(1)).otherwise(F.lit(0))))
     # a piece with itself has one side; two pieces have sides 0 and 1
     gathered = small.unionByName(large).groupBy("token", "i", "j").agg(F.collect_list("member").alias("members")).select("members")
-    more = gathered.mapInArrow(_block_pairs, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+    found = gathered.mapInArrow(_block_pairs, "a long, partners array<long>").groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))
+    more = found.select("a", F.explode("partners").alias("b")).join(tried, ["a", "b"], "left_anti")
     more = scratch.keep(more, "more")
     final = components(links.unionByName(_verify(more, texts, scratch, "more")), scratch, "final")
 
