@@ -33,6 +33,11 @@ def _numeric_entities(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else re.sub(r"&#(?:(\d+)|[xX]([0-9a-fA-F]+));", one, v))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def nfkc(text: Column) -> Column:
     """Unicode NFKC; ASCII texts (for which it changes nothing) skip Python."""
     return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfkc(text))
@@ -136,14 +141,16 @@ def section_after(lines: Column, label: Column | str, stops: list[str], most: in
     lines: array of strings; "" where no line starts with the label.
     """
     label = F.lit(label) if isinstance(label, str) else label
-    at = F.array_position(F.transform(lines, lambda s: s.startswith(label)), True)
-    behind = F.slice(lines, at.cast("int") + 1, most)
-    stop = F.transform(behind, lambda s: F.lit(False) if not stops else _starts_any(s, stops))
-    ends = F.array_position(stop, True)
-    taken = F.when(ends > 0, F.slice(behind, F.lit(1), F.greatest(ends.cast("int") - 1, F.lit(0)))).otherwise(behind)
-    own = js_trim(F.regexp_replace(F.substring(F.element_at(lines, F.greatest(at.cast("int"), F.lit(1))), F.length(label) + 1, F.lit(1 << 20)), r"^[:：\s]+", ""))
-    whole = F.concat(F.array(own), taken) if with_label else taken
-    return F.when(at > 0, F.array_join(F.filter(whole, lambda s: s != ""), "\n")).otherwise(F.lit(""))
+    def read(ls: Column) -> Column:
+        at = F.array_position(F.transform(ls, lambda s: s.startswith(label)), True).cast("int")
+        behind = F.slice(ls, at + 1, most)
+        ends = F.array_position(F.transform(behind, lambda s: _starts_any(s, stops)), True).cast("int")
+        taken = F.when(ends > 0, F.slice(behind, F.lit(1), F.greatest(ends - 1, F.lit(0)))).otherwise(behind)
+        own = js_trim(F.regexp_replace(F.substring(F.element_at(ls, F.greatest(at, F.lit(1))), F.length(label) + 1, F.lit(1 << 20)), r"^[:：\s]+", ""))
+        whole = F.concat(F.array(own), taken) if with_label else taken
+        return F.when(at > 0, F.array_join(F.filter(whole, lambda s: s != ""), "\n")).otherwise(F.lit(""))
+
+    return let(lines, read)
 
 
 def _starts_any(s: Column, prefixes: list[str]) -> Column:
