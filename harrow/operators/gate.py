@@ -10,6 +10,7 @@ from harrow.functions.text import nfkc, non_empty
 
 #: Hosts of the social network, as the pipeline tests them: any host that ends so.
 SOCIAL_HOST = r"x\.com$|twitter\.com$"
+#: Keys that no public record carries.
 PRIVATE_KEYS = (
     "sourceUrl", "sourceType", "sourceKind", "sourceKinds", "intelligenceSource", "privateSources", "evidenceCount", "destinationHost", "destinationVerified",
     "destinationVerificationReason", "verificationChecks", "rawApplyText", "rawResultText", "xAuthor", "xPostId", "officialAccount", "productCandidates",

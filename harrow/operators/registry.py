@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from harrow.functions import urls
 from harrow.functions.text import non_empty, short_hash
 
+#: The parser names that registries use.
 PARSERS = ("generic", "livepocket", "livepocket-search", "google-form", "amiami", "rakuten-books", "hobby-search", "listing-intelligence-v1", "geo-news", "geo-lottery", "hobby-station-news", "furuichi-news")
 
 
