@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import text as tx
 from harrow.functions import urls
-from harrow.operators import discover, gate, health, match, merge, parse, registry, state
+from harrow.operators import discover, gate, health, match, merge, parse, products, rank, registry, state
 from harrow.scratch import Scratch
 from harrow.session import table
 
@@ -658,3 +658,65 @@ def japanese_records(spark, sf):
     page = "<h1>抽選販売</h1><p>商品：拡張パック ナイトワンダラー BOX</p><p>応募期間：7月1日〜7月5日まで</p><p>当選発表：7月8日</p><a href='/e/abc'>応募はこちら</a>"
     pages = spark.createDataFrame([(1, "https://shop.example.jp/news", page)], "page_id int, url string, html string")
     return parse.label_records(pages, F.lit("2026-06-20").cast("date"))
+
+
+# ---- rankings and catalogs
+
+
+@query(
+    """with l as (select conv_id, turn, text, (case when regexp_matches(text, 'the') then 10 else 0 end) + (case when regexp_matches(text, 'ion') then 15 else 0 end) + (case when length(text) > 300 then 5 else 0 end) as s from conversations where role = 'user'),
+    once as (select conv_id, text, max(s) as s, min(turn) as o from l group by all), r as (select *, row_number() over (partition by conv_id order by s desc, length(text) desc, o) as r, max(s) over (partition by conv_id) as top from once)
+    select conv_id, sha256(min_by(text, r)) as best_sha256, max(s)::int as score, count(*) filter (r > 1 and s >= top - 18) as n_alternatives from r where r <= 8 group by conv_id"""
+)
+def line_choice(spark, sf):
+    rows = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    score = rank.pattern_score(F.col("text"), [("the", 10), ("ion", 15)]) + F.when(F.length("text") > 300, 5).otherwise(0)
+    best = rank.best_with_alternatives(rows, ["conv_id"], "text", score, "turn")
+    return best.select("conv_id", F.sha2("text", 256).alias("best_sha256"), "score", F.size("alternatives").cast("long").alias("n_alternatives"))
+
+
+@query("select p_brand, p_partkey as best_part, s as score from (select *, row_number() over (partition by p_brand order by s desc, p_partkey) as r from (select *, p_size * 2 + case when p_type = 'ECONOMY' then 7 else 0 end as s from part)) where r = 1")
+def best_image(spark, sf):
+    rows = table(spark, sf, "part").select("p_brand", "p_partkey", F.col("p_partkey").alias("best_part"), (F.col("p_size") * 2 + F.when(F.col("p_type") == "ECONOMY", 7).otherwise(0)).alias("s"))
+    return rank.best_of(rows, ["p_brand"], "best_part", F.col("s"), "p_partkey")
+
+
+@query("select p_brand, p_partkey, s as score, r::int as rank from (select *, row_number() over (partition by p_brand order by s desc, p_partkey) as r from (select *, p_size - 20 as s from part) where s > -5) where r <= 3")
+def ocr_image_topk(spark, sf):
+    rows = table(spark, sf, "part").select("p_brand", "p_partkey", "p_size")
+    return rank.top_by_score(rows, ["p_brand"], F.col("p_size") - 20, "p_partkey", -5, 3).select("p_brand", "p_partkey", "score", "rank")
+
+
+@query("select c_nationkey, c_name as title from (select *, row_number() over (partition by c_nationkey order by c_mktsegment <> 'BUILDING', -(c_custkey % 5), case when c_mktsegment = 'BUILDING' then -(c_custkey % 7) else 0 end, c_custkey) as r from customer) where r = 1")
+def best_title(spark, sf):
+    rows = table(spark, sf, "customer").select("c_nationkey", F.col("c_name").alias("title"), "c_mktsegment", "c_custkey")
+    return rank.best_title(rows, ["c_nationkey"], "title", F.col("c_mktsegment") == "BUILDING", F.col("c_custkey") % 5, F.col("c_custkey") % 7, "c_custkey")
+
+
+@query(
+    """select p_partkey, array_to_string(list_filter([case when not ok then 'name' end, case when p_size % 7 = 0 then 'release_date' end, case when p_size % 5 = 0 then 'image' end, case when p_size % 11 = 0 then 'official_url' end, case when conf < 0.8 then 'confidence' end], lambda x: x is not null), ',') as lacks, conf as confidence
+    from (select *, length(p_name) between 4 and 90 and not regexp_matches(p_name, 'widget') as ok, round(0.25 + case when p_size % 7 <> 0 then 0.25 else 0 end + case when p_size % 5 <> 0 then 0.25 else 0 end + case when p_size % 11 <> 0 then 0.15 else 0 end + case when length(p_name) between 4 and 90 and not regexp_matches(p_name, 'widget') then 0.1 else 0 end, 2)::double as conf from part)"""
+)
+def catalog_completeness(spark, sf):
+    size = F.col("p_size")
+    ok = products.plausible_name(F.col("p_name"), "widget", "none", "series")
+    conf = products.product_confidence(size % 7 != 0, size % 5 != 0, size % 11 != 0, ok)
+    rows = table(spark, sf, "part").withColumn("confidence", conf)
+    lacks = products.completeness_reasons(ok, F.when(size % 7 != 0, "2026-01-01"), F.when(size % 5 != 0, "a.png"), F.when(size % 11 != 0, "https://a.example.jp/"), F.col("confidence"))
+    return rows.select("p_partkey", F.array_join(lacks, ",").alias("lacks"), "confidence")
+
+
+@query("select p_partkey, 'pcg-' || '2026-01-' || lpad((p_size % 28 + 1)::varchar, 2, '0') || '-' || substr(sha1(p_name), 1, 12) as id from part")
+def product_ids(spark, sf):
+    day = F.concat(F.lit("2026-01-"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0"))
+    return table(spark, sf, "part").select("p_partkey", products.product_id(day, F.col("p_name")).alias("id"))
+
+
+@query(
+    f"""select page_id, reason is null as ok, reason from (select page_id, case when {_sql_host("url")} = '' then 'no_host' when {_sql_host("url")} = 'spam-farm.example.org' or ends_with({_sql_host("url")}, '.spam-farm.example.org') then 'blocked' when regexp_matches({_sql_host("url")}, 'x\\.com$|twitter\\.com$') then 'social'
+    when page_id % 9 = 0 then 'not_fetched' when not regexp_matches(lower(html), 'the') then 'language' when not regexp_matches(lower(html), 'ntly') then 'product' end as reason from pages)"""
+)
+def destination_check(spark, sf):
+    text = F.when(F.col("page_id") % 9 != 0, F.col("html"))
+    checked = products.verify_destination(F.col("url"), text, F.lit(""), ["spam-farm.example.org"], "the", "ntly")
+    return table(spark, sf, "pages").select("page_id", checked.alias("c")).select("page_id", "c.ok", "c.reason")
