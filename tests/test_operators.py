@@ -207,3 +207,27 @@ def test_sources(spark, tmp_path):
     tables.write_split(rows, "status", str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 2
     assert tables.decode_payload(tables.encode_payload(rows), "id int, status string").count() == 2
+
+
+def test_embedded_json():
+    from harrow.functions.embedded import walk
+
+    text = '{"@graph": [{"name": "A", "offers": {"endDate": "2026-01-01", "n": 1}}], "name": true, "url": ["x"], "deep": ' + '{"a":' * 40 + '{"name": "far"}' + "}" * 40 + "}"
+    assert [(f["path"], f["value"]) for f in walk(text, {"name", "endDate", "url"})] == [("$.@graph[0].name", "A"), ("$.@graph[0].offers.endDate", "2026-01-01")]
+    assert walk("{broken", {"name"}) == []
+
+
+def test_embedded_fields_of_pages(spark):
+    from harrow.functions.embedded import embedded_fields
+
+    html = '<script type="application/ld+json">{"name": "イベント"}</script><script id="__NEXT_DATA__">{"p": {"url": "https://a.jp/"}}</script>'
+    rows = spark.createDataFrame([(html,), (None,)], "html string").select(embedded_fields(F.col("html")).alias("f")).collect()
+    assert [(x["name"], x["value"]) for x in rows[0]["f"]] == [("name", "イベント"), ("url", "https://a.jp/")] and rows[1]["f"] == []
+
+
+def test_rankings(spark):
+    from harrow.operators import rank
+
+    rows = spark.createDataFrame([(1, 0, "aa"), (1, 1, "b the"), (1, 2, "ccc the"), (1, 3, "aa"), (2, 0, "z")], "g int, o int, v string")
+    got = {r["g"]: (r["v"], r["alternatives"]) for r in rank.best_with_alternatives(rows, ["g"], "v", rank.pattern_score(F.col("v"), [("the", 10)]), "o", near=5).collect()}
+    assert got == {1: ("ccc the", ["b the"]), 2: ("z", [])}
