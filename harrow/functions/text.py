@@ -77,10 +77,12 @@ def lines_of(text: Column, bullets: str = BULLETS) -> Column:
 
 
 def distinct_lines(lines: Column) -> Column:
-    """The first of the lines that are equal but for white space and case."""
-    key = lambda s: F.lower(F.regexp_replace(s, WIDE_SPACE, ""))
-    keys = F.transform(lines, key)
-    return F.filter(lines, lambda s, i: F.array_position(keys, key(s)) == i + 1)
+    """The first of the lines that are equal but for white space and case, in their order: two sorts, no comparison of each line with each."""
+    bind = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    keyed = F.transform(lines, lambda s, i: F.struct(F.lower(F.regexp_replace(s, WIDE_SPACE, "")).alias("key"), i.alias("i"), s.alias("line")))
+    firsts = lambda by_key: F.filter(by_key, lambda s, j: (j == 0) | (F.get(by_key, j - 1)["key"] != s["key"]))
+    in_order = F.array_sort(F.transform(bind(F.array_sort(keyed), firsts), lambda s: F.struct(s["i"].alias("i"), s["line"].alias("line"))))
+    return F.transform(in_order, lambda s: s["line"])
 
 
 def overlapping_chunks(text: Column, longest: int = 1400, size: int = 1200, overlap: int = 220) -> Column:

@@ -217,7 +217,7 @@ def first_by_key(spark, sf):
 
 @query(r"select doc_id, len(l) as n_lines, len(list_distinct(list_transform(l, lambda s: lower(regexp_replace(s, '\s+', '', 'g'))))) as n_distinct from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(regexp_replace(s, '^[\s・●■◆◇※]+', ''), '^\s+|\s+$', '', 'g')), lambda s: s <> '') as l from documents where n_chars < 4000)")
 def line_dedupe(spark, sf):
-    lines = table(spark, sf, "documents").where("n_chars < 4000").select("doc_id", tx.lines_of(F.col("text")).alias("l"))
+    lines = table(spark, sf, "documents").select("doc_id", tx.lines_of(F.col("text")).alias("l"))
     return lines.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.size(tx.distinct_lines(F.col("l"))).cast("long").alias("n_distinct"))
 
 
