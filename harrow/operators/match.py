@@ -30,7 +30,8 @@ def best_match(values: DataFrame, value_col: str, labels: DataFrame, shortest: i
     """
     rows = row_cols or [c for c in values.columns if c != value_col]
     target = values.select(*rows, F.col(value_col).alias("_t")).where(F.length("_t") >= 3)
-    keys = labels.select("id", "ordinal", F.col("key").alias("_k")).where("_k != ''")
+    first = F.max_by(F.struct("ordinal", "id"), F.struct(-F.col("ordinal"), -F.col("id"))).alias("_first")
+    keys = labels.groupBy(F.col("key").alias("_k")).agg(first).where("_k != ''").select("_first.id", "_first.ordinal", "_k")
     head = lambda c: F.substring(c, 1, shortest)
     long_key, long_value = F.length("_k") >= shortest, F.length("_t") >= shortest
     exact = target.join(keys, F.col("_t") == F.col("_k"))

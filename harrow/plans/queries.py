@@ -252,7 +252,7 @@ def best_match(spark, sf):
     part = table(spark, sf, "part")
     norm = lambda c: tx.normalised(c, keep="a-z0-9")
     values = part.select(norm(F.concat_ws(" ", "p_type", "p_name")).alias("value")).distinct().withColumn("t", F.col("value"))
-    keys = part.where("p_partkey < 400").select(F.col("p_partkey").alias("id"), F.lit(0).alias("ordinal"), norm(F.col("p_name")).alias("key"))
+    keys = part.select(F.col("p_partkey").alias("id"), F.lit(0).alias("ordinal"), norm(F.col("p_name")).alias("key"))
     return match.best_match(values, "t", keys, row_cols=["value"])
 
 

@@ -1,5 +1,6 @@
 """Registered queries on whole tables: rows that an earlier filter kept out, against brute force."""
 
+import random
 import re
 
 from harrow.plans.queries import QUERIES
@@ -21,3 +22,27 @@ def test_line_dedupe_reads_long_texts_and_null_lengths(spark, tmp_path):
             expected[i] = (len(lines), len({re.sub(r"\s+", "", s).lower() for s in lines}))
     got = {r["doc_id"]: (r["n_lines"], r["n_distinct"]) for r in QUERIES["line_dedupe"](spark, str(tmp_path)).collect()}
     assert got == expected
+
+
+def test_best_match_takes_every_part_as_key(spark, tmp_path):
+    rng = random.Random(5)
+    words = ["steel", "steam", "brass", "bra", "ring", "x1", "Tube"]
+    names = {i: " ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for i in range(900)}
+    names |= {i: names[i - 500] for i in range(880, 890)} | {890: None, 891: "", 892: "zinc plate", 893: "zinc"}
+    parts = [(i, n, rng.choice(["BRASS STEEL", "TUBE", "zinc plate, large"])) for i, n in names.items()]
+    put(spark, tmp_path, "part", parts, "p_partkey long, p_name string, p_type string")
+    norm = lambda s: re.sub("[^a-z0-9]+", "", s.lower())
+    keys = [(i, norm(n)) for i, n in names.items() if n]
+    expected = {}
+    for t in {norm(" ".join(filter(None, (kind, n)))) for _, n, kind in parts}:
+        scores = []
+        for i, k in keys:
+            gap = abs(len(t) - len(k))
+            score = 10000 + len(k) if t == k else 2000 + len(k) - 2 * gap if len(k) >= 4 and k in t else 1000 + len(t) - 3 * gap if len(t) >= 4 and t in k else None
+            if score is not None:
+                scores.append((-score, i, k))
+        if len(t) >= 3 and scores:
+            score, i, k = min(scores)
+            expected[t] = (i, k, -score)
+    got = {r["value"]: (r["id"], r["label"], r["score"]) for r in QUERIES["best_match"](spark, str(tmp_path)).collect()}
+    assert got == expected and sum(i >= 400 for i, _, _ in expected.values()) > 20
