@@ -9,6 +9,13 @@ compared. A segment that reaches the threshold shares most of a template's bigra
 holds one of the template's `anchors`: words and bigrams chosen such that a segment without
 them is bound to miss too many. Segments without an anchor are not compared.
 
+A template that no segment has in full is also looked for in spans of the whole text's words, which
+don't stop at lines or paragraphs: wording over several paragraphs, or with other words on its line.
+Of the text's word bigrams those that the template has are hits. A span starts at a hit that has
+enough hits in reach, and ends at the hit where 2 hits / (length + |B|) is highest (the last of
+equal ones); it then counts by the same Dice of sets as a segment. Its segment is the normalised
+words.
+
 Everything happens in the row: no join, no shuffle. Templates are literals (a fixed,
 small list).
 
@@ -19,12 +26,12 @@ templates go to the name; repeated rows each give a row; extra columns are ignor
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harrow.llm.license_texts import TEMPLATES
+from harrow.llm.license_texts import MORE_TEMPLATES, TEMPLATES
 from harrow.llm.words import let
 
 THRESHOLD = 0.8
@@ -69,7 +76,7 @@ def anchors(templates: list[list[str]], threshold: float, long_word: int = 7) ->
     return words + pairs
 
 
-def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
+def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES + MORE_TEMPLATES) -> DataFrame:
     """doc_id, license and score of the best find (null without one), finds: array of (template, license, score, segment)."""
     grams = [plain_bigrams(t[2]) for t in templates]
     words = anchors(grams, threshold)
@@ -100,8 +107,48 @@ def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
         return let(bigrams(normalised(segment)), against)
 
-    counted = documents.select(F.col(id_col).alias("doc_id"), anchored.alias("_segments")).withColumn("_templates", literals)
+    def spans(words: Column, pairs: Column, t: Column) -> Column:
+        """The best span for a template, in an array; empty below the threshold."""
+        size = F.size(t["grams"])
+        need = F.greatest(F.ceil(size * F.lit(1 / reach) - F.lit(1e-9)).cast("int"), F.lit(1))
+        longest = F.floor(size * F.lit(reach) + F.lit(1e-9)).cast("int")
+
+        def best(at: Column) -> Column:
+            n = F.size(at)
+            length = lambda i, j: F.get(at, j) - F.get(at, i) + 1
+
+            def from_start(i: Column) -> Column:
+                ends = F.filter(F.sequence(i + need - 1, F.least(n, i + longest) - 1), lambda j: length(i, j) <= longest)
+                end = F.array_max(F.transform(ends, lambda j: F.struct((2.0 * (j - i + 1) / (length(i, j) + size)).alias("hits"), j.alias("j"))))["j"]
+                return let(F.struct(F.get(at, i).alias("start"), length(i, end).alias("length")), counted)
+
+            def counted(span: Column) -> Column:
+                own = F.array_distinct(F.slice(pairs, span["start"] + 1, span["length"]))
+                return let(own, lambda o: F.struct((F.lit(2.0) * F.size(F.array_intersect(o, t["grams"])) / (F.size(o) + size)).alias("score"), (-span["start"]).alias("back"), span["length"].alias("length")))
+
+            starts = F.filter(F.when(n >= need, F.sequence(F.lit(0), n - need)).otherwise(F.array().cast("array<int>")), lambda i: length(i, i + need - 1) <= longest)
+            return let(
+                F.array_max(F.transform(starts, from_start)),
+                lambda b: F.when(
+                    b["score"] >= F.lit(threshold),
+                    F.array(F.struct(t["template"].alias("template"), t["license"].alias("license"), b["score"].alias("score"), F.array_join(F.slice(words, 1 - b["back"], b["length"] + 1), " ").alias("segment"))),
+                ),
+            )
+
+        hits = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: F.array_contains(t["grams"], F.get(pairs, i)))
+        enough = F.size(F.array_intersect(t["grams"], pairs)) >= need
+        none = F.array().cast("array<struct<template:string,license:string,score:double,segment:string>>")
+        return F.coalesce(F.when(enough, let(hits, best)), none)
+
+    def in_text(words: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+        wanted = F.filter("_templates", lambda t: ~F.exists("_finds", lambda f: (f["template"] == t["template"]) & (f["score"] == 1)))
+        return F.when(F.size(words) >= 2, let(pairs, lambda p: F.flatten(F.transform(wanted, lambda t: spans(words, p, t)))))
+
+    counted = documents.select(F.col(id_col).alias("doc_id"), anchored.alias("_segments"), F.when(F.size(segments) > 0, text).alias("_text")).withColumn("_templates", literals)
     found = counted.withColumn("_finds", F.flatten(F.transform("_segments", compare)))
+    beyond = F.when(F.col("_text").isNotNull(), let(F.split(normalised(F.col("_text")), " "), in_text))
+    found = found.withColumn("_finds", F.coalesce(F.concat("_finds", beyond), F.col("_finds")))
     best_of = lambda finds: F.array_sort(
         finds,
         lambda a, b: F.when(a["score"] > b["score"], F.lit(-1)).when(a["score"] < b["score"], F.lit(1)).when(a["template"] < b["template"], F.lit(-1)).when(a["template"] > b["template"], F.lit(1)).otherwise(F.lit(0)),
