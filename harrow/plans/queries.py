@@ -260,9 +260,9 @@ def best_match(spark, sf):
     """with l as (select item_id as id, substr(text, 1, 40) as label from benchmark) select doc_id, id, label from (select d.doc_id, l.id, l.label, row_number() over (partition by d.doc_id order by length(l.label) desc, l.id) as r from documents d join l on contains(d.text, l.label)) where r = 1"""
 )
 def longest_label(spark, sf):
-    labels = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 40).alias("label"))
+    labels = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("label"))
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return match.longest_label(docs, "text", labels, shortest=24).where("id is not null").select("doc_id", "id", "label")
+    return match.longest_label(docs, "text", labels, shortest=24).select("doc_id", "id", "label")
 
 
 @query(

@@ -46,3 +46,17 @@ def test_best_match_takes_every_part_as_key(spark, tmp_path):
             expected[t] = (i, k, -score)
     got = {r["value"]: (r["id"], r["label"], r["score"]) for r in QUERIES["best_match"](spark, str(tmp_path)).collect()}
     assert got == expected and sum(i >= 400 for i, _, _ in expected.values()) > 20
+
+
+def test_longest_label_wants_the_whole_passage(spark, tmp_path):
+    head = "The opening of forty characters, exactly, "
+    labels = {1: head + "and one end", 2: head + "and one end, which goes on", 3: head + "and another end", 4: "A passage of its own that only one document has"}
+    texts = {1: "x " + labels[1] + ".", 2: "y " + labels[2] + ".", 3: head + "and no end", 4: labels[4] + " " + labels[3], 5: "nothing", 6: None}
+    put(spark, tmp_path, "benchmark", list(labels.items()), "item_id long, text string")
+    put(spark, tmp_path, "documents", list(texts.items()), "doc_id long, text string")
+    expected = {}
+    for i, t in texts.items():
+        held = max(((len(v), -k) for k, v in labels.items() if t and v in t), default=None)
+        expected[i] = (-held[1], labels[-held[1]]) if held else (None, None)
+    got = {r["doc_id"]: (r["id"], r["label"]) for r in QUERIES["longest_label"](spark, str(tmp_path)).collect()}
+    assert got == expected and expected[2][0] == 2 and expected[3] == (None, None)
