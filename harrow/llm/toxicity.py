@@ -116,19 +116,17 @@ class Index:
         p = min(max(vote, 1e-4), 1 - 1e-4)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * math.log(p / (1 - p)) + b))))
 
-    def score(self, text: str | None) -> float:
+    def judge(self, text: str | None) -> tuple[float, list[dict]]:
+        """The score, and all the nearest examples that voted for it, with their labels and cosines."""
         vector = self.vector(text)
         key = tuple(vector.items())
         if key not in self.cache:
             if len(self.cache) >= CACHE_ENTRIES:
                 self.cache.clear()
-            self.cache[key] = self.calibrated(self.vote(*self.nearest(vector)))
-        return self.cache[key]
-
-    def evidence(self, text: str | None) -> list[dict]:
-        """The nearest examples with their labels and cosines."""
-        examples, cosines = self.nearest(self.vector(text))
-        return [{"id": int(self.ids[e]), "label": int(self.labels[e]), "cosine": float(c)} for e, c in zip(examples, cosines, strict=True)]
+            examples, cosines = self.nearest(vector)
+            self.cache[key] = self.calibrated(self.vote(examples, cosines)), examples, cosines
+        score, examples, cosines = self.cache[key]
+        return score, [{"id": int(self.ids[e]), "label": int(self.labels[e]), "cosine": float(c)} for e, c in zip(examples, cosines, strict=True)]
 
 
 def learn(documents: DataFrame, labels: DataFrame, learn_rows, seed: int = 29) -> Index | None:
@@ -182,7 +180,7 @@ def learn(documents: DataFrame, labels: DataFrame, learn_rows, seed: int = 29) -
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score (higher: toxic likelier), predicted, evidence; labels of the held-out fold are never learnt from."""
+    """doc_id, held_out, score (higher: toxic likelier), predicted, evidence (all the neighbours that voted, whatever the score); labels of the held-out fold are never learnt from."""
     import pyarrow as pa
 
     index = learn(documents, labels, fold(F.col(id_col), folds) != held)
@@ -196,8 +194,8 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, folds: int = 5, held
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = batch.column(2).to_pylist()
-                values = np.array([0.5 if index is None else index.score(t) for t in texts])
-                shown = [index.evidence(t)[:3] if index is not None and v >= 0.5 else [] for t, v in zip(texts, values, strict=True)]
+                judged = [(0.5, []) if index is None else index.judge(t) for t in texts]
+                values, shown = np.array([v for v, _ in judged]), [e for _, e in judged]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(values, pa.float64()), pa.array((values >= 0.5).astype(np.int32)), pa.array(shown, arrow_type)], names=["doc_id", "held_out", "score", "predicted", "evidence"]
                 )
