@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of
-documents.
+documents. Rows without a doc_id pass by the operators' own verdicts, each as a row of its own: they are
+judged by quality_rules, are near duplicates of nothing, keep their text, and are mixed and encoded.
 """
 
 from __future__ import annotations
@@ -18,10 +19,21 @@ from harrow.session import table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with `_key`: the doc_id, or a number of its own far below the ids for a row without one (kept in a table, so it is the same at every read)."""
+    named = docs.where("doc_id is not null").withColumn("_key", F.col("doc_id"))
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return named
+    own = nameless.withColumn("_key", F.lit(-(1 << 62)) - F.monotonically_increasing_id())
+    return named.unionByName(Scratch(spark, "nameless").keep(own, "rows"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or a risk-controlled cutoff reject go."""
-    kept = rules.apply_rules(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    docs, labels = _keyed(spark, docs), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "_key")
+    kept = rules.apply_rules(docs, labels, id_col="_key").where("kept").select(F.col("doc_id").alias("_key")).distinct()
+    return docs.join(kept, "_key", "left_semi").select(*COLUMNS)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +42,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     heads = Scratch(spark, "heads").keep(heads, "heads")
     kept = docs.join(heads.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
     # rows that repeat a whole document are copies too; their texts only move where there are such rows
-    return kept if heads.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    kept = kept if heads.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +54,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, and those of the smaller sources as often again as the mix takes them."""
-    taken = mixing.mix_sources(docs).groupBy("doc_id").agg(F.count("*").alias("times"))
-    return docs.join(taken, "doc_id").withColumn("_take", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
+    docs = _keyed(spark, docs)
+    taken = mixing.mix_sources(docs, id_col="_key").groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("times"))
+    return docs.join(taken, "_key").withColumn("_take", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
