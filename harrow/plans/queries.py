@@ -273,9 +273,9 @@ def longest_label(spark, sf):
 )
 def group_expand(spark, sf):
     part = table(spark, sf, "part")
-    groups = part.where("p_size <= 5").groupBy(F.col("p_brand").alias("brand"), F.col("p_type").alias("release_date")).agg(F.min(F.lower(F.substring("p_name", 1, 3))).alias("stem"))
+    groups = part.groupBy(F.col("p_brand").alias("brand"), F.col("p_type").alias("release_date")).agg(F.min(F.lower(F.substring("p_name", 1, 3))).alias("stem"))
     groups = groups.withColumn("group_id", F.concat_ws("|", "brand", "release_date"))
-    members = part.where("p_size > 45").select(F.col("p_partkey").alias("member_id"), F.lower("p_name").alias("name_key"), F.col("p_type").alias("release_date"))
+    members = part.select(F.col("p_partkey").alias("member_id"), F.lower("p_name").alias("name_key"), F.col("p_type").alias("release_date"))
     items = groups.select("group_id", F.col("brand"), F.col("release_date").alias("date"))
     out = match.expand_groups(items, groups.select("group_id", "stem", "release_date", F.lit(0).alias("advertised")), members)
     return out.select(F.col("brand").alias("group_id"), F.col("date").alias("release_date"), "member_id")

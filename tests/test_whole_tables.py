@@ -60,3 +60,14 @@ def test_longest_label_wants_the_whole_passage(spark, tmp_path):
         expected[i] = (-held[1], labels[-held[1]]) if held else (None, None)
     got = {r["doc_id"]: (r["id"], r["label"]) for r in QUERIES["longest_label"](spark, str(tmp_path)).collect()}
     assert got == expected and expected[2][0] == 2 and expected[3] == (None, None)
+
+
+def test_group_expand_takes_every_part(spark, tmp_path):
+    parts = [(i, ["red ring", "Red bolt", "blue gear", "old plate"][i % 4], f"B{i % 3}", f"T{i % 2}", 1 + i % 50) for i in range(120)]
+    put(spark, tmp_path, "part", parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int")
+    stems = {}
+    for _, name, brand, kind, _ in parts:
+        stems[brand, kind] = min(stems.get((brand, kind), "~"), name[:3].lower())
+    expected = sorted((b, k, i) for (b, k), stem in stems.items() for i, name, _, kind, _ in parts if kind == k and name.lower().startswith(stem))
+    got = sorted((r["group_id"], r["release_date"], r["member_id"]) for r in QUERIES["group_expand"](spark, str(tmp_path)).collect())
+    assert got == expected
