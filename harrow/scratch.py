@@ -44,18 +44,26 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables of one run of an operator; `drop` frees one early, the rest go when the process ends."""
+    """Tables of one run of an operator; `drop` and `only` free tables early, the rest go when the process ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/harrow-{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         atexit.register(_remove_quietly, spark, self.root)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as Parquet under the shared folder and read it back."""
         path = f"{self.root}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        _remove(self.spark, f"{self.root}/{name}")
+    def drop(self, *names: str) -> None:
+        for name in names:
+            _remove(self.spark, f"{self.root}/{name}")
+            self.names.discard(name)
+
+    def only(self, *names: str) -> None:
+        """Free every table but these."""
+        self.drop(*(self.names - set(names)))
