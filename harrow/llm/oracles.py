@@ -1,14 +1,14 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.
 
 Without SQL: op2, op5 (fitted models: held-out accuracy), op3 (BPE: the tokenizers library),
-op4 (rolling hash: planted passages), op6 (its order comes from a hash that DuckDB lacks:
-weights, passes and budgets are tested).
+op4 (rolling hash: planted passages).
 """
 
 from __future__ import annotations
 
 from harrow.llm.chat import TEMPLATE
 from harrow.llm.license_texts import TEMPLATES
+from harrow.llm.mixing import Mix
 from harrow.llm.rules import Rules
 
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,35 @@ def _licenses() -> str:
 
 
 ORACLES["op1_license_scan"] = _licenses()
+
+
+def _mix() -> str:
+    mix = Mix()
+    digest = lambda *parts: "('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + ")), 1, 15))::bigint"
+    row = digest(str(mix.seed), "coalesce(doc_id::varchar, '')", "coalesce(text, '')")
+    return f"""with recursive r as (select doc_id, coalesce(source, '') as source, len({_WORDS})::bigint as n_tokens, {row} as h from documents),
+    t as (select source, sum(n_tokens)::double as tokens, count(*) as n_rows from r group by source),
+    b as (select sum(tokens) as n, count(*) as k, min(tokens) as least, max(tokens) as most from t where tokens > 0),
+    live as (select tokens / n as p, most / n as top from t, b where tokens > 0),
+    goal as (select h + {mix.entropy} * (ln(k) - h) as target from (select sum(-p * ln(p)) as h from live), b),
+    even(i, low, high) as (select 0, 0::double, 1::double union all
+        select i + 1, case when e >= target then mid else low end, case when e >= target then high else mid end from (
+            select i, low, high, (low + high) / 2 as mid, (select ln(sum(exp((low + high) / 2 * ln(p / top)))) - (low + high) / 2 * sum(exp((low + high) / 2 * ln(p / top)) * ln(p / top)) / sum(exp((low + high) / 2 * ln(p / top))) from live) as e from even
+        ), goal where i < {mix.rounds}),
+    tau0 as (select low as tau from even where i = {mix.rounds}),
+    repeats(i, low, high) as (select 0, tau, 1::double from tau0 union all
+        select i + 1, case when pow(least / most, (low + high) / 2 - 1) <= {mix.max_passes} then low else (low + high) / 2 end, case when pow(least / most, (low + high) / 2 - 1) <= {mix.max_passes} then (low + high) / 2 else high end from repeats, b where i < {mix.rounds}),
+    tau as (select case when pow(least / most, tau0.tau - 1) <= {mix.max_passes} then tau0.tau else high end as tau from tau0, repeats, b where i = {mix.rounds}),
+    raw as (select source, tokens, n_rows, case when tokens > 0 then exp(tau * ln(tokens / n)) else 0 end as raw from t, tau, b),
+    z as (select sum(raw) as z, max(tokens / raw) filter (raw > 0) as whole from raw),
+    passes as (select source, tokens, n_rows, case when tokens > 0 then least({mix.max_passes}, round(z.whole * z / z * raw / tokens, 9)) else 1 end as passes from raw, z),
+    plan as (select source, ceil(n_rows / {mix.block_rows})::bigint as n_blocks, floor(passes)::int as whole, round((passes - floor(passes)) * tokens)::bigint as share from passes),
+    d as (select r.*, whole, share, {digest(str(mix.seed), "h")} % n_blocks as block from r join plan using (source)),
+    o as (select *, {digest(str(mix.seed), "source", "whole + 1", "block")} as bo, {digest(str(mix.seed), "h", "whole + 1")} as po from d),
+    g as (select source, h, bo, block, po, any_value(share) as share, sum(n_tokens) as t from o group by source, h, bo, block, po),
+    last as (select source, h from (select *, coalesce(sum(t) over (partition by source order by bo, block, po, h rows between unbounded preceding and 1 preceding), 0) as before from g) where before < share),
+    taken as (select d.*, unnest(range(1, whole + 1 + (last.h is not null)::int))::int as pass_no from d left join last on last.source = d.source and last.h = d.h)
+    select doc_id, source, n_tokens, pass_no, block, {digest(str(mix.seed), "source", "pass_no", "block")} as block_order, {digest(str(mix.seed), "h", "pass_no")} as position from taken"""
+
+
+ORACLES["op6_mix_sources"] = _mix()
