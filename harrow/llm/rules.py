@@ -15,8 +15,10 @@ Bound as a test: upper(k, n) <= a  exactly when  P(Binomial(n, a) <= k) <= level
 is taken in logarithms by an `aggregate` over 1..min(k, a n).
 
 Defined results: null text has no words and fails the base; documents without labels are
-never used to fit; several labels of a document: good only if all are; a stratum outside
-`strata` counts as "other". No labels: no rule rejects. Repeated rows each give a row.
+never used to fit, and null ids have none; several labels of a document: good only if all are; a
+null stratum or one outside `strata` counts as "other". No labels: no rule rejects. Repeated
+rows each give a row; no rows: no rows; very long texts count whole; extra columns are ignored
+whatever their names (kept_documents returns them); ties between cutoffs go to the lenient.
 """
 
 from __future__ import annotations
@@ -193,25 +195,37 @@ def stratum_of(col: Column, rules: Rules) -> Column:
     return F.when(col.isin(*named), col).otherwise(F.lit("other"))
 
 
-def apply_rules(documents: DataFrame, labels: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """doc_id, the features, base_failed, stratum, failed_rules (array of names), kept.
+def _ratio_of(c: Column, rules: Rules) -> Column:
+    out = F.lit(None).cast("double")
+    for rule, (top, under) in rules.ratios.items():
+        out = F.when(c["rule"] == rule, F.col(top) / F.greatest(F.col(under), F.lit(1))).otherwise(out)
+    return out
 
-    labels: id and quality (1 good, 0 bad). The features are worked out once, into a narrow table.
-    """
-    scratch = Scratch(documents.sparkSession, "rules")
-    narrow = documents.select(F.col(id_col).alias("doc_id"), stratum_of(F.col(stratum_col), rules).alias("stratum"), F.col(text_col).alias("text"))
+
+def _ruled(documents: DataFrame, labels: DataFrame, rules: Rules, scratch: Scratch, id_col: str, text_col: str, stratum_col: str, *more: Column) -> DataFrame:
+    """The features are worked out once, into a table; `more` are columns that go into it as well."""
+    narrow = documents.select(documents[id_col].alias("doc_id"), stratum_of(documents[stratum_col], rules).alias("stratum"), documents[text_col].alias("text"), *more)
     counted = scratch.keep(features(narrow).drop("text").withColumn("base_failed", base_failed()), "features")
     good = labels.where("quality is not null").groupBy(F.col(id_col).alias("doc_id")).agg((F.min("quality") >= 1).alias("good"))
     fitted = fit_cutoffs(counted.where("not base_failed").join(good, "doc_id"), rules)
     # at most strata x rules rows: one literal array, by scalar subquery
     cutoffs = fitted.agg(F.collect_list(F.struct("stratum", "rule", "cutoff")).alias("all")).select("all").scalar()
-
-    def ratio_of(c: Column) -> Column:
-        out = F.lit(None).cast("double")
-        for rule, (top, under) in rules.ratios.items():
-            out = F.when(c["rule"] == rule, F.col(top) / F.greatest(F.col(under), F.lit(1))).otherwise(out)
-        return out
-
-    hit = F.filter(F.col("_cutoffs"), lambda c: (c["stratum"] == F.col("stratum")) & (ratio_of(c) > c["cutoff"]))
+    hit = F.filter(F.col("_cutoffs"), lambda c: (c["stratum"] == F.col("stratum")) & (_ratio_of(c, rules) > c["cutoff"]))
     ruled = counted.withColumn("_cutoffs", cutoffs).withColumn("failed_rules", F.transform(hit, lambda c: c["rule"])).drop("_cutoffs")
     return ruled.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
+def apply_rules(documents: DataFrame, labels: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """doc_id, the features, base_failed, stratum, failed_rules (array of names), kept.
+
+    labels: id and quality (1 good, 0 bad).
+    """
+    return _ruled(documents, labels, rules, Scratch(documents.sparkSession, "rules"), id_col, text_col, stratum_col)
+
+
+def kept_documents(
+    documents: DataFrame, labels: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", scratch: Scratch | None = None
+) -> DataFrame:
+    """The rows of documents that no rule rejects. They go through the table of features whole, so no text is shuffled."""
+    scratch = scratch or Scratch(documents.sparkSession, "rules")
+    return _ruled(documents, labels, rules, scratch, id_col, text_col, stratum_col, F.struct("*").alias("row")).where("kept").select("row.*")
