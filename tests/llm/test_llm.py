@@ -127,14 +127,14 @@ def test_jaccard_large_blocks(spark, monkeypatch):
 
 
 def test_rtree_finds_all_that_may_link():
-    from harrow.llm.jaccard import GROUPS, RTree, counts
+    from harrow.llm.jaccard import GROUPS, RTree, coarse_points, counts
 
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64)) for n in rng.integers(5, 300, 120)]
     sets += [s[: max(1, int(len(s) * 0.9))] for s in sets[:40]]
-    points = np.stack([counts(s) for s in sets]).astype(np.int64)
+    points = coarse_points([counts(s) for s in sets])
     sizes = np.array([len(s) for s in sets])
-    p, q = RTree(sizes, points).pairs(np.arange(len(sets)))
+    p, q, _ = RTree(sizes, points).pairs(np.arange(len(sets)))
     found = {tuple(sorted(x)) for x in zip(p.tolist(), q.tolist(), strict=True)}
     for a, b in itertools.combinations(range(len(sets)), 2):
         both = len(np.intersect1d(sets[a], sets[b]))
@@ -144,8 +144,10 @@ def test_rtree_finds_all_that_may_link():
 
 
 def test_finer_points_fold_onto_coarser():
-    from harrow.llm.jaccard import counts, folded
+    from harrow.llm import jaccard
+    from harrow.llm.jaccard import folded
 
+    counts = lambda hashes: jaccard.point_of(jaccard.counts(hashes))
     many = np.arange(1, 3000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert (folded(counts(many), 128) == folded(folded(counts(many), 512), 128)).all() and counts(many).sum() == 2999
 
