@@ -212,11 +212,10 @@ def mix_sources(documents: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id",
 
 def mixed_documents(documents: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """documents, each row as often as the mix takes it; no text is shuffled."""
-    scratch = Scratch(documents.sparkSession, "mix")
-    rows = scratch.keep(documents.select(*_row(documents, mix, id_col, text_col, source_col), token_count(documents[text_col]).alias("n_tokens")), "rows")
-    kept = Scratch(documents.sparkSession, "mix-plan")
-    plan = _plan(rows, mix, kept)
-    scratch.only()
+    own = Scratch(documents.sparkSession, "mix")
+    rows = own.keep(documents.select(*_row(documents, mix, id_col, text_col, source_col), token_count(documents[text_col]).alias("n_tokens")), "rows")
+    plan = _plan(rows, mix, Scratch(documents.sparkSession, "mix-plan"))
+    own.only()
     whole = documents.select(F.struct("*").alias("row"), *_row(documents, mix, id_col, text_col, source_col))
     taken = whole.join(plan, "source").withColumn("block", _dealt(mix)).withColumn("times", _passes(mix)).where("times >= 1")
     return taken.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

@@ -223,9 +223,13 @@ def apply_rules(documents: DataFrame, labels: DataFrame, rules: Rules = Rules(),
     return _ruled(documents, labels, rules, Scratch(documents.sparkSession, "rules"), id_col, text_col, stratum_col)
 
 
-def kept_documents(
-    documents: DataFrame, labels: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", scratch: Scratch | None = None
-) -> DataFrame:
-    """The rows of documents that no rule rejects. They go through the table of features whole, so no text is shuffled."""
-    scratch = scratch or Scratch(documents.sparkSession, "rules")
-    return _ruled(documents, labels, rules, scratch, id_col, text_col, stratum_col, F.struct("*").alias("row")).where("kept").select("row.*")
+def kept_documents(documents: DataFrame, labels: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The rows of documents that no rule rejects, each row judged by itself, whatever its id: rows meet their verdict by 128 bits of hash of id, text and stratum."""
+
+    def marks(df: DataFrame) -> list[Column]:
+        parts = [p for c in (id_col, text_col, stratum_col) for p in (df[c].isNull(), df[c])]
+        return [F.xxhash64(F.lit(k), *parts).alias(f"mark{k}") for k in (1, 2)]
+
+    ruled = _ruled(documents, labels, rules, Scratch(documents.sparkSession, "rules"), id_col, text_col, stratum_col, *marks(documents))
+    kept = ruled.where("kept").select("mark1", "mark2").distinct()
+    return documents.select(F.struct("*").alias("row"), *marks(documents)).join(kept, ["mark1", "mark2"], "left_semi").select("row.*")
