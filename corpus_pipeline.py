@@ -2,8 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of
-documents. Rows without a doc_id pass by the operators' own verdicts, each as a row of its own: they are
-judged by quality_rules, are near duplicates of nothing, keep their text, and are mixed and encoded.
+documents. A stage leaves no more in the shared folder than the narrow tables that its frame
+still reads (verdicts, group heads, digests of repeated windows, the mix by source).
+
+Defined results for every stage: null texts are empty and rows without a doc_id are rows of
+their own, by the operators' own verdicts (judged by quality_rules, near duplicates of nothing,
+not cut, mixed and encoded); extra columns are dropped, whatever their names; an empty table
+gives no rows; very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -18,49 +23,37 @@ from harrow.session import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-
-def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with `_key`: the doc_id, or a number of its own far below the ids for a row without one (kept in a table, so it is the same at every read)."""
-    named = docs.where("doc_id is not null").withColumn("_key", F.col("doc_id"))
-    nameless = docs.where("doc_id is null")
-    if nameless.isEmpty():
-        return named
-    own = nameless.withColumn("_key", F.lit(-(1 << 62)) - F.monotonically_increasing_id())
-    return named.unionByName(Scratch(spark, "nameless").keep(own, "rows"))
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or a risk-controlled cutoff reject go."""
-    docs, labels = _keyed(spark, docs), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "_key")
-    kept = rules.apply_rules(docs, labels, id_col="_key").where("kept").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(kept, "_key", "left_semi").select(*COLUMNS)
+    """Documents that the base rules or a risk-controlled cutoff reject go. Each row is judged by itself, repeated ones alike."""
+    return rules.kept_documents(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
-    heads = jaccard.jaccard_components(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    heads = Scratch(spark, "heads").keep(heads, "heads")
-    kept = docs.join(heads.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
-    # rows that repeat a whole document are copies too; their texts only move where there are such rows
-    kept = kept if heads.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates stays: the one with the smallest id. Rows that repeat its id are copies
+    (the one with the smallest text stays); rows without an id all stay."""
+    groups = jaccard.jaccard_components(docs.select(*COLUMNS))
+    heads = Scratch(spark, "heads").keep(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "heads")
+    kept = docs.select(*COLUMNS).join(heads.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    # only where rows repeat an id do the texts move to meet each other
+    if not heads.where("n > 1").isEmpty():
+        one = F.min(F.struct("text", "lang", "source", "n_chars"))
+        kept = kept.groupBy("doc_id").agg(one.alias("r")).select("doc_id", "r.*")
     return kept.unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out; n_chars follows the text."""
-    cut = substrings.dedup_substrings(docs)
+    """Passages that an earlier document has are cut out; n_chars follows the text, null where it is null."""
+    cut = substrings.dedup_substrings(docs.select(*COLUMNS))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once, and those of the smaller sources as often again as the mix takes them."""
-    docs = _keyed(spark, docs)
-    taken = mixing.mix_sources(docs, id_col="_key").groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("times"))
-    return docs.join(taken, "_key").withColumn("_take", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select(*COLUMNS)
+    return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with what they decode to as a digest."""
+    """Token ids of every text, with what they decode to as a digest; a row of its own for each row."""
     encoded = bpe.encode_decode(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return encoded.select("doc_id", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
