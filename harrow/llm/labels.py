@@ -19,20 +19,21 @@ def sample(labels: DataFrame, label: str, learn: Column, most: int, seed: int, i
 
 
 def texts_of(documents: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, y, text of the chosen ids; the sample's size is bounded, so it is broadcast."""
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "id")
+    """id, y, text of the chosen ids; the sample's size is bounded, so it is broadcast. An id that rows repeat comes once, with its smallest text."""
+    texts = documents.select(documents[id_col].cast("long").alias("id"), F.coalesce(documents[text_col].cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
 
 
-def fit_logistic(x, y, rounds: int = 60, ridge: float = 1e-3):
-    """Slope and offset of a logistic curve through (x, y), by Newton's method."""
+def fit_logistic(x, y, rounds: int = 60, ridge: float = 1e-3, even: bool = False):
+    """Slope and offset of a logistic curve through (x, y), by Newton's method; `even`: as if both labels were equally frequent."""
     import numpy as np
 
     a, b = 1.0, 0.0
+    each = np.where(y > 0.5, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) if even else np.ones(len(y))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        g = np.array([((p - y) * x).sum() + ridge * a, (p - y).sum() + ridge * b])
-        w = p * (1 - p) + 1e-9
+        g = np.array([(each * (p - y) * x).sum() + ridge * a, (each * (p - y)).sum() + ridge * b])
+        w = each * p * (1 - p) + 1e-9
         h = np.array([[(w * x * x).sum() + ridge, (w * x).sum()], [(w * x).sum(), w.sum() + ridge]])
         step = np.linalg.solve(h, g)
         step = np.clip(step, -2, 2)

@@ -1,23 +1,29 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings of STEM letters. From the labelled sample, terms are
-kept that toxic documents hold clearly more often (by share and by log-odds); a text's
-vector is (1 + log tf) idf over the kept terms, of length one. The labelled documents with
-such a vector are the examples.
-
-The index holds, for each term, postings by example in blocks of BLOCK examples, and for
-each block the greatest weight. A query's bound for a block is the sum of its weights
-times the block's greatest; blocks are visited by falling bound until no bound exceeds
-the k-th best cosine, so the k nearest are exact (ties: smaller id). Votes of the k
-nearest, weighted by 1 / (distance + SOFT) and drawn to the rate of texts without terms,
-go through a logistic curve fitted on the examples themselves, each without its own vote.
-
-Fitted on at most FIT_DOCS labelled documents; terms, examples and index are bounded by it
-and by MOST_TERMS. Scoring reads every word of every text.
-
-Defined results: null and empty texts and texts without a kept term get the curve's value
-for a text without neighbours; without labels of both kinds every score is 0.5; repeated
-rows each give a row; null ids are scored and not held out; extra columns are ignored.
+Terms are all words and word beginnings of STEM letters of the labelled sample; every labelled
+document of it, toxic or not, is an example. A text's vector is (1 + log tf) idf over the terms,
+of length one. A term's idf is scaled by how unevenly the classes use it (the z value of its log
+odds): among texts of one language most shared words say nothing about the label. No term is
+left out for it; what a plain idf reaches is in the README.
+
+The index holds, for each term, postings by example, in blocks of BLOCK examples; examples that
+share their heaviest term lie together. Terms that many examples hold have for each block the
+greatest weight. A query adds up the postings of its rarer terms; a block's bound is the best
+such sum in it and the query's weights times the block's greatest for the common terms. The
+blocks of the highest bounds are scored in full; of the rest only those whose bound reaches the
+k-th best cosine so far, so the k nearest are exact (ties: smaller id). Votes of the k nearest, weighted
+by 1 / (distance + SOFT) and drawn to the rate of the sample, go through a logistic curve fitted
+on the examples themselves, each without its own vote and its own share in the weights, and both labels counted alike (most samples have few toxic texts): 0.5
+is where a vote is as usual among toxic examples as among others.
+
+Fitted on at most FIT_DOCS labelled documents; terms, examples and index are bounded by them, so
+the index is broadcast. Scoring reads every word of every text.
+
+Defined results: null and empty texts and texts without a known term get the curve's value for
+a text without neighbours; without labels of both kinds every score is 0.5; several labels of an
+id: the greatest; rows that repeat an id in the documents each get a row, and are one example
+(that of the smallest text); null ids are scored, not held out and never learnt from; very long texts
+count whole; no rows: no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,10 +39,12 @@ from pyspark.sql import functions as F
 from harrow.llm.labels import fit_logistic, fold, sample, texts_of
 from harrow.scratch import Scratch
 
-FIT_DOCS, MOST_TERMS = 9000, 4096
+FIT_DOCS = 4096
 STEM, BLOCK, NEAREST, SOFT = 4, 64, 15, 0.05
-LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 4, 0.6, 3.0
-CACHE_ENTRIES = 50_000
+#: A term that more than one in so many examples holds is a common one.
+COMMON = 3
+#: Blocks that are scored before there is a k-th best.
+STRIDE = 3
 WORD = re.compile(r"\w+")
 
 
@@ -44,67 +52,106 @@ def terms_of(text: str | None) -> Counter:
     """Words and beginnings (marked with a leading caret), with counts."""
     found = WORD.findall((text or "").lower())
     counts = Counter(found)
-    counts.update("^" + w[:STEM] for w in found if len(w) > STEM)
+    for w, n in list(counts.items()):
+        if len(w) > STEM:
+            counts["^" + w[:STEM]] += n
     return counts
 
 
+class Vocabulary:
+    """Terms and their weights: idf, scaled by the z value of the log odds of the classes."""
+
+    def __init__(self, terms: list[str], toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int):
+        self.place = {t: i for i, t in enumerate(terms)}
+        self.counts = np.stack([other, toxic])
+        self.sizes = (n_other, n_toxic)
+        self.weight = self.weigh(other, toxic, n_other, n_toxic)
+
+    @staticmethod
+    def weigh(other: np.ndarray, toxic: np.ndarray, n_other: int, n_toxic: int) -> np.ndarray:
+        odds = np.log((toxic + 0.5) / (n_toxic + 1.0)) - np.log((other + 0.5) / (n_other + 1.0))
+        z = np.abs(odds) / np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))
+        return np.log((n_toxic + n_other + 1) / np.maximum(toxic + other, 1)) * z
+
+    def vector(self, text: str | None, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the text's terms in ascending order and their weights, of length one. own: the label of
+        a document of the sample, whose own share in the counts is left out."""
+        counts = terms_of(text)
+        place = self.place
+        known = sorted((place[t], c) for t, c in counts.items() if t in place)
+        if not known:
+            return np.empty(0, np.int64), np.empty(0)
+        at, tf = np.array(known, np.int64).T
+        if own is None:
+            weight = self.weight[at]
+        else:
+            rest = self.counts[:, at] - np.array([[1 - own], [own]])
+            weight = np.where(rest.sum(0) > 0, self.weigh(*rest, self.sizes[0] - (1 - own), self.sizes[1] - own), 0.0)
+        w = (1 + np.log(tf)) * weight
+        length = math.sqrt(float(w @ w))
+        live = w > 0
+        return (at[live], w[live] / length) if length else (np.empty(0, np.int64), np.empty(0))
+
+
 class Index:
-    """Block-max inverted index of examples; also holds the curve."""
-
-    def __init__(self, terms: list[str], idf: list[float], ids: np.ndarray, labels: np.ndarray, vectors: list[dict[int, float]], base: float):
-        self.terms = {t: i for i, t in enumerate(terms)}
-        self.words = {t: i for t, i in self.terms.items() if not t.startswith("^")}
-        self.stems = {t[1:]: i for t, i in self.terms.items() if t.startswith("^")}
-        self.idf, self.ids, self.labels, self.base, self.curve = idf, ids, labels, base, (1.0, 0.0)
-        n_blocks = -(-len(ids) // BLOCK)
-        self.block_max = np.zeros((len(terms), n_blocks))
-        postings: list[tuple[list[int], list[float]]] = [([], []) for _ in terms]
-        for example, vector in enumerate(vectors):
-            for t, w in vector.items():
-                postings[t][0].append(example)
-                postings[t][1].append(w)
-                self.block_max[t, example // BLOCK] = max(self.block_max[t, example // BLOCK], w)
-        self.postings = [(np.array(e, np.int64), np.array(w), np.searchsorted(np.array(e, np.int64), np.arange(n_blocks + 1) * BLOCK)) for e, w in postings]
-        self.cache: dict[tuple, float] = {}
-
-    def vector(self, text: str | None) -> dict[int, float]:
-        counts: Counter = Counter()
-        words, stems = self.words, self.stems
-        for w in WORD.findall((text or "").lower()):
-            if w in words:
-                counts[words[w]] += 1
-            if w[:STEM] in stems and len(w) > STEM:
-                counts[stems[w[:STEM]]] += 1
-        return self.weigh(counts)
-
-    def weigh(self, counts) -> dict[int, float]:
-        weights = {t: (1 + math.log(c)) * self.idf[t] for t, c in sorted(counts.items())}
-        length = math.sqrt(sum(w * w for w in weights.values()))
-        return {t: w / length for t, w in weights.items()} if length else {}
-
-    def nearest(self, vector: dict[int, float], k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k nearest with a common term, exact."""
-        if not vector or not len(self.ids):
+    """Block-max inverted index of examples (ids in order, labels, vectors), with the curve."""
+
+    def __init__(self, n_terms: int, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], base: float):
+        self.base, self.curve = base, (1.0, 0.0)
+        top = np.array([t[np.argmax(w)] if len(t) else n_terms for t, w in vectors], np.int64)
+        order = np.lexsort((ids, top))
+        self.ids, self.labels = ids[order], labels[order]
+        n = len(ids)
+        example = np.concatenate([np.full(len(vectors[e][0]), i, np.int32) for i, e in enumerate(order)] or [np.empty(0, np.int32)])
+        term = np.concatenate([vectors[e][0] for e in order] or [np.empty(0, np.int64)])
+        weight = np.concatenate([vectors[e][1] for e in order] or [np.empty(0)])
+        by = np.argsort(term, kind="stable")
+        self.example, self.weight = example[by], weight[by]
+        self.edges = np.searchsorted(term[by], np.arange(n_terms + 1))
+        common = np.flatnonzero(np.diff(self.edges) * COMMON > n)
+        self.row = np.full(n_terms, -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        self.n_blocks = -(-n // BLOCK)
+        dense = np.zeros((len(common), self.n_blocks * BLOCK))
+        for r, t in enumerate(common):
+            span = slice(self.edges[t], self.edges[t + 1])
+            dense[r, self.example[span]] = self.weight[span]
+        self.dense = dense.reshape(len(common), self.n_blocks, BLOCK)
+        self.block_max = self.dense.max(2)
+
+    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int = NEAREST, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples with a common term, exact."""
+        terms, weights = vector
+        if not len(terms) or not len(self.ids):
             return np.empty(0, np.int64), np.empty(0)
-        terms, weights = list(vector), np.array(list(vector.values()))
-        bounds = weights @ self.block_max[terms]
-        found_e, found_s, worst = np.empty(0, np.int64), np.empty(0), 0.0
-        for block in np.lexsort((np.arange(len(bounds)), -bounds)).tolist():
-            if bounds[block] <= 0 or (len(found_e) >= k and bounds[block] < worst - 1e-9):
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                examples, values, edges = self.postings[t]
-                a, b = edges[block], edges[block + 1]
-                if a < b:
-                    score[examples[a:b] - block * BLOCK] += w * values[a:b]
-            at = np.flatnonzero(score > 0)
-            e, s = np.concatenate([found_e, at + block * BLOCK]), np.concatenate([found_s, np.round(score[at], 12)])
-            if without >= 0:
-                e, s = e[e != without], s[e != without]
-            best = np.lexsort((e, -s))[:k]
+        rows = self.row[terms]
+        rare, rows, heavy = terms[rows < 0], rows[rows >= 0], weights[rows >= 0]
+        starts = self.edges[rare]
+        lengths = self.edges[rare + 1] - starts
+        at = np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum()) if len(rare) else np.empty(0, np.int64)
+        partial = np.bincount(self.example[at], np.repeat(weights[self.row[terms] < 0], lengths) * self.weight[at], self.n_blocks * BLOCK)
+        bounds = partial.reshape(-1, BLOCK).max(1) + heavy @ self.block_max[rows]
+        visit = np.argsort(-bounds, kind="stable")
+        found_e, found_s, done = np.empty(0, np.int64), np.empty(0), 0
+        while done < len(visit) and bounds[visit[done]] > 0:
+            # a few blocks for a first k-th best, then all that its cosine leaves
+            last = min(done + STRIDE, len(visit))
+            if len(found_e) >= k:
+                last = int(np.searchsorted(-bounds[visit], -(found_s[-1] - 1e-9), "right"))
+                if last <= done:
+                    break
+            blocks, done = visit[done:last], last
+            places = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            score = partial[places]
+            if len(rows):
+                score = score + heavy @ self.dense[rows[:, None], blocks].reshape(len(rows), -1)
+            score = np.round(score, 12)
+            live = (score > 0) & (places != without)
+            if len(found_e) >= k:
+                live &= score >= found_s[-1]
+            e, s = np.concatenate([found_e, places[live]]), np.concatenate([found_s, score[live]])
+            best = np.lexsort((self.ids[e], -s))[:k]
             found_e, found_s = e[best], s[best]
-            worst = found_s[-1] if len(found_s) else 0.0
         return found_e, found_s
 
     def vote(self, examples: np.ndarray, cosines: np.ndarray) -> float:
@@ -116,25 +163,29 @@ class Index:
         p = min(max(vote, 1e-4), 1 - 1e-4)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * math.log(p / (1 - p)) + b))))
 
-    def judge(self, text: str | None) -> tuple[float, list[dict]]:
+    def judge(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[dict]]:
         """The score, and all the nearest examples that voted for it, with their labels and cosines."""
-        vector = self.vector(text)
-        key = tuple(vector.items())
-        if key not in self.cache:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
-            examples, cosines = self.nearest(vector)
-            self.cache[key] = self.calibrated(self.vote(examples, cosines)), examples, cosines
-        score, examples, cosines = self.cache[key]
+        examples, cosines = self.nearest(vector)
+        score = self.calibrated(self.vote(examples, cosines))
         return score, [{"id": int(self.ids[e]), "label": int(self.labels[e]), "cosine": float(c)} for e, c in zip(examples, cosines, strict=True)]
 
 
-def learn(documents: DataFrame, labels: DataFrame, learn_rows, seed: int = 29) -> Index | None:
+def fit_index(n_terms: int, ids: np.ndarray, labels: np.ndarray, vectors: list, own: list) -> Index:
+    """The index, with its curve fitted on the examples' vectors without their own share (own), each without its own vote."""
+    index = Index(n_terms, ids, labels.astype(float), vectors, float((labels.sum() + 0.5) / (len(labels) + 1.0)))
+    place = {int(i): at for at, i in enumerate(index.ids)}
+    votes = np.array([index.vote(*index.nearest(v, without=place[int(i)])) for i, v in zip(ids, own, strict=True)])
+    votes = np.clip(votes, 1e-4, 1 - 1e-4)
+    index.curve = fit_logistic(np.log(votes / (1 - votes)), labels.astype(float), even=True)
+    return index
+
+
+def learn(documents: DataFrame, labels: DataFrame, learn_rows, seed: int = 29, id_col: str = "doc_id", text_col: str = "text") -> tuple[Vocabulary, Index] | None:
     import pyarrow as pa
 
     scratch = Scratch(documents.sparkSession, "toxicity")
     chosen = scratch.keep(sample(labels.where("toxic in (0, 1)"), "toxic", learn_rows, FIT_DOCS, seed), "chosen")
-    texts = scratch.keep(texts_of(documents, chosen).select("id", "y", "text"), "texts")
+    texts = scratch.keep(texts_of(documents, chosen, id_col, text_col), "texts")
 
     def frequencies(batches):
         for batch in batches:
@@ -142,63 +193,53 @@ def learn(documents: DataFrame, labels: DataFrame, learn_rows, seed: int = 29) -
             for y, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 (toxic if y else other).update(terms_of(text).keys())
             terms = list(toxic.keys() | other.keys())
-            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([other[t] for t in terms], pa.int64())], names=["term", "k", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([other[t] for t in terms], pa.int64())], names=["term", "k", "b"])
 
     sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
+        scratch.only()
         return None
-    n1, n0 = sizes[1], sizes[0]
-    counted = texts.mapInArrow(frequencies, "term string, k long, b long").groupBy("term").agg(F.sum("k").alias("k"), F.sum("b").alias("b"))
-    ratio = (F.col("k") + 0.5) / (n1 + 1.0) / ((F.col("b") + 0.5) / (n0 + 1.0))
-    odds = F.log(ratio) / F.sqrt(1 / (F.col("k") + 0.5) + 1 / (F.col("b") + 0.5))
-    kept = (
-        counted.where(f"k >= {LEAST_DOCS} and k >= {LEAST_SHARE} * (k + b)").withColumn("odds", odds).where(f"odds >= {LEAST_ODDS}").orderBy(F.desc("odds"), "term").limit(MOST_TERMS).collect()
-    )
-    terms = [r["term"] for r in kept]
-    idf = [math.log((n0 + n1 + 1) / (r["k"] + r["b"])) + 1 for r in kept]
-    blank = Index(terms, idf, np.empty(0, np.int64), np.empty(0), [], 0.0)
-    sent = documents.sparkSession.sparkContext.broadcast(blank)
+    counted = texts.select("id", "y", "text").mapInArrow(frequencies, "term string, k long, b long").groupBy("term").agg(F.sum("k").alias("k"), F.sum("b").alias("b"))
+    rows = counted.toPandas().sort_values("term")
+    words = Vocabulary(rows["term"].tolist(), rows["k"].to_numpy(float), rows["b"].to_numpy(float), sizes[1], sizes[0])
+    sent = documents.sparkSession.sparkContext.broadcast(words)
 
     def vectors(batches):
         for batch in batches:
-            found = [sent.value.vector(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(v) for v in found], pa.list_(pa.int32())), pa.array([list(v.values()) for v in found], pa.list_(pa.float64()))], names=["id", "y", "terms", "weights"]
-            )
-
-    rows = texts.mapInArrow(vectors, "id long, y int, terms array<int>, weights array<double>").toPandas().sort_values("id", kind="stable")
-    has = rows["terms"].map(len).to_numpy() > 0
-    rest = rows["y"].to_numpy()[~has]
-    base = (rest.sum() + 0.5) / (len(rest) + 1.0)
-    examples = rows[has]
-    built = [dict(zip(map(int, t), map(float, w), strict=True)) for t, w in zip(examples["terms"], examples["weights"], strict=True)]
-    index = Index(terms, idf, examples["id"].to_numpy(), examples["y"].to_numpy(float), built, float(base))
-    own = np.array([index.vote(*index.nearest(v, without=i)) for i, v in enumerate(built)])
-    votes = np.clip(np.r_[own, np.full(len(rest), base)], 1e-4, 1 - 1e-4)
-    index.curve = fit_logistic(np.log(votes / (1 - votes)), np.r_[index.labels, rest.astype(float)])
-    return index
+            columns = [batch.column(0), batch.column(1)]
+            for left_out in (False, True):
+                found = [sent.value.vector(t, y if left_out else None) for y, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                edges = pa.array(np.r_[0, np.cumsum([len(t) for t, _ in found])].astype(np.int32))
+                columns += [pa.ListArray.from_arrays(edges, pa.array(np.concatenate([v[k] for v in found]).astype(kind))) for k, kind in ((0, np.int32), (1, np.float64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "y", "terms", "weights", "own_terms", "own_weights"])
+
+    built = texts.select("id", "y", "text").mapInArrow(vectors, "id long, y int, terms array<int>, weights array<double>, own_terms array<int>, own_weights array<double>")
+    rows = built.toPandas().sort_values("id", kind="stable")
+    scratch.only()
+    pairs = lambda t, w: [(np.asarray(x, np.int64), np.asarray(y)) for x, y in zip(rows[t], rows[w], strict=True)]
+    return words, fit_index(len(words.place), rows["id"].to_numpy(), rows["y"].to_numpy(), pairs("terms", "weights"), pairs("own_terms", "own_weights"))
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (higher: toxic likelier), predicted, evidence (all the neighbours that voted, whatever the score); labels of the held-out fold are never learnt from."""
     import pyarrow as pa
 
-    index = learn(documents, labels, fold(F.col(id_col), folds) != held)
-    sent = documents.sparkSession.sparkContext.broadcast(index)
+    learnt = learn(documents, labels, fold(F.col("doc_id"), folds) != held, id_col=id_col, text_col=text_col)
+    sent = documents.sparkSession.sparkContext.broadcast(learnt)
     evidence_type = "array<struct<id: bigint, label: int, cosine: double>>"
     arrow_type = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def score(batches):
-        index = sent.value
+        learnt = sent.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = batch.column(2).to_pylist()
-                judged = [(0.5, []) if index is None else index.judge(t) for t in texts]
+                judged = [(0.5, []) if learnt is None else learnt[1].judge(learnt[0].vector(t)) for t in texts]
                 values, shown = np.array([v for v, _ in judged]), [e for _, e in judged]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(values, pa.float64()), pa.array((values >= 0.5).astype(np.int32)), pa.array(shown, arrow_type)], names=["doc_id", "held_out", "score", "predicted", "evidence"]
                 )
 
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold(F.col(id_col), folds) == held, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = documents.select(documents[id_col].cast("long").alias("doc_id"), F.coalesce(fold(documents[id_col], folds) == held, F.lit(False)).alias("held_out"), documents[text_col].cast("string").alias("text"))
     return rows.mapInArrow(score, f"doc_id long, held_out boolean, score double, predicted int, evidence {evidence_type}")

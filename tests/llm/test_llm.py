@@ -413,21 +413,30 @@ def test_quality_on_held_out_rows(spark):
     assert {r["score"] for r in score_quality(docs, labels.where("quality = 1")).collect()} == {0.5}
 
 
-def test_block_max_search_is_exact():
-    from harrow.llm.toxicity import Index
+def test_block_max_search_is_exact(monkeypatch):
+    from harrow.llm import toxicity
 
     rng = np.random.default_rng(8)
     vectors = []
     for _ in range(700):
-        terms = rng.choice(40, rng.integers(1, 6), replace=False)
+        terms = np.unique(np.minimum(rng.geometric(0.06, rng.integers(1, 14)), 60)) - 1
         w = rng.random(len(terms)) + 0.1
-        vectors.append(dict(zip(sorted(map(int, terms)), (w / np.linalg.norm(w)).tolist(), strict=True)))
-    index = Index([f"t{i}" for i in range(40)], [1.0] * 40, np.arange(700), rng.integers(0, 2, 700).astype(float), vectors, 0.1)
-    for q in vectors[:60]:
-        cosines = np.array([round(sum(w * v.get(t, 0.0) for t, w in q.items()), 12) for v in vectors])
-        best = [e for e in np.lexsort((np.arange(700), -cosines)) if cosines[e] > 0][:15]
-        found, scores = index.nearest(q)
-        assert np.allclose(scores, cosines[best]) and set(found[scores > scores[-1] + 1e-9]) == set(np.array(best)[cosines[best] > scores[-1] + 1e-9])
+        vectors.append((terms, w / np.linalg.norm(w)))
+    ids = rng.permutation(5000)[:700]
+    for common in (3, 50):  # few and many terms are common ones
+        monkeypatch.setattr(toxicity, "COMMON", common)
+        index = toxicity.Index(60, ids, rng.integers(0, 2, 700).astype(float), vectors, 0.1)
+        assert 0 < len(index.block_max) < 60
+        full = np.zeros((700, 60))
+        for row, (t, w) in zip(full, vectors, strict=True):
+            row[t] = w
+        for q in range(0, 700, 9):
+            cosines = np.round(full @ full[q], 12)
+            best = [e for e in np.lexsort((ids, -cosines)) if cosines[e] > 0][:15]
+            found, scores = index.nearest(vectors[q])
+            assert np.allclose(scores, cosines[best]) and index.ids[found].tolist() == ids[best].tolist()
+            found, _ = index.nearest(vectors[q], without=index.ids.tolist().index(ids[q]))
+            assert ids[q] not in index.ids[found]
 
 
 def test_toxicity_on_held_out_rows(spark):
