@@ -9,12 +9,16 @@ the lines that it finds good are taken as good, except the worst line.
 A document's quality is the mean of its lines' forward-backward marginals, weighted by
 their lengths, put through a logistic curve fitted on the same documents.
 
-Fitted on at most FIT_DOCS labelled documents (those of more than FIT_LINES lines are not
-fitted on); scoring covers every line of every text. The model is a few hundred numbers.
+Fitted on all lines of at most FIT_DOCS labelled documents; while the field is fitted, a
+document of more than FIT_LINES lines goes as several chains, so that short and long ones move
+side by side. Its features, the curve and every score are of whole chains and cover every line
+of every text. The model is a few hundred numbers.
 
 Defined results: null, empty and wordless texts have no lines: the score of a text all bad;
-without labels of both kinds every score is 0.5; repeated rows each give a row; null ids
-are scored and not held out; extra columns are ignored.
+without labels of both kinds every score is 0.5; several labels of an id: the greatest; rows
+that repeat an id each give a row, and are learnt from once (the smallest text); null ids
+are scored, not held out and never learnt from; very long texts count whole; no rows: no rows;
+ties of score at 0.5 are predicted 1; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -162,15 +166,17 @@ def fit_field(bins: np.ndarray, size: np.ndarray, doc: np.ndarray, quality: np.n
     """bins, size, doc: lines in order; quality[doc]: 1 good, 0 bad. Adam on the conditional likelihood of the lines."""
     columns = columns_of(bins, doc)
     n = len(columns)
+    place = np.arange(n) - np.searchsorted(doc, doc)
+    chain = np.cumsum(np.r_[False, (doc[1:] != doc[:-1]) | (place[1:] % FIT_LINES == 0)])
     state = quality[doc].astype(float)
     weight = np.zeros(WIDTH)
     step = np.zeros((2, 2))
     field = Field(weight, step)
-    inner = np.flatnonzero(np.r_[False, doc[1:] == doc[:-1]])
+    inner = np.flatnonzero(np.r_[False, chain[1:] == chain[:-1]])
     for turn in range(rounds):
         m, v = np.zeros(WIDTH + 4), np.zeros(WIDTH + 4)
         for t in range(1, steps + 1):
-            good, joint = field.marginals(columns, doc, pairs=True)
+            good, joint = field.marginals(columns, chain, pairs=True)
             seen = np.zeros((2, 2))
             np.add.at(seen, (state[inner - 1].astype(int), state[inner].astype(int)), 1)
             g = np.zeros(WIDTH)
@@ -180,7 +186,7 @@ def fit_field(bins: np.ndarray, size: np.ndarray, doc: np.ndarray, quality: np.n
             move = 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             field.weights, field.step = field.weights + move[:WIDTH], field.step + move[WIDTH:].reshape(2, 2)
         if turn + 1 < rounds:
-            good = field.marginals(columns, doc)
+            good = field.marginals(columns, chain)
             relabelled = np.where(quality[doc] == 1, 1.0, (good > 0.5).astype(float))
             worst = np.lexsort((good, doc))
             worst = worst[np.r_[True, doc[worst][1:] != doc[worst][:-1]]]
@@ -211,7 +217,7 @@ def score_texts(field: Field, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(a * _logit(raw) + b, -30, 30)))
 
 
-def learn(documents: DataFrame, labels: DataFrame, learn_rows, seed: int = 23) -> Field | None:
+def learn(documents: DataFrame, labels: DataFrame, learn_rows, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> Field | None:
     import pyarrow as pa
 
     chosen = sample(labels.where("quality in (0, 1)"), "quality", learn_rows, FIT_DOCS, seed)
@@ -221,7 +227,7 @@ def learn(documents: DataFrame, labels: DataFrame, learn_rows, seed: int = 23) -
             bins, size, doc = line_bins(batch.column(2).to_pylist())
             n = batch.num_rows
             edge = np.searchsorted(doc, np.arange(n + 1))
-            keep = [i for i in range(n) if 0 < edge[i + 1] - edge[i] <= FIT_LINES]
+            keep = [i for i in range(n) if edge[i + 1] > edge[i]]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(keep, pa.int64())),
@@ -232,7 +238,7 @@ def learn(documents: DataFrame, labels: DataFrame, learn_rows, seed: int = 23) -
                 names=["id", "y", "bins", "size"],
             )
 
-    got = texts_of(documents, chosen).select("id", "y", "text").mapInArrow(lines, "id long, y int, bins binary, size array<double>").toPandas().sort_values("id", kind="stable")
+    got = texts_of(documents, chosen, id_col, text_col).select("id", "y", "text").mapInArrow(lines, "id long, y int, bins binary, size array<double>").toPandas().sort_values("id", kind="stable")
     if got["y"].nunique() < 2:
         return None
     sizes = [np.asarray(s) for s in got["size"]]
@@ -245,7 +251,7 @@ def score_quality(documents: DataFrame, labels: DataFrame, folds: int = 3, held:
     """doc_id, held_out, score (higher: good likelier), predicted; labels of the held-out fold are never learnt from."""
     import pyarrow as pa
 
-    field = learn(documents, labels, fold(F.col(id_col), folds) != held)
+    field = learn(documents, labels, fold(F.col("doc_id"), folds) != held, id_col=id_col, text_col=text_col)
     sent = documents.sparkSession.sparkContext.broadcast(field)
 
     def score(batches):
@@ -256,5 +262,5 @@ def score_quality(documents: DataFrame, labels: DataFrame, folds: int = 3, held:
                 values = np.full(len(texts), 0.5) if sent.value is None else score_texts(sent.value, texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values), pa.array((values >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold(F.col(id_col), folds) == held, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = documents.select(documents[id_col].cast("long").alias("doc_id"), F.coalesce(fold(documents[id_col], folds) == held, F.lit(False)).alias("held_out"), documents[text_col].cast("string").alias("text"))
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
