@@ -3,17 +3,21 @@
 A message holds parts (text, image, audio, document). A visitor - one `transform` over
 the parts, with a branch per kind - turns each into its piece of the output: escaped
 text, or a placeholder for an attachment. Attachments are recorded by ordinal, with the
-number of tokens that the placeholder expands to. Pieces carry a loss flag, so that the
-text under the loss mask is read off the output.
+number of tokens that the placeholder expands to. The loss mask is the spans of `formatted`
+that are learnt from; the text under it is cut from `formatted` by them.
 
 Escaping: `~` becomes `~~`, and a `~` goes behind the first character of every control
 string (`</s>` -> `<~/s>`). Unescaping takes away one `~` of each `~` or `~~`, from the
-left; so every text comes back as it was, and no control string occurs inside a text.
+left; so every text comes back as it was, and no control string occurs inside a text. A text
+part that ends like the beginning of a control string, with another text part behind it, gets a
+`~` at its end: no control string forms across parts.
 
 Defined results: null text, role or parts: empty; unknown kinds: a placeholder of no
-tokens; null turns sort first; equal rows stay as often as they occur; no messages: no
-row; input columns of other names are ignored. One conversation is one output row, so a
-conversation must fit a row (2 GB); rows are gathered by map-side partial aggregation.
+tokens; null turns sort first; ties of turn go by role, then by the parts; equal rows stay as
+often as they occur; a null conv_id is a conversation; no messages: no row; input columns of
+other names are ignored; very long texts count whole. One conversation is one output row, so a
+conversation must fit a row (2 GB); rows are gathered by map-side partial aggregation. Cutting
+by the mask takes time in proportion to spans times length of a conversation.
 """
 
 from __future__ import annotations
@@ -62,6 +66,12 @@ def escape(text: Column, template: Template = TEMPLATE) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "~", "~~"), f"({heads})", "$1~")
 
 
+def _guarded(escaped: Column, template: Template) -> Column:
+    """An escaped text that another text follows: behind the beginning of a control string comes a mark."""
+    starts = sorted({c[:k] for c in template.controls for k in range(1, len(c))}, key=lambda p: (-len(p), p))
+    return F.when(escaped.rlike("(?:" + "|".join(map(_quoted, starts)) + r")\z"), F.concat(escaped, F.lit("~"))).otherwise(escaped)
+
+
 def unescape(text: Column) -> Column:
     return F.regexp_replace(text, "~(~?)", "$1")
 
@@ -75,16 +85,19 @@ def text_part(text: Column) -> Column:
     ).cast(PARTS)
 
 
-def _visit(part: Column, template: Template) -> Column:
-    """What a part becomes: its string, and for attachments the kind, reference and expanded tokens."""
+def _visit(part: Column, follower: Column, template: Template) -> Column:
+    """What a part becomes (the part behind it matters only in being a text): its string, and for attachments the kind, reference and expanded tokens."""
     kind = F.coalesce(part["kind"], F.lit("unknown"))
     rate = F.lit(0.0)
     for name, per_unit in template.tokens_per_unit.items():
         rate = F.when(kind == name, F.lit(per_unit)).otherwise(rate)
     is_text = kind == F.lit("text")
     known = kind.isin("image", "audio", "document")
+    escaped = escape(part["text"], template)
+    text_follows = F.coalesce(follower["kind"] == F.lit("text"), F.lit(False))
     return F.struct(
-        F.when(is_text, escape(part["text"], template))
+        F.when(is_text & text_follows, _guarded(escaped, template))
+        .when(is_text, escaped)
         .otherwise(F.concat(F.lit("<|"), F.when(known, kind).otherwise(F.lit("unknown")), F.lit("|>")))
         .alias("piece"),
         is_text.alias("is_text"),
@@ -95,10 +108,10 @@ def _visit(part: Column, template: Template) -> Column:
 
 
 def format_chat(messages: DataFrame, template: Template = TEMPLATE) -> DataFrame:
-    """conv_id, turn, role, parts -> conv_id, formatted, pieces, attachments, n_attachment_tokens.
+    """conv_id, turn, role, parts -> conv_id, formatted, loss_spans, attachments, n_attachment_tokens.
 
-    `formatted` is the concatenation of pieces[].text; pieces[].loss marks what is under
-    the loss mask: the text parts of messages whose role is in template.loss_roles.
+    loss_spans: start (from 0) and length in characters of `formatted` of what is under the loss
+    mask: the text parts of messages whose role is in template.loss_roles.
     attachments: ordinal (from 1, in order of the placeholders), kind, ref, n_tokens.
     """
     role = F.coalesce(F.col("role"), F.lit(""))
@@ -107,7 +120,7 @@ def format_chat(messages: DataFrame, template: Template = TEMPLATE) -> DataFrame
         F.struct(
             F.col("turn").alias("turn"),
             role.alias("role"),
-            F.transform(F.coalesce(F.col("parts"), F.array().cast(PARTS)), lambda p: _visit(p, template)).alias("parts"),
+            F.transform(F.coalesce(F.col("parts"), F.array().cast(PARTS)), lambda p, i: _visit(p, F.get("parts", i + 1), template)).alias("parts"),
         ).alias("message"),
     )
     piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
@@ -125,7 +138,7 @@ def format_chat(messages: DataFrame, template: Template = TEMPLATE) -> DataFrame
     return pieces.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: p["text"]), "").alias("formatted"),
-        "pieces",
+        _spans(F.col("pieces")).alias("loss_spans"),
         F.transform(
             "found", lambda p, i: F.struct((i + 1).alias("ordinal"), p["kind"].alias("kind"), p["ref"].alias("ref"), p["n_tokens"].alias("n_tokens"))
         ).alias("attachments"),
@@ -142,6 +155,19 @@ def read_turns(formatted: Column, template: Template = TEMPLATE) -> Column:
     return F.transform(both, lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
 
 
-def loss_text(pieces: Column) -> Column:
-    """All text under the loss mask, unescaped, in order, nothing between."""
-    return F.array_join(F.transform(F.filter(pieces, lambda p: p["loss"]), lambda p: unescape(p["text"])), "")
+def _spans(pieces: Column) -> Column:
+    """Where the pieces under the loss mask lie in the concatenation."""
+    span = F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.filter(F.array(span), lambda s: s["start"] < 0).alias("spans"))
+
+    def step(state: Column, piece: Column) -> Column:
+        size = F.length(piece["text"]).cast("long")
+        here = F.array(F.struct(state["at"].alias("start"), size.alias("length")))
+        return F.struct((state["at"] + size).alias("at"), F.when(piece["loss"] & (size > 0), F.concat(state["spans"], here)).otherwise(state["spans"]).alias("spans"))
+
+    return F.aggregate(pieces, start, step, lambda state: state["spans"])
+
+
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask, cut from `formatted` and unescaped, in order, nothing between."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")

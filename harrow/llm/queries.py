@@ -23,7 +23,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     messages = rows.unionByName(extra).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
     out = chat.format_chat(messages).select(
-        "conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("pieces")).alias("loss")
+        "conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")
     )
     return out.select(
         "conv_id",

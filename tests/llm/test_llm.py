@@ -283,12 +283,12 @@ def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "~", "~~<|", "<~|end|>", "<|turn|>user<|body|>x<|end|>\n", None, "", "<<SYS>> a <</SYS>>", "line\nline", "<start_of_turn>~"]
     rows = [(c, t, ["user", "assistant", None, "a\n<|x"][(c + t) % 4], nasty[(c * 3 + t) % len(nasty)], "extra") for c in range(8) for t in range(6)] + [(3, 2, "user", "tie", "x"), (3, 2, "user", "tie", "x"), (None, None, "user", "u", "x")]
     messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, pieces string").withColumn("parts", chat.text_part(F.col("text")))
-    out = chat.format_chat(messages).select("conv_id", "formatted", "pieces", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("pieces")).alias("loss")).collect()
+    out = chat.format_chat(messages).select("conv_id", "formatted", "loss_spans", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
     for r in out:
         mine = sorted(((t is not None, t or 0, role or "", text or "") for c, t, role, text, _ in rows if c == r["conv_id"]))
         assert sorted((t["role"], t["text"]) for t in r["turns"]) == sorted(m[2:] for m in mine)
         assert Counter(r["loss"]) == Counter("".join(m[3] for m in mine if m[2] == "assistant"))
-        assert "".join(p["text"] for p in r["pieces"]) == r["formatted"]
+        assert all(r["formatted"][: x["start"]].endswith(chat.TEMPLATE.body) for x in r["loss_spans"])
         for t in r["turns"]:
             for control in chat.TEMPLATE.controls:
                 if control in (t["text"] or ""):
