@@ -50,7 +50,7 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("cc-by-4.0-line", "CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("cc-by-sa-4.0-line", "CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("cc-by-4.0-notice", "CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("bsd-line", "BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("bsd-line", "BSD-style", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
 )
 
 _BSD_DISCLAIMER = (
@@ -86,6 +86,23 @@ _GPL2_HEADER = (
     "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
 )
 
+_EPL2_NOTICE = (
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"
+)
+_BOOST = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") "
+    "to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is "
+    "furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following "
+    "disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form "
+    "of machine-executable object code generated by a source language processor."
+)
+_CC0_NOTICE = (
+    "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is "
+    "distributed without any warranty."
+)
+_WTFPL_TERMS = "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."
+_BSD_LINE_3 = "Redistribution and use in source and binary forms, with or without modification, are permitted under the terms of the BSD 3-Clause License."
+
 #: Licence texts that TEMPLATES lacks.
 MORE_TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("bsd-2-text", "BSD-2-Clause", _BSD_2 + _BSD_DISCLAIMER),
@@ -94,5 +111,11 @@ MORE_TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("unlicense-text", "Unlicense", _UNLICENSE),
     ("gpl-2.0-header", "GPL-2.0", _GPL2_HEADER),
     ("lgpl-2.1-header", "LGPL-2.1", _GPL2_HEADER.replace("GNU General", "GNU Lesser General").replace("version 2 of", "version 2.1 of").replace("program", "library")),
+    ("lgpl-3.0-header", "LGPL-3.0", _GPL3_HEADER.replace("GNU General", "GNU Lesser General")),
+    ("epl-2.0-notice", "EPL-2.0", _EPL2_NOTICE),
+    ("boost-text", "BSL-1.0", _BOOST),
+    ("cc0-notice", "CC0-1.0", _CC0_NOTICE),
+    ("wtfpl-terms", "WTFPL", _WTFPL_TERMS),
+    ("bsd-3-line", "BSD-3-Clause", _BSD_LINE_3),
     ("agpl-3.0-header", "AGPL-3.0", _GPL3_HEADER.replace("GNU General", "GNU Affero General")),
 )

@@ -21,7 +21,8 @@ small list).
 
 Defined results: null, empty or one-word texts have no bigrams and no finds; each find is
 given once per template with its best score (the first such segment); ties between
-templates go to the name; repeated rows each give a row; extra columns are ignored.
+templates go to the name; repeated rows each give a row; very long texts count whole; no rows:
+no rows; null ids keep their row; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -80,11 +81,12 @@ def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, license and score of the best find (null without one), finds: array of (template, license, score, segment)."""
     grams = [plain_bigrams(t[2]) for t in templates]
     words = anchors(grams, threshold)
-    pattern = r"(?i)\b(?:" + "|".join(w.replace(" ", r"[^\p{L}\p{N}]+") for w in words) + r")\b"
+    # the normaliser's idea of a word's ends, and its lower case, on the text as it is
+    pattern = r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(w.replace(" ", r"[^\p{L}\p{N}]+") for w in words) + r")(?![\p{L}\p{N}])"
     reach = (2 - threshold) / threshold
     least, most = min(map(len, grams)) / reach, max(map(len, grams)) * reach
     literals = F.array(*[F.struct(F.lit(t[0]).alias("template"), F.lit(t[1]).alias("license"), F.array(*map(F.lit, g)).alias("grams")) for t, g in zip(templates, grams, strict=True)])
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(documents[text_col], F.lit(""))
     # A segment of more characters than words of any length could need is still compared by words: only sizes prune.
     segments = F.when(
         text.rlike(pattern),
@@ -145,7 +147,7 @@ def scan_licenses(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         wanted = F.filter("_templates", lambda t: ~F.exists("_finds", lambda f: (f["template"] == t["template"]) & (f["score"] == 1)))
         return F.when(F.size(words) >= 2, let(pairs, lambda p: F.flatten(F.transform(wanted, lambda t: spans(words, p, t)))))
 
-    counted = documents.select(F.col(id_col).alias("doc_id"), anchored.alias("_segments"), F.when(F.size(segments) > 0, text).alias("_text")).withColumn("_templates", literals)
+    counted = documents.select(documents[id_col].alias("doc_id"), anchored.alias("_segments"), F.when(F.size(segments) > 0, text).alias("_text")).withColumn("_templates", literals)
     found = counted.withColumn("_finds", F.flatten(F.transform("_segments", compare)))
     beyond = F.when(F.col("_text").isNotNull(), let(F.split(normalised(F.col("_text")), " "), in_text))
     found = found.withColumn("_finds", F.coalesce(F.concat("_finds", beyond), F.col("_finds")))

@@ -7,7 +7,7 @@ op4 (rolling hash: planted passages).
 from __future__ import annotations
 
 from harrow.llm.chat import TEMPLATE
-from harrow.llm.license_texts import TEMPLATES
+from harrow.llm.license_texts import MORE_TEMPLATES, TEMPLATES
 from harrow.llm.mixing import Mix
 from harrow.llm.rules import Rules
 
@@ -77,12 +77,12 @@ ORACLES["op7_one_bit_neighbours"] = """with v as (select vec_id, embedding::doub
 
 
 def _licenses() -> str:
-    values = ", ".join(f"('{t[0]}', '{t[1]}', '{t[2].replace(chr(39), chr(39) * 2)}')" for t in TEMPLATES)
+    values = ", ".join(f"('{t[0]}', '{t[1]}', '{t[2].replace(chr(39), chr(39) * 2)}')" for t in TEMPLATES + MORE_TEMPLATES)
     normal = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return f"""with t as (select template, license, {grams} as g from (select template, license, string_split({normal.format('wording')}, ' ') as w from (values {values}) v(template, license, wording))),
     seg as (select distinct doc_id, s from (select doc_id, unnest(list_concat([text], list_concat(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), string_split(text, chr(10))))) as s from documents where text is not null)),
-    b as (select doc_id, {grams} as g from (select doc_id, string_split({normal.format('s')}, ' ') as w from seg where regexp_matches(s, '(?i)licen|mit|copy|warrant|permi|source|cc')) where len(w) >= 2),
+    b as (select doc_id, {grams} as g from (select doc_id, string_split({normal.format('s')}, ' ') as w from seg) where len(w) >= 2),
     d as (select doc_id, template, license, 2.0::double * len(list_intersect(b.g, t.g)) / (len(b.g) + len(t.g)) as score from b, t where len(b.g) <= 1.5 * len(t.g) and len(t.g) <= 1.5 * len(b.g)),
     f as (select doc_id, template, license, max(score) as score from d where score >= 0.8 group by all),
     o as (select *, row_number() over (partition by doc_id order by score desc, template) as r, count(*) over (partition by doc_id) as n from f)
