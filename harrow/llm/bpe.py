@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries that a cache holds before it is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 120_000
 #: Rows encoded at once; a batch returned is as long.
 OUT_ROWS = 256
 #: Words of more bytes are merged one by one.
