@@ -10,12 +10,14 @@ product of code and rotated centroid. With x the code over sqrt(d), f = <x, dire
 
 but for a chance that falls as exp(-c z^2) (z = `error_scale`). A query first reranks the
 vectors with the best estimates by their exact distances; the worst of its k best is a
-radius. Every vector whose lower bound is inside the radius is reranked as well, on the
-original components in double precision, so only a failed bound can lose a neighbour.
+radius, which shrinks as a partition's blocks go by. Every vector whose lower bound is inside
+the radius is reranked as well, on the original components in double precision, so only a
+failed bound can lose a neighbour.
 
 The index holds every row. Queries are a stated set: they are dealt into chunks of at
 most about `chunk` vectors, each chunk is broadcast (chunk x dimension x 4 bytes) and
-meets all index rows where they lie; partial top-k lists are merged by a window.
+meets all index rows where they lie; a partition gives k rows a query, merged by a window. For a
+query set that grows with the table the work is its square, in bits: see the README for figures.
 
 Defined results: vectors that are null, zero, of another length than `dim` (None: the
 commonest length), or that hold null or non-finite components take no part; rows with
@@ -81,43 +83,52 @@ def encode(vectors: np.ndarray, centroids: np.ndarray, turn: np.ndarray) -> tupl
     return np.packbits(bits, axis=1), near, norm, fix, (code * (centroids @ turn)[near]).sum(1)
 
 
-def search_block(q_ids, queries, ids, vectors, coded, centroids, turn, k: int, index: Index):
-    """For each query its k nearest in the block: places of queries and vectors, and distances."""
+class Best:
+    """The k nearest found so far of every query, over the blocks of a partition; the worst of them is the query's radius."""
+
+    def __init__(self, q_ids: np.ndarray, queries: np.ndarray, k: int):
+        self.q_ids, self.queries, self.k = q_ids, queries, k
+        self.distance = np.full((len(queries), k), np.inf)
+        self.id = np.zeros((len(queries), k), np.int64)
+
+    def take(self, i: int, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Exact distances of vectors to query i, merged with what it has; of equal distances the smaller ids stay."""
+        d = np.r_[self.distance[i], np.sqrt(((vectors - self.queries[i]) ** 2).sum(1))]
+        every = np.r_[self.id[i], ids]
+        order = np.lexsort((every, d))[: self.k]
+        self.distance[i], self.id[i] = d[order], every[order]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j = np.nonzero(np.isfinite(self.distance))
+        return self.q_ids[i], self.id[i, j], self.distance[i, j]
+
+
+def search_block(best: Best, ids, vectors, coded, centroids, turn, index: Index) -> None:
+    """Reranks the vectors of a block whose lower bound is within a query's radius; a query that has
+    no k neighbours yet takes those with the best estimates first."""
     bits, near, norm, fix, offset = coded
     dim = vectors.shape[1]
     code = (np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
-    out_q, out_v, out_d = [], [], []
-    for start in range(0, len(queries), 256):
-        q = queries[start : start + 256]
+    for start in range(0, len(best.queries), 256):
+        q = best.queries[start : start + 256]
         gap2 = ((q[:, None] - centroids[None]) ** 2).sum(2)[:, near]  # |q - c|^2 for each vector's own centroid
         product = (q @ turn).astype(np.float32) @ code.T - offset.astype(np.float32)[None]
         estimate = norm[None] ** 2 + gap2 - 2 * norm[None] * product / fix[None]
         error = 2 * norm[None] * np.sqrt(gap2) * (index.error_scale * np.sqrt(np.maximum(0, 1 - fix**2) / fix**2 / max(1, dim - 1)))[None]
-        own = q_ids[start : start + 256][:, None] == ids[None]
-        estimate = np.where(own, np.inf, estimate)
+        estimate = np.where(best.q_ids[start : start + 256][:, None] == ids[None], np.inf, estimate)
         low = estimate - error
-        exact = lambda i, at, q=q: np.sqrt(((vectors[at] - q[i]) ** 2).sum(1))
-        first = min(max(index.first_rerank, k), len(ids))
-        best = np.argpartition(estimate, first - 1, axis=1)[:, :first]
         for i in range(len(q)):
-            at = best[i][np.isfinite(estimate[i][best[i]])]
-            if not len(at):
-                continue
-            d = exact(i, at)
-            if len(at) >= k:
-                radius = np.partition(d, k - 1)[k - 1]
-                more = np.flatnonzero(low[i] <= radius * radius * (1 + 1e-6) + 1e-9)
-                more = more[~np.isin(more, at) & np.isfinite(estimate[i][more])]
-            else:
-                more = np.empty(0, np.int64)
-            at, d = np.concatenate([at, more]), np.concatenate([d, exact(i, more)])
-            order = np.lexsort((ids[at], d))[:k]
-            out_q.append(np.full(len(order), start + i))
-            out_v.append(at[order])
-            out_d.append(d[order])
-    if not out_q:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_d)
+            live = np.isfinite(estimate[i])
+            if not np.isfinite(best.distance[start + i, -1]):
+                first = min(max(index.first_rerank, best.k), len(ids))
+                at = np.argpartition(estimate[i], first - 1)[:first]
+                at = at[live[at]]
+                best.take(start + i, ids[at], vectors[at])
+                live[at] = False
+            radius = best.distance[start + i, -1]
+            more = np.flatnonzero(live & (low[i] <= radius * radius * (1 + 1e-6) + 1e-9))
+            if len(more):
+                best.take(start + i, ids[more], vectors[more])
 
 
 def _matrix(column) -> np.ndarray:
@@ -178,16 +189,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int | None
         sent = spark.sparkContext.broadcast((chunk["query_id"].to_numpy(np.int64), np.stack(chunk["vector"].to_numpy())))
 
         def run(batches, sent=sent):
-            q_ids, q = sent.value
+            best = Best(*sent.value, k)
             for whole in batches:
                 for at in range(0, whole.num_rows, 4096):
                     batch = whole.slice(at, 4096)
                     ids, matrix = batch.column(0).to_numpy(), _matrix(batch.column(1))
                     bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-                    coded = (bits, *(batch.column(i).to_numpy() for i in (3, 4, 5, 6)))
-                    i, v, d = search_block(q_ids, q, ids, matrix, coded, centroids, turn, k, index)
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(ids[v]), pa.array(d)], names=["query_id", "vec_id", "score"])
+                    search_block(best, ids, matrix, (bits, *(batch.column(i).to_numpy() for i in (3, 4, 5, 6))), centroids, turn, index)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best.rows()], names=["query_id", "vec_id", "score"])
 
         found = table.mapInArrow(run, "query_id long, vec_id long, score double")
         parts.append(scratch.keep(found, f"found-{c}"))
