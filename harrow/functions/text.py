@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,34 +22,37 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf(T.StringType())
-def _numeric_entities(values: pd.Series) -> pd.Series:
-    import re
-
-    def one(m: re.Match) -> str:
-        code = int(m[1]) if m[1] else int(m[2], 16)
-        return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else m[0]
-
-    return values.map(lambda v: None if v is None else re.sub(r"&#(?:(\d+)|[xX]([0-9a-fA-F]+));", one, v))
-
-
 def let(value: Column, body) -> Column:
     """body(value), with value worked out once however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode NFKC; ASCII texts (for which it changes nothing) skip Python."""
-    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfkc(text))
+    """Unicode NFKC. Python gets nulls for ASCII texts, for which it changes nothing. `text` is written three times: keep it a plain column."""
+    return F.coalesce(_nfkc(F.when(~text.rlike(r"^\p{ASCII}*$"), text)), text)
+
+
+def _code_point(code: Column) -> Column:
+    """The character of a code point (no surrogate)."""
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def _numeric_entities(text: Column) -> Column:
+    """Decimal and hexadecimal entities of characters; others stay as they are."""
+
+    def one(part: Column) -> Column:
+        tens, sixteens = F.regexp_extract(part, "^0*([0-9]{1,7});", 1), F.regexp_extract(part, "^[xX]0*([0-9a-fA-F]{1,6});", 1)
+        code = F.when(tens != "", tens.cast("long")).when(sixteens != "", F.conv(sixteens, 16, 10).cast("long"))
+        fits = (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(fits, F.concat(_code_point(code), F.regexp_replace(part, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), part))
+
+    return let(F.split(text, "&#"), lambda parts: F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(one(p))), ""))
 
 
 def decode_entities(text: Column) -> Column:
-    """Decimal, hexadecimal and the named entities, in one left-to-right sense: `&amp;lt;` gives `&lt;`."""
-    numeric = F.when(text.contains("&#"), _numeric_entities(text)).otherwise(text)
-    out = numeric
-    for name, value in ENTITIES.items():  # the ampersand last, so that what it makes is not decoded again
-        out = F.regexp_replace(out, f"(?i)&{name};", value)
-    return out
+    """Decimal, hexadecimal and the named entities, in one left-to-right sense: `&amp;lt;` gives `&lt;`. Native, and usable inside higher-order functions."""
+    numeric = lambda t: F.when(t.contains("&#"), _numeric_entities(t)).otherwise(t)
+    return let(text, lambda t: F.when(t.contains("&"), let(numeric(t), decode_entities_named)).otherwise(t))
 
 
 def js_trim(text: Column) -> Column:
@@ -78,10 +81,9 @@ def lines_of(text: Column, bullets: str = BULLETS) -> Column:
 
 def distinct_lines(lines: Column) -> Column:
     """The first of the lines that are equal but for white space and case, in their order: two sorts, no comparison of each line with each."""
-    bind = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
     keyed = F.transform(lines, lambda s, i: F.struct(F.lower(F.regexp_replace(s, WIDE_SPACE, "")).alias("key"), i.alias("i"), s.alias("line")))
     firsts = lambda by_key: F.filter(by_key, lambda s, j: (j == 0) | (F.get(by_key, j - 1)["key"] != s["key"]))
-    in_order = F.array_sort(F.transform(bind(F.array_sort(keyed), firsts), lambda s: F.struct(s["i"].alias("i"), s["line"].alias("line"))))
+    in_order = F.array_sort(F.transform(let(F.array_sort(keyed), firsts), lambda s: F.struct(s["i"].alias("i"), s["line"].alias("line"))))
     return F.transform(in_order, lambda s: s["line"])
 
 
@@ -102,12 +104,12 @@ def semantic_lines(text: Column, labels: list[str]) -> Column:
 
 def context_windows(text: Column, pattern: str, radius: int, most: int) -> Column:
     """Up to `most` windows of `radius` characters around the matches of pattern."""
-    parts = F.split(F.regexp_replace(text, f"({pattern})", "\u0001$1\u0002"), "\u0001")
-    lengths = F.transform(parts, lambda p: F.length(F.replace(p, F.lit("\u0002"), F.lit(""))))
-    plain = F.replace(F.replace(text, F.lit("\u0001"), F.lit("")), F.lit("\u0002"), F.lit(""))
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, b: a + b))
-    starts = F.slice(ends, 1, F.least(F.lit(most), F.size(ends) - 1))
-    return F.transform(starts, lambda s: F.substring(plain, F.greatest(s - radius, F.lit(0)) + 1, F.least(s, F.lit(radius)) + F.lit(radius)))
+    parts = F.split(F.regexp_replace(text, f"({pattern})", "\u0001$1"), "\u0001")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    # where a match begins: one pass with a running length, over no more parts than windows are wanted
+    step = lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.concat(s["found"], F.array(s["at"] + F.length(p))).alias("found"))
+    starts = F.aggregate(F.slice(parts, F.lit(1), F.least(F.lit(most), F.size(parts) - 1)), start, step, lambda s: s["found"])
+    return F.transform(starts, lambda s: F.substring(text, F.greatest(s - radius, F.lit(0)) + 1, F.least(s, F.lit(radius)) + F.lit(radius)))
 
 
 def meta_content(html: Column, name: str) -> Column:
@@ -126,7 +128,7 @@ def tag_text(html: Column, tag: str) -> Column:
 def image_alts(html: Column) -> Column:
     """Alternative texts of the images, decoded, empty ones dropped, first of equal ones kept."""
     alts = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?is)<img\b[^>]*\balt=["\']([^"\']*)["\']'), 1)
-    return F.array_distinct(F.filter(F.transform(alts, lambda a: js_trim(decode_entities_named(a))), lambda a: a != ""))
+    return F.array_distinct(F.filter(F.transform(alts, lambda a: js_trim(decode_entities(a))), lambda a: a != ""))
 
 
 def decode_entities_named(text: Column) -> Column:
@@ -148,7 +150,7 @@ def section_after(lines: Column, label: Column | str, stops: list[str], most: in
         behind = F.slice(ls, at + 1, most)
         ends = F.array_position(F.transform(behind, lambda s: _starts_any(s, stops)), True).cast("int")
         taken = F.when(ends > 0, F.slice(behind, F.lit(1), F.greatest(ends - 1, F.lit(0)))).otherwise(behind)
-        own = js_trim(F.regexp_replace(F.substring(F.element_at(ls, F.greatest(at, F.lit(1))), F.length(label) + 1, F.lit(1 << 20)), r"^[:：\s]+", ""))
+        own = js_trim(F.regexp_replace(F.substring(F.element_at(ls, F.greatest(at, F.lit(1))), F.length(label) + 1, F.length(F.element_at(ls, F.greatest(at, F.lit(1))))), r"^[:：\s]+", ""))
         whole = F.concat(F.array(own), taken) if with_label else taken
         return F.when(at > 0, F.array_join(F.filter(whole, lambda s: s != ""), "\n")).otherwise(F.lit(""))
 
@@ -190,13 +192,22 @@ def short_hash(*parts: Column, length: int = 24) -> Column:
 
 
 def fingerprint(html: Column, longest: int = 500_000) -> Column:
-    """SHA-256 of a page's text without session tokens and hashes: equal for pages that read the same."""
-    text = nfkc(html_to_text(html))
-    text = F.regexp_replace(text, r"""(?i)\b(?:csrf|nonce|token)[-_:=\s"']+[a-z0-9_-]{12,}\b""", " ")
+    """SHA-256 of a page's text without session tokens and hashes: equal for pages that read the same. For tables see with_fingerprint."""
+    return fingerprint_of_text(html_to_text(html), longest)
+
+
+def fingerprint_of_text(plain: Column, longest: int = 500_000) -> Column:
+    """The same of a page's text; plain is written several times, so it should be a column."""
+    text = F.regexp_replace(nfkc(plain), r"""(?i)\b(?:csrf|nonce|token)[-_:=\s"']+[a-z0-9_-]{12,}\b""", " ")
     text = F.regexp_replace(text, r"(?i)\b[a-f0-9]{32,64}\b", " ")
     return F.sha2(F.left(js_trim(F.regexp_replace(text, WIDE_SPACE, " ")), F.lit(longest)), 256)
 
 
+def with_fingerprint(pages: DataFrame, html: str, name: str = "fingerprint") -> DataFrame:
+    """pages with the fingerprint of their HTML. The text is a projection of its own, so it is worked out once."""
+    return pages.withColumn("_plain", html_to_text(F.col(html))).withColumn(name, fingerprint_of_text(F.col("_plain"))).drop("_plain")
+
+
 def redact(message: Column, longest: int = 180) -> Column:
     """Error text without addresses and home paths, at most so many characters."""
     out = F.regexp_replace(F.coalesce(message, F.lit("")), r"(?i)https?://\S+", "[URL]")

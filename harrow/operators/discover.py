@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from harrow.functions import text as tx
@@ -32,15 +33,19 @@ class LinkRules:
     )
 
 
+def _is_pattern(text: str) -> bool:
+    """Whether the JVM, which will run it, takes text for a pattern."""
+    jvm = SparkSession.active()._jvm
+    try:
+        jvm.java.util.regex.Pattern.compile(text)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def matches_any(value: Column, patterns: tuple[str, ...]) -> Column:
-    """Whether any pattern is found in value."""
-    usable = []
-    for p in patterns:
-        try:
-            re.compile(p)
-            usable.append(f"(?:{p})")
-        except re.error:
-            usable.append(re.escape(p))
+    """Whether any pattern is found in value; what is no pattern is a literal."""
+    usable = [f"(?:{p})" if _is_pattern(p) else re.escape(p) for p in patterns]
     return value.rlike("(?iu)" + "|".join(usable)) if usable else F.lit(False)
 
 

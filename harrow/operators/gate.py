@@ -32,12 +32,14 @@ def valid_date(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))
 
 
+#: The names of the days, Sunday first.
 WEEKDAYS = ("日", "月", "火", "水", "木", "金", "土")
 
 
 def weekday_matches(text: Column, date: Column) -> Column:
     """Whether the last month/day(weekday) of the text is the date; texts without one and bad dates pass."""
-    pattern = r"(\d{1,2})[/月](\d{1,2})日?\s*[（(]([日月火水木金土])[)）]"
+    number = r"(\d{1,2})"
+    pattern = rf"{number}[/月]{number}日?\s*[（(]([{''.join(WEEKDAYS)}])[)）]"
     part = lambda g: F.element_at(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), g), -1)
     count = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern))
     day = F.try_to_date(date, "yyyy-MM-dd")
@@ -107,6 +109,9 @@ def description_like(name: Column, patterns: list[str], longest: int = 110, with
     return (F.length(text) >= longest) | ((F.length(text) >= with_prose) & text.rlike("|".join(patterns)))
 
 
-def assert_publishable(rows: DataFrame, errors: Column) -> DataFrame:
-    """rows, or an error when a row that violates the rules is read: nothing is written then."""
-    return rows.withColumn("_e", errors).where(F.when(F.size("_e") > 0, F.raise_error(F.concat(F.lit("not publishable: "), F.array_join("_e", ", ")))).otherwise(F.lit(True)).cast("boolean")).drop("_e")
+def assert_publishable(rows: DataFrame, errors: Column, shown: int = 5) -> DataFrame:
+    """rows, or a ValueError right here if any row violates the rules: nothing is written then. Reads rows once."""
+    bad = rows.select(errors.alias("_e")).where(F.size("_e") > 0).groupBy(F.array_join("_e", ", ").alias("e")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "e").limit(shown).collect()
+    if bad:
+        raise ValueError("not publishable: " + "; ".join(f"{r['e']} ({r['n']} rows)" for r in bad))
+    return rows

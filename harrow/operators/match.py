@@ -26,19 +26,19 @@ def best_match(values: DataFrame, value_col: str, labels: DataFrame, shortest: i
     ties to the earlier label (ordinal, id). Values under three characters match nothing.
 
     Containment has no equi-key, so pairs meet on `shortest`-character grams: a held string shares
-    its leading gram with its holder. That is a hash join on both directions, never a product.
+    its leading gram with its holder. That is a hash join on both directions, never a product; gram
+    rows hold hashes of the strings, which come back for the pairs that met.
     """
     rows = row_cols or [c for c in values.columns if c != value_col]
     target = values.select(*rows, F.col(value_col).alias("_t")).where(F.length("_t") >= 3)
     first = F.max_by(F.struct("ordinal", "id"), F.struct(-F.col("ordinal"), -F.col("id"))).alias("_first")
     keys = labels.groupBy(F.col("key").alias("_k")).agg(first).where("_k != ''").select("_first.id", "_first.ordinal", "_k")
-    head = lambda c: F.substring(c, 1, shortest)
-    long_key, long_value = F.length("_k") >= shortest, F.length("_t") >= shortest
     exact = target.join(keys, F.col("_t") == F.col("_k"))
-    held_keys = keys.where(long_key).withColumn("_g", head(F.col("_k")))
-    holds = target.where(long_value).withColumn("_g", F.explode(_grams(F.col("_t"), shortest))).join(held_keys, "_g").where(F.contains("_t", "_k") & (F.col("_t") != F.col("_k"))).drop("_g")
-    held_values = target.where(long_value).withColumn("_g", head(F.col("_t")))
-    inside = keys.where(long_key).withColumn("_g", F.explode(_grams(F.col("_k"), shortest))).join(held_values, "_g").where(F.contains("_k", "_t") & (F.col("_t") != F.col("_k"))).drop("_g")
+    texts = target.select("_t").distinct()
+    pairs = _held_pairs(texts, "_t", keys.select("_k"), "_k", shortest).where(F.col("_t") != F.col("_k"))
+    holds = target.join(pairs, "_t").join(keys, "_k")
+    pairs = _held_pairs(keys.select("_k"), "_k", texts, "_t", shortest).where(F.col("_t") != F.col("_k"))
+    inside = target.join(pairs, "_t").join(keys, "_k")
     gap = F.abs(F.length("_t") - F.length("_k"))
     cols = [*rows, "id", "ordinal", "_k"]
     scored = (
@@ -51,14 +51,27 @@ def best_match(values: DataFrame, value_col: str, labels: DataFrame, shortest: i
     return best.select(*rows, "b.*")
 
 
+def _held_pairs(holders: DataFrame, holder: str, held: DataFrame, part: str, shortest: int) -> DataFrame:
+    """Pairs (holder, part) of distinct strings where the holder contains the part, of `shortest` characters or more."""
+    mark = lambda c: F.xxhash64(c)
+    grams = holders.where(F.length(holder) >= shortest).select(mark(holder).alias("_h"), F.explode(_grams(F.col(holder), shortest)).alias("_g"))
+    heads = held.where(F.length(part) >= shortest).select(mark(part).alias("_p"), F.substring(part, 1, shortest).alias("_g"))
+    met = grams.join(heads, "_g").select("_h", "_p").distinct()
+    both = met.join(holders.withColumn("_h", mark(holder)), "_h").join(held.withColumn("_p", mark(part)), "_p")
+    return both.where(F.contains(holder, part)).select(holder, part)
+
+
 def longest_label(texts: DataFrame, text_col: str, labels: DataFrame, shortest: int = 3) -> DataFrame:
-    """texts with the id of the longest label (ties: smaller id) that their text holds; null without one. labels: id, label."""
-    rows = [c for c in texts.columns if c != text_col]
-    keys = labels.where(F.length("label") >= shortest).withColumn("_g", F.substring("label", 1, shortest))
-    grams = texts.select(*rows, F.col(text_col).alias("_t"), F.explode(_grams(F.col(text_col), shortest)).alias("_g"))
-    held = grams.join(keys, "_g").where(F.contains("_t", "label"))
-    best = held.groupBy(*rows).agg(F.max_by(F.struct("id", "label"), F.struct(F.length("label"), -F.col("id"))).alias("b"))
-    return texts.join(best, rows, "left").select(*texts.columns, F.col("b.id").alias("id"), F.col("b.label").alias("label"))
+    """texts with the id of the longest label (ties: smaller id) that their text holds; null without one. labels: id, label.
+
+    Gram rows hold a hash of the text, not the text; equal texts are looked up once.
+    """
+    once = texts.select(F.col(text_col).alias("_t")).where("_t is not null").distinct()
+    names = labels.groupBy("label").agg(F.min("id").alias("id"))
+    best = _held_pairs(once, "_t", names.select("label"), "label", shortest).join(names, "label")
+    best = best.groupBy(F.xxhash64("_t").alias("_h"), "_t").agg(F.max_by(F.struct("id", "label"), F.struct(F.length("label"), -F.col("id"))).alias("b"))
+    found = texts.withColumn("_h", F.xxhash64(text_col)).join(best, "_h", "left").where(F.col("_t").isNull() | (F.col("_t") == F.col(text_col)))
+    return found.select(*texts.columns, F.col("b.id").alias("id"), F.col("b.label").alias("label"))
 
 
 def expand_groups(items: DataFrame, groups: DataFrame, members: DataFrame, date_col: str = "release_date") -> DataFrame:

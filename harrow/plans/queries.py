@@ -201,7 +201,7 @@ def privacy_projection(spark, sf):
     rf"""select doc_id, sha256(left({_rx("regexp_replace(regexp_replace(" + _sql_text("text") + r", '(?i)\b(?:csrf|nonce|token)[-_:=\s\"'']+[a-z0-9_-]{12,}\b', ' ', 'g'), '(?i)\b[a-f0-9]{32,64}\b', ' ', 'g')", (r"\s+", "' '"), (r"^\s+|\s+$", "''"))}, 500000)) as fingerprint from documents"""
 )
 def doc_fingerprint(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.fingerprint(F.col("text")).alias("fingerprint"))
+    return tx.with_fingerprint(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "fingerprint")
 
 
 @query("select min(doc_id) as doc_id, count(*) as copies from (select *, coalesce(text, '') as t from documents) group by t")
@@ -215,7 +215,7 @@ def first_by_key(spark, sf):
     return merge.first_wins(table(spark, sf, "documents"), ["lang", "source"], [F.desc("n_chars"), F.asc("doc_id")]).select("doc_id", "lang", "source")
 
 
-@query(r"select doc_id, len(l) as n_lines, len(list_distinct(list_transform(l, lambda s: lower(regexp_replace(s, '\s+', '', 'g'))))) as n_distinct from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(regexp_replace(s, '^[\s・●■◆◇※]+', ''), '^\s+|\s+$', '', 'g')), lambda s: s <> '') as l from documents where n_chars < 4000)")
+@query(r"select doc_id, len(l) as n_lines, len(list_distinct(list_transform(l, lambda s: lower(regexp_replace(s, '\s+', '', 'g'))))) as n_distinct from (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(regexp_replace(s, '^[\s・●■◆◇※]+', ''), '^\s+|\s+$', '', 'g')), lambda s: s <> '') as l from documents)")
 def line_dedupe(spark, sf):
     lines = table(spark, sf, "documents").select("doc_id", tx.lines_of(F.col("text")).alias("l"))
     return lines.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.size(tx.distinct_lines(F.col("l"))).cast("long").alias("n_distinct"))
@@ -244,7 +244,7 @@ _SQL_NORM = lambda c: f"regexp_replace(lower({c}), '[^a-z0-9]+', '', 'g')"  # no
 
 
 @query(
-    f"""with v as (select distinct {_SQL_NORM("p_type || ' ' || p_name")} as t from part), k as (select p_partkey as id, {_SQL_NORM("p_name")} as k from part where p_partkey < 400),
+    f"""with v as (select distinct {_SQL_NORM("p_type || ' ' || p_name")} as t from part), k as (select p_partkey as id, {_SQL_NORM("p_name")} as k from part),
     s as (select t, id, k, case when t = k then 10000 + length(k) when length(k) >= 4 and contains(t, k) then 2000 + length(k) - 2 * abs(length(t) - length(k)) when length(t) >= 4 and contains(k, t) then 1000 + length(t) - 3 * abs(length(t) - length(k)) end as score from v, k where length(t) >= 3)
     select t as value, id, k as label, score::int as score from (select *, row_number() over (partition by t order by score desc, id) as r from s where score is not null) where r = 1"""
 )
@@ -257,7 +257,8 @@ def best_match(spark, sf):
 
 
 @query(
-    """with l as (select item_id as id, substr(text, 1, 40) as label from benchmark) select doc_id, id, label from (select d.doc_id, l.id, l.label, row_number() over (partition by d.doc_id order by length(l.label) desc, l.id) as r from documents d join l on contains(d.text, l.label)) where r = 1"""
+    """select doc_id, id, label from (select d.doc_id, b.item_id as id, b.text as label, row_number() over (partition by d.doc_id order by length(b.text) desc, b.item_id) as r
+    from documents d left join benchmark b on length(b.text) >= 24 and contains(d.text, b.text)) where r = 1"""
 )
 def longest_label(spark, sf):
     labels = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("label"))
@@ -266,9 +267,9 @@ def longest_label(spark, sf):
 
 
 @query(
-    """with g as (select p_brand as group_id, p_type as release_date, lower(substr(p_name, 1, 3)) as stem, count(*) as n from part where p_size <= 5 group by all),
+    """with g as (select p_brand as group_id, p_type as release_date, lower(substr(p_name, 1, 3)) as stem, count(*) as n from part group by all),
     groups as (select group_id, release_date, min(stem) as stem, 0 as advertised from g group by all),
-    pairs as (select group_id, release_date, p_partkey as member_id from groups join part on p_type = release_date where p_size > 45 and starts_with(lower(p_name), stem))
+    pairs as (select group_id, release_date, p_partkey as member_id from groups join part on p_type = release_date where starts_with(lower(p_name), stem))
     select group_id, release_date, member_id from groups left join pairs using (group_id, release_date)"""
 )
 def group_expand(spark, sf):

@@ -61,9 +61,9 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_split(rows: DataFrame, status: str, root: str, parts: tuple[str, ...] = ("published", "review", "rejected")) -> None:
-    """One output per status, from one pass over rows: partitioned Parquet."""
-    rows.where(F.col(status).isin(*parts)).write.mode("overwrite").partitionBy(status).parquet(root)
+def write_split(rows: DataFrame, status: str, root: str) -> None:
+    """One folder per status, from one pass over rows: partitioned Parquet. Rows without a status are under review."""
+    rows.withColumn(status, F.coalesce(F.col(status), F.lit("review"))).write.mode("overwrite").partitionBy(status).parquet(root)
 
 
 def write_version(rows: DataFrame, root: str, expected: int) -> int:
