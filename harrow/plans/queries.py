@@ -644,7 +644,7 @@ def explode_products(spark, sf):
 # ---- Japanese dates and parsers: inline rows
 
 
-@query()
+@query()  # their SQL, the expected rows, is in plans.more
 def japanese_dates(spark, sf):
     from harrow.functions import dates
 

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from harrow.plans.queries import ORACLES, QUERIES
+from harrow.plans.more import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
