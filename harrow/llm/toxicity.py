@@ -102,8 +102,8 @@ class Index:
         order = np.lexsort((ids, top))
         self.ids, self.labels = ids[order], labels[order]
         n = len(ids)
-        example = np.concatenate([np.full(len(vectors[e][0]), i, np.int32) for i, e in enumerate(order)] or [np.empty(0, np.int32)])
-        term = np.concatenate([vectors[e][0] for e in order] or [np.empty(0, np.int64)])
+        example = np.repeat(np.arange(n, dtype=np.int32), [len(vectors[e][0]) for e in order])
+        term = np.concatenate([vectors[e][0] for e in order] or [np.empty(0, np.int32)]).astype(np.int32)
         weight = np.concatenate([vectors[e][1] for e in order] or [np.empty(0)])
         by = np.argsort(term, kind="stable")
         self.example, self.weight = example[by], weight[by]
@@ -170,16 +170,6 @@ class Index:
         return score, [{"id": int(self.ids[e]), "label": int(self.labels[e]), "cosine": float(c)} for e, c in zip(examples, cosines, strict=True)]
 
 
-def fit_index(n_terms: int, ids: np.ndarray, labels: np.ndarray, vectors: list, own: list) -> Index:
-    """The index, with its curve fitted on the examples' vectors without their own share (own), each without its own vote."""
-    index = Index(n_terms, ids, labels.astype(float), vectors, float((labels.sum() + 0.5) / (len(labels) + 1.0)))
-    place = {int(i): at for at, i in enumerate(index.ids)}
-    votes = np.array([index.vote(*index.nearest(v, without=place[int(i)])) for i, v in zip(ids, own, strict=True)])
-    votes = np.clip(votes, 1e-4, 1 - 1e-4)
-    index.curve = fit_logistic(np.log(votes / (1 - votes)), labels.astype(float), even=True)
-    return index
-
-
 def learn(documents: DataFrame, labels: DataFrame, learn_rows, seed: int = 29, id_col: str = "doc_id", text_col: str = "text") -> tuple[Vocabulary, Index] | None:
     import pyarrow as pa
 
@@ -206,18 +196,32 @@ def learn(documents: DataFrame, labels: DataFrame, learn_rows, seed: int = 29, i
 
     def vectors(batches):
         for batch in batches:
-            columns = [batch.column(0), batch.column(1)]
-            for left_out in (False, True):
-                found = [sent.value.vector(t, y if left_out else None) for y, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-                edges = pa.array(np.r_[0, np.cumsum([len(t) for t, _ in found])].astype(np.int32))
-                columns += [pa.ListArray.from_arrays(edges, pa.array(np.concatenate([v[k] for v in found]).astype(kind))) for k, kind in ((0, np.int32), (1, np.float64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "y", "terms", "weights", "own_terms", "own_weights"])
-
-    built = texts.select("id", "y", "text").mapInArrow(vectors, "id long, y int, terms array<int>, weights array<double>, own_terms array<int>, own_weights array<double>")
-    rows = built.toPandas().sort_values("id", kind="stable")
+            found = [sent.value.vector(t) for t in batch.column(2).to_pylist()]
+            raw = lambda k, kind: pa.array([v[k].astype(kind).tobytes() for v in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw(0, np.int32), raw(1, np.float64)], names=["id", "y", "terms", "weights"])
+
+    texts = texts.select("id", "y", "text")
+    rows = texts.mapInArrow(vectors, "id long, y int, terms binary, weights binary").toPandas().sort_values("id", kind="stable")
+    built = [(np.frombuffer(t, np.int32), np.frombuffer(w, np.float64)) for t, w in zip(rows["terms"], rows["weights"], strict=True)]
+    ids, y = rows["id"].to_numpy(), rows["y"].to_numpy(float)
+    index = Index(len(words.place), ids, y, built, float((y.sum() + 0.5) / (len(y) + 1.0)))
+    del rows, built
+    both = documents.sparkSession.sparkContext.broadcast((words, index))
+
+    def own_votes(batches):
+        words, index = both.value
+        place = {int(i): at for at, i in enumerate(index.ids)}
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            found = [index.vote(*index.nearest(words.vector(t, own), without=place[i])) for i, own, t in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["id", "y", "vote"])
+
+    votes = texts.mapInArrow(own_votes, "id long, y int, vote double").toPandas().sort_values("id", kind="stable")
+    both.destroy()
     scratch.only()
-    pairs = lambda t, w: [(np.asarray(x, np.int64), np.asarray(y)) for x, y in zip(rows[t], rows[w], strict=True)]
-    return words, fit_index(len(words.place), rows["id"].to_numpy(), rows["y"].to_numpy(), pairs("terms", "weights"), pairs("own_terms", "own_weights"))
+    clipped = np.clip(votes["vote"].to_numpy(), 1e-4, 1 - 1e-4)
+    index.curve = fit_logistic(np.log(clipped / (1 - clipped)), votes["y"].to_numpy(float), even=True)
+    return words, index
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
