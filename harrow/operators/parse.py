@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,12 +188,57 @@ def form_access(text: Column) -> Column:
     return F.when(text.rlike("回答の受け付けは終了|受付を終了|no longer accepting"), "closed").when(text.rlike("ログインが必要|アクセス権が必要|permission"), "restricted").otherwise("open")
 
 
+@F.pandas_udf("struct<width: int, height: int>")
+def _jpeg_size(contents: pd.Series) -> pd.DataFrame:
+    """Size in the first frame header of a JPEG, found from segment to segment."""
+
+    def size(raw: bytes | None) -> tuple[int | None, int | None]:
+        at = 2
+        while raw is not None and at + 9 < len(raw):
+            if raw[at] != 0xFF:
+                at += 1
+                continue
+            if 0xC0 <= raw[at + 1] <= 0xCF and raw[at + 1] not in (0xC4, 0xC8, 0xCC):
+                return int.from_bytes(raw[at + 7 : at + 9], "big"), int.from_bytes(raw[at + 5 : at + 7], "big")
+            length = int.from_bytes(raw[at + 2 : at + 4], "big")
+            if length < 2:
+                break
+            at += 2 + length
+        return None, None
+
+    return pd.DataFrame([size(c) for c in contents], columns=["width", "height"]).astype("Int32")
+
+
 def image_info(content: Column) -> Column:
-    """struct(kind, width, height) of an image's header (PNG, GIF; other kinds only named), from the bytes."""
+    """struct(kind, width, height) of an image, from its bytes: PNG, GIF, WebP, SVG by their headers, JPEG by its segments (the only kind that Python sees)."""
     hexed = F.hex(F.substring(content, 1, 32))
-    at = lambda start, n: F.conv(F.substring(hexed, 2 * start + 1, 2 * n), 16, 10).cast("int")
-    little = lambda start: at(start, 1) + 256 * at(start + 1, 1)
-    kind = F.when(hexed.startswith("89504E470D0A1A0A"), "png").when(hexed.startswith("474946"), "gif").when(hexed.startswith("FFD8FF"), "jpeg").when(hexed.startswith("52494646") & (F.substring(hexed, 17, 8) == "57454250"), "webp")
-    return F.struct(
-        kind.alias("kind"), F.when(kind == "png", at(16, 4)).when(kind == "gif", little(6)).alias("width"), F.when(kind == "png", at(20, 4)).when(kind == "gif", little(8)).alias("height")
-    )
+    at = lambda start, n: F.conv(F.substring(hexed, 2 * start + 1, 2 * n), 16, 10).cast("long")
+    little = lambda start, n=2: sum((at(start + i, 1) * (256**i) for i in range(1, n)), at(start, 1))
+    head = F.decode(F.substring(content, 1, 2000), "ISO-8859-1")
+    chunk = F.substring(hexed, 25, 8)
+    jpeg = hexed.startswith("FFD8")
+    kind = (
+        F.when(hexed.startswith("89504E470D0A1A0A"), "png").when(hexed.startswith("474946"), "gif").when(jpeg, "jpeg").when(hexed.startswith("52494646") & (F.substring(hexed, 17, 8) == "57454250"), "webp")
+        .when(F.left(head, F.lit(300)).contains("<svg"), "svg")
+    )
+    of_jpeg = _jpeg_size(F.when(jpeg, content))
+    attribute = lambda n: F.regexp_extract(head, rf"""(?i)\b{n}=["'](\d+)""", 1).try_cast("long")
+    box = lambda g: F.floor(F.regexp_extract(head, r"""(?i)viewBox=["'][^"']*\s(\d+(?:\.\d+)?)\s(\d+(?:\.\d+)?)""", g).try_cast("double"))
+    sized = (F.coalesce(attribute("width"), F.lit(0)) > 0) & (F.coalesce(attribute("height"), F.lit(0)) > 0)
+    bits = little(21, 4)
+    webp = lambda x, v, l: F.when(chunk == "56503858", x).when(chunk == "56503820", v).when(chunk == "5650384C", l)  # noqa: E731, E741
+    mask = F.lit(0x3FFF)
+    width = (
+        F.when(kind == "png", at(16, 4)).when(kind == "gif", little(6)).when(kind == "jpeg", of_jpeg["width"]).when(kind == "svg", F.when(sized, attribute("width")).otherwise(box(1)))
+        .when(kind == "webp", webp(little(24, 3) + 1, little(26).bitwiseAND(mask), bits.bitwiseAND(mask) + 1))
+    )
+    height = (
+        F.when(kind == "png", at(20, 4)).when(kind == "gif", little(8)).when(kind == "jpeg", of_jpeg["height"]).when(kind == "svg", F.when(sized, attribute("height")).otherwise(box(2)))
+        .when(kind == "webp", webp(little(27, 3) + 1, little(28).bitwiseAND(mask), F.shiftright(bits, 14).bitwiseAND(mask) + 1))
+    )
+    return F.struct(kind.alias("kind"), width.cast("int").alias("width"), height.cast("int").alias("height"))
+
+
+def image_valid(content: Column, info: Column, least_bytes: int = 4000, least_side: int = 120) -> Column:
+    """Whether an image is large enough to show: of a known kind, so many bytes, and so many pixels either way."""
+    return F.coalesce(info["kind"].isNotNull() & (F.length(content) >= least_bytes) & (info["width"] >= least_side) & (info["height"] >= least_side), F.lit(False))
