@@ -11,7 +11,8 @@ Words and fragments are kept in caches of bounded size.
 
 Defined results: null text is empty; an empty text has no ids and decodes to an empty
 string; repeated rows are encoded each; other columns pass through unless their names
-clash with the output's, which then win; an empty table gives no rows.
+clash with the output's, which then win; an empty table gives no rows; of equal ranks the
+leftmost merge comes first, as in the library; very long texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from array import array
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries that a cache holds before it is emptied.
@@ -304,4 +304,5 @@ def encode_decode(documents: DataFrame, path: str, text_col: str = "text") -> Da
                 columns += [pa.array([len(a) // 4 for a in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", "ids", "decoded"])
 
-    return documents.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(batches, schema)
+    rows = documents.select(*[documents[c] for c in keep], documents[text_col].cast("string"))
+    return rows.toDF(*[f"c{i}" for i in range(len(keep) + 1)]).mapInArrow(batches, schema)  # by place: no name clashes
