@@ -52,17 +52,18 @@ def evaluate(candidates: DataFrame, now: Column, blocked: list[str], past_days:
     """candidates (catalog_id, applyStartDate, applyEndDate, rawApplyText, url, sourceUrl, sourceKind, officialNotice,
     destinationVerified) with reasons, warnings, accepted and directHost."""
     start, end = F.col("applyStartDate"), F.col("applyEndDate")
-    host, source_host = urls.host(F.col("url")), urls.host(F.col("sourceUrl"))
+    # worked out once, in a projection of their own
+    bound = {"_host": urls.host(F.col("url")), "_source_host": urls.host(F.col("sourceUrl")), "_ends": day_end(end), "_end_ok": valid_date(end), "_start_ok": valid_date(start)}
+    host, source_host, ends, end_ok, start_ok = (F.col(c) for c in bound)
     aggregated = F.coalesce(F.col("sourceKind").isin("aggregated", "intelligence"), F.lit(False))
     official = F.coalesce(F.col("officialNotice"), F.lit(False))
     is_blocked = urls.host_under(host, blocked)
     own_page = aggregated & (source_host != "") & (host == source_host)
     verified = F.coalesce(F.col("destinationVerified"), F.lit(False))
-    ends = day_end(end)
     why = reasons(
         ("catalog", F.col("catalog_id").isNull()),
-        ("deadline", ~valid_date(end)),
-        ("order", valid_date(start) & valid_date(end) & (start > end)),
+        ("deadline", ~end_ok),
+        ("order", start_ok & end_ok & (start > end)),
         ("expired", ends < now - F.make_dt_interval(F.lit(past_days))),
         ("far", ends > now + F.make_dt_interval(F.lit(future_days))),
         ("weekday", (F.coalesce(F.col("rawApplyText"), F.lit("")) != "") & ~weekday_matches(F.col("rawApplyText"), end)),
@@ -71,9 +72,9 @@ def evaluate(candidates: DataFrame, now: Column, blocked: list[str], past_days:
         ("not_direct", ~official & (own_page | is_blocked | host.rlike(SOCIAL_HOST))),
         ("unverified", aggregated & ~official & ~verified),
     )
-    return candidates.withColumn("directHost", host).withColumn("reasons", why).withColumn(
-        "warnings", reasons(("recheck", ~aggregated & (F.col("destinationVerified") == F.lit(False))))
-    ).withColumn("accepted", F.size("reasons") == 0)
+    recheck = reasons(("recheck", ~aggregated & (F.col("destinationVerified") == F.lit(False))))
+    judged = candidates.withColumns(bound).withColumns({"directHost": host, "reasons": why, "warnings": recheck})
+    return judged.withColumn("accepted", F.size("reasons") == 0).drop(*bound)
 
 
 def split_status(reasons_col: Column, hard: str, bypass: Column | None = None) -> Column:

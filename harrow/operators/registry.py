@@ -48,9 +48,13 @@ def official_status(explicit: Column, official: Column, kind: Column, parser: Co
     )
 
 
+_KNOWN = {"ord", "id", "name", "url", "parser", "enabled", "platform", "official_status", "official", "source_kind", "area", "priority", "interval_minutes", "discovery"}
+
+
 def normalise(sources: DataFrame, order: str = "ord") -> DataFrame:
     """sources (ord, id, name, url, parser, enabled, platform, official_status, official, source_kind, area, priority,
-    interval_minutes) with defaults and clamps, errors and warnings; broken rows and later rows of an id are disabled."""
+    interval_minutes, and optionally discovery, a struct) with defaults and clamps, errors and warnings; broken rows and later rows
+    of an id are disabled. Other columns are kept as they are."""
     text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
     host = urls.host(text("url"))
     parser = F.when(text("parser") == "", F.lit("generic")).otherwise(text("parser"))
@@ -70,13 +74,17 @@ def normalise(sources: DataFrame, order: str = "ord") -> DataFrame:
         bounded(F.col("interval_minutes"), default_interval(priority), 5, 1440).alias("interval_minutes"),
         (text("id") == "").alias("_generated"),
         host.alias("_host"),
+        *([normalise_discovery(parser, F.col("discovery")).alias("discovery")] if "discovery" in sources.columns else []),
+        *[c for c in sources.columns if c not in _KNOWN | {order}],
     )
     by_id = Window.partitionBy("id").orderBy(order)
     by_url = Window.partitionBy(F.regexp_replace("url", "/$", "")).orderBy(order)
     checked = out.withColumn("_copy", F.row_number().over(by_id) > 1).withColumn("_same_url", (F.col("url") != "") & (F.row_number().over(by_url) > 1))
     flag = lambda cond, name: F.when(cond, F.lit(name))
     errors = F.array_compact(F.array(flag(F.col("url") == "", "url missing"), flag((F.col("url") != "") & (F.col("_host") == ""), "url invalid"), flag(F.col("_copy"), "id repeated")))
-    warnings = F.array_compact(F.array(flag(F.col("_generated"), "id generated"), flag(~F.col("parser").isin(*PARSERS), "parser unknown"), flag(F.col("_same_url"), "url repeated")))
+    # a child parser that no registry knows
+    child = [flag((F.coalesce("discovery.child_parser", F.lit("")) != "") & ~F.col("discovery.child_parser").isin(*PARSERS), "child parser unknown")] if "discovery" in sources.columns else []
+    warnings = F.array_compact(F.array(flag(F.col("_generated"), "id generated"), flag(~F.col("parser").isin(*PARSERS), "parser unknown"), flag(F.col("_same_url"), "url repeated"), *child))
     return checked.withColumn("errors", errors).withColumn("warnings", warnings).withColumn("enabled", F.col("enabled") & (F.size("errors") == 0)).drop("_generated", "_host", "_copy", "_same_url")
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from harrow.functions import dates, urls
 from harrow.functions import text as tx
-from harrow.operators import catalog_pages, gate, health, match, merge, parse, products, rank, records, screen_text
+from harrow.operators import catalog_pages, gate, health, match, merge, parse, products, rank, records, registry, screen_text
 from harrow.plans import notice_pages
-from harrow.plans.queries import ORACLES, QUERIES, query
+from harrow.plans.queries import ORACLES, QUERIES, _registry, query
 from harrow.session import table
 
 _ALIASES = (("brand1", "one"), ("brand2|brand3", "few"))
@@ -107,6 +107,23 @@ def pruned_catalog(spark, sf):
     return records.public_products(kept).drop("p_brand", "p_type", "p_size", "p_retailprice")
 
 
+@query(
+    """select s_suppkey as ord, s_suppkey % 4 <> 0 and s_suppkey % 2 = 0 as discovery_on, true as same_host, case when s_suppkey % 4 <> 0 and s_suppkey % 3 = 0 then 'a,b' end as include, case when s_suppkey % 4 <> 0 and s_suppkey % 5 = 0 then 'odd' when s_suppkey % 4 <> 0 and s_suppkey % 5 = 1 then 'generic' else '' end as child,
+    (case when s_suppkey % 4 = 0 then 8 else greatest(1, least(100, s_suppkey % 130)) end)::int as most, s_suppkey % 4 <> 0 and s_suppkey % 5 = 0 as child_warned, 'kept' as note from supplier"""
+)
+def registry_discovery(spark, sf):
+    k = F.col("ord")
+    none = F.lit(None).cast("array<string>")
+    texts = F.when(k % 3 == 0, F.array(*map(F.lit, [" a ", "", "a", "b"])))
+    child = F.when(k % 5 == 0, " odd ").when(k % 5 == 1, "generic")
+    struct = F.struct(
+        (k % 2 == 0).alias("enabled"), F.lit(None).cast("boolean").alias("same_host"), texts.alias("include"), none.alias("exclude"), none.alias("allowed_hosts"), none.alias("required_path"), none.alias("page_keywords"), child.alias("child_parser"), (k % 130).alias("most")
+    )
+    done = registry.normalise(_registry(spark, sf).withColumn("discovery", F.when(k % 4 != 0, struct)).withColumn("note", F.lit("kept")))
+    warned = F.array_contains("warnings", "child parser unknown")
+    return done.select("ord", F.col("discovery.enabled").alias("discovery_on"), "discovery.same_host", F.array_join("discovery.include", ",").alias("include"), F.col("discovery.child_parser").alias("child"), "discovery.most", warned.alias("child_warned"), "note")
+
+
 # ---- operators that had no query of their own
 
 
