@@ -137,13 +137,20 @@ def merge_links(first: DataFrame, second: DataFrame, key: list[str]) -> DataFram
 
 
 def context_links(pages: DataFrame, pattern: str, before: int, after: int, html_col: str = "html") -> DataFrame:
-    """Addresses found anywhere in the raw page, with the text around them: rest, ord, url, context."""
+    """Addresses found anywhere in the raw page, embedded data too, each place with the text around it: rest, ord, url, context.
+
+    `pattern` has no groups. Places come from one pass that adds up the lengths between them.
+    """
     rest = [c for c in pages.columns if c != html_col]
-    html = F.replace(F.coalesce(F.col(html_col), F.lit("")), F.lit("\\/"), F.lit("/"))
-    found = pages.select(*rest, html.alias("_h"), F.posexplode(F.array_distinct(F.regexp_extract_all(html, F.lit(f"({pattern})"), 1))).alias("ord", "url"))
-    at = F.position(F.col("url"), F.col("_h"))
-    start = F.greatest(at - before, F.lit(1))
-    return found.select(*rest, "ord", "url", tx.html_to_text(F.substring(F.col("_h"), start, at - start + F.length("url") + after)).alias("context"))
+    pages = pages.withColumn("_h", F.replace(F.replace(F.coalesce(F.col(html_col), F.lit("")), F.lit("\\/"), F.lit("/")), F.lit("&amp;"), F.lit("&")))
+    parts = F.split("_h", f"(?={pattern})")
+    run = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(parts, run, lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+    found = pages.select(*rest, "_h", F.posexplode(F.arrays_zip(parts.alias("part"), starts.alias("at"))).alias("ord", "_p"))
+    found = found.withColumn("url", F.regexp_extract("_p.part", f"^({pattern})", 1)).where("url != ''")
+    start = F.greatest(F.col("_p.at") - before, F.lit(0))
+    around = F.substring("_h", start + 1, F.col("_p.at") - start + F.length("url") + after)
+    return found.select(*rest, "ord", "url", tx.html_to_text(around).alias("context"))
 
 
 def looks_relevant(html: Column, keywords: list[str] | None = None, both: tuple[str, str] = ("ポケモンカード|ポケカ", "抽選|応募|エントリー")) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from harrow.functions import dates, urls
 from harrow.functions import text as tx
-from harrow.operators import catalog_pages, gate, health, match, merge, parse, products, rank, records, registry, screen_text
+from harrow.operators import catalog_pages, discover, gate, health, match, merge, parse, products, rank, records, registry, screen_text
 from harrow.plans import notice_pages
-from harrow.plans.queries import ORACLES, QUERIES, _registry, query
+from harrow.plans.queries import ORACLES, QUERIES, _registry, _sql_text, query
 from harrow.session import table
 
 _ALIASES = (("brand1", "one"), ("brand2|brand3", "few"))
@@ -254,6 +254,17 @@ _notice("notice_form", ("google-form",))
 _notice("notice_listing", ("listing-intelligence-v1",))
 _notice("notice_generic", ("generic", "odd-name", "livepocket-search"))
 
+@query(
+    f"""with p as (select page_id, h, string_split(h, 'ation') as parts from (select page_id, replace(html, '&amp;', '&') as h from pages)), w as (select page_id, h, i, length(array_to_string(parts[1:i], 'ation')) + 1 as pos from (select *, unnest(range(1, len(parts))) as i from p)),
+    c as (select page_id, i, {_sql_text("substr(h, greatest(pos - 30, 1), pos - greatest(pos - 30, 1) + 5 + 40)")} as context from w)
+    select page_id, count(*) as places, sha256(string_agg(context, '|' order by i)) as contexts_sha256 from c group by page_id"""
+)
+def embedded_places(spark, sf):
+    found = discover.context_links(table(spark, sf, "pages").select("page_id", "html"), "ation", 30, 40)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "context"))), lambda c: c["context"]), "|")
+    return found.groupBy("page_id").agg(F.count("*").alias("places"), F.sha2(joined, 256).alias("contexts_sha256"))
+
+
 # ---- images, screen texts and product pages: what is written here, no table
 
 _IMAGES = [
