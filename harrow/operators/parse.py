@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harrow.functions import dates, urls
 from harrow.functions import text as tx
@@ -188,7 +189,7 @@ def form_access(text: Column) -> Column:
     return F.when(text.rlike("回答の受け付けは終了|受付を終了|no longer accepting"), "closed").when(text.rlike("ログインが必要|アクセス権が必要|permission"), "restricted").otherwise("open")
 
 
-@F.pandas_udf("struct<width: int, height: int>")
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
 def _jpeg_size(contents: pd.Series) -> pd.DataFrame:
     """Size in the first frame header of a JPEG, found from segment to segment."""
 
