@@ -396,12 +396,13 @@ def _first_round(bundles: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(lambda batches: _candidates(batches, 2, True), "a long, b long")
 
 
-def _next_round(bundles: DataFrame, classes: DataFrame, links: DataFrame, tried: DataFrame, sparse: bool, scratch: Scratch, name: str) -> DataFrame:
-    """Candidates between the components of the partitions that still hold several, without those tried."""
-    grouped = components(links, scratch, name)
+def _next_round(bundles: DataFrame, classes: DataFrame, grouped: DataFrame, tried: DataFrame, sparse: bool, scratch: Scratch, name: str) -> DataFrame | None:
+    """Candidates between the components of the partitions that still hold several, without those tried; None if there are no such partitions."""
     members = bundles.join(grouped.withColumnRenamed("node", "id"), "id", "left").select("least", "id", F.coalesce("component", "id").alias("component"))
     open_ones = members.groupBy("least").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("least")
     members = scratch.keep(members.join(open_ones, "least").join(classes.select("id", "n"), "id"), f"{name}-members")
+    if members.isEmpty():
+        return None
     # Units that meet: components of a piece or more, each by itself, and pools of the smaller ones.
     parts = members.groupBy("least", "component").agg(F.count("*").alias("c"))
     pools = parts.where(F.col("c") < PIECE).groupBy("least").agg(F.ceil(F.sum("c") / PIECE).cast("long").alias("pools"))
@@ -461,15 +462,18 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
 
     tried = scratch.keep(_first_round(bundles, classes).distinct(), "first")
     links = _verify(tried, texts, scratch, "first")
+    grouped = components(links, scratch, "grouped-first")
     for name, sparse in (("second", True), ("last", False)):
-        found = _next_round(bundles, classes, links, tried, sparse, scratch, name)
-        if found.isEmpty():
+        found = _next_round(bundles, classes, grouped, tried, sparse, scratch, name)
+        if found is None or found.isEmpty():
             break
-        links = scratch.keep(links.unionByName(_verify(found, texts, scratch, name)), f"{name}-all")
+        more = _verify(found, texts, scratch, name)
         tried = scratch.keep(tried.unionByName(found), f"{name}-tried")
-    final = components(links, scratch, "final")
+        if not more.isEmpty():
+            links = scratch.keep(links.unionByName(more), f"{name}-all")
+            grouped = components(links, scratch, f"grouped-{name}")
 
-    of_class = classes.select("c1", "c2", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("component"))
+    of_class = classes.select("c1", "c2", "id").join(grouped.withColumnRenamed("node", "id"), "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("component"))
     out = slim.join(of_class, ["c1", "c2"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     out = scratch.keep(out, "out")
