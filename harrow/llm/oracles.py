@@ -122,3 +122,62 @@ def _mix() -> str:
 
 
 ORACLES["op6_mix_sources"] = _mix()
+
+
+def _shards(shards: int = 8) -> str:
+    # one table row of CRC-32 from eight halvings of the index
+    halve = "list_reduce(list_prepend({}::bigint, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))"
+    return f"""with crc as (select list(v order by i) as t from (select i, {halve.format('i')} as v from range(256) r(i))),
+    raw as (select doc_id, coalesce(text, '') as text, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') as x from documents),
+    d as (select doc_id, strlen(text) + 1 as size, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(x, lambda b: ('0x' || b)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as crc, ('0x' || substr(md5(text), 1, 15))::bigint as h from raw, crc),
+    o as (select *, row_number() over w - 1 as place, coalesce(sum(size) over (w rows between unbounded preceding and 1 preceding), 0)::hugeint as start from d window w as (order by h, doc_id nulls first, size, crc)),
+    total as (select sum(size)::hugeint as t, max(size) as largest from d),
+    goal as (select k, k * t as target from total, range(1, {shards}) r(k)),
+    met as (select k, target, o.* from goal join o on o.start * {shards} <= target and target < (o.start + o.size) * {shards}),
+    grp as (select h, min(start) as start, sum(size) as size, min(place) as place, count(*) as n from o where h in (select h from met) group by h),
+    unit as (select k, target, case when small then grp.start else met.start end as start, case when small then grp.size else met.size end as size, case when small then grp.place else met.place end as place, case when small then grp.n else 1 end as n
+        from met join grp using (h), (select greatest(largest, t // {100 * shards}) as most from total), (values (true), (false)) s(small) where small = (grp.size <= most)),
+    cut as (select case when 2 * target <= (2 * start + size) * {shards} then place else place + n end as c from unit),
+    p as (select o.*, (select count(*) from cut where c <= place) as shard, coalesce((select max(c) from cut where c <= place), 0) as first from o)
+    select doc_id, size::bigint as size, crc::bigint as text_crc32, 'bytes' as law, shard::int as shard, (place - first)::bigint as slot, null::int as grown_shard from p"""
+
+
+ORACLES["op11_byte_shards"] = _shards()
+
+
+def _codes(entries: int = 256, rounds: int = 4, parts: int = 4, scale: int = 1024) -> str:
+    near = """a{k} as (select p, v, any_value(w) as w, arg_min(e, (d, e)) as e, min(d) as d from (select x.p, x.v, x.w, b.e, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.c[i]) * (x.v[i] - b.c[i])))::bigint as d from x join b{k} b on b.p = x.p) group by p, v)"""
+    move = """m{k} as (select p, e, list(floor_div order by i) as c from (select p, e, i, (case when s >= 0 then s // n else -((-s + n - 1) // n) end)::bigint as floor_div from (select p, e, i, sum(w * v[i])::hugeint as s, sum(w)::hugeint as n from (select *, unnest(range(1, len(v) + 1)) as i from a{k}) group by p, e, i)) group by p, e),
+    b{n} as (select b.p, b.e, coalesce(m.c, b.c) as c from b{k} b left join m{k} m on m.p = b.p and m.e = b.e)"""
+    steps = ",\n    ".join(f"{near.format(k=k)},\n    {move.format(k=k, n=k + 1)}" for k in range(rounds))
+    return f"""with kept as (select row_number() over () as r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    y as (select r, vec_id, label, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] as v from kept, range({parts}) t(p)),
+    x as (select p, v, count(*) as w from y group by p, v),
+    f as (select r, row_number() over (order by vec_id, v) - 1 as e from kept qualify e < {entries}),
+    b0 as (select y.p, f.e, y.v as c from y join f using (r)),
+    {steps},
+    {near.format(k=rounds)},
+    z as (select r, any_value(vec_id) as vec_id, any_value(label) as label, string_agg(lower(printf('%02x', a.e)), '' order by y.p) as code, sum(a.d)::bigint as error from y join a{rounds} a on a.p = y.p and a.v = y.v group by r),
+    h as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as s from b{rounds})
+    select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, s as codebooks_sha256 from z, h"""
+
+
+ORACLES["op12_vector_codes"] = _codes()
+
+
+def _phrases(least: int = 100, longest: int = 5, most: int = 2000) -> str:
+    return f"""with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+    w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from pieces),
+    n as (select lang, sum(len(w)) as n from w group by lang),
+    g as (select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, range(1, {longest + 1}) r(k) where len(w) >= k)),
+    f as (select lang, k, phrase, count(*) as a from g group by all having count(*) >= {least}),
+    c as (select lang, k, phrase, a, string_split(phrase, ' ') as w from f where k >= 2),
+    cuts as (select c.lang, c.k, c.phrase, c.a, j, l.a as l, r.a as r, n.n, (1000::hugeint * c.a * n.n) // (l.a::hugeint * r.a) as score
+        from (select *, unnest(range(1, k)) as j from c) c join n on n.lang = c.lang join f l on l.lang = c.lang and l.phrase = array_to_string(c.w[1 : j], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(c.w[j + 1 :], ' ')),
+    inner_of as (select distinct lang, array_to_string(w[i : i + m - 1], ' ') as phrase, a from (select lang, w, k, a, m, unnest(range(1, k - m + 2)) as i from c, range(2, {longest}) r(m) where m < k)),
+    top as (select lang, k, phrase, a, l, r, n, score from (select *, row_number() over (partition by lang, phrase order by score, j) as o from cuts) where o = 1),
+    left_over as (select top.* from top where not exists (select 1 from inner_of i where i.lang = top.lang and i.phrase = top.phrase and 100 * i.a >= 100 * top.a))
+    select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from left_over) where rank <= {most}"""
+
+
+ORACLES["op13_collocations"] = _phrases()

@@ -101,6 +101,30 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held=1)
 
 
+def op11_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harrow.llm import sharding
+
+    placed = sharding.assign_shards(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import hashlib
+
+    from harrow.llm import codes
+
+    done = codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    books = hashlib.sha256(done.book_text().encode()).hexdigest()
+    code = F.lower(F.array_join(F.transform("entries", lambda e: F.lpad(F.hex(e.cast("long")), 2, "0")), ""))
+    return codes.with_label_error(done.codes).select("vec_id", code.alias("code"), "error", "label_error", F.lit(books).alias("codebooks_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from harrow.llm import phrases
+
+    return phrases.top_phrases(phrases.mine_phrases(table(spark, sf_dir, "documents"), least=100, longest=5), most=2000)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
@@ -112,4 +136,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_quality_rules": op10_quality_rules,
+    "op11_byte_shards": op11_byte_shards,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_collocations": op13_collocations,
 }
