@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harrow.functions.text import decode_entities
+from harrow.scratch import Scratch
+
 #: A walk goes so deep and over so many nodes; what lies beyond isn't read.
 DEPTH, NODES = 20, 30_000
 FIELDS = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))
@@ -56,3 +59,36 @@ def embedded_fields(html: Column, names: tuple[str, ...] = ("name", "startDate",
         return blocks.map(lambda b: [f for text in (b if b is not None else []) for f in walk(text, wanted)])
 
     return fields(json_blocks(html))
+
+
+def walk_pages(pages: DataFrame, keys: list[str], html: str, depth: int = DEPTH, nodes: int = NODES) -> DataFrame:
+    """The scalar values in pages' embedded JSON, level by level over VARIANT: keys, block, path, name (the last field's), value (text), level.
+
+    Each level is one explode of the objects and lists of the level before it, written before the next one, so no level is worked out
+    twice and no Python sees a value. A page's walk ends at `depth` levels or `nodes` nodes, whichever is first; nodes of a level count in the order of their
+    places. Blocks that are no JSON, pages without any and null pages have no rows; null values have a null text. A page's nodes are one window's group, bounded by the page.
+    """
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "walk")
+    blocks = pages.select(*keys, F.posexplode(json_blocks(F.col(html))).alias("block", "text"))
+    level = blocks.select(
+        *keys, "block", F.lit("$").alias("path"), F.array().cast("array<int>").alias("place"), F.lit(0).cast("long").alias("used"), F.try_parse_json(decode_entities(F.col("text"))).alias("v")
+    ).where("v is not null")
+    page = Window.partitionBy(*keys)
+    out = None
+    for k in range(1, depth + 1):
+        inside = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        found = inside.select(*keys, "block", F.concat("path", step).alias("path"), F.concat("place", F.array("pos")).alias("place"), "used", F.col("key").alias("name"), F.col("value").alias("v"))
+        counted = found.withColumns({"n": F.row_number().over(page.orderBy("block", "place")), "of": F.count("*").over(page)})
+        within = counted.where(F.col("used") + F.col("n") <= nodes).withColumn("kind", F.schema_of_variant("v"))
+        holds = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
+        kept = scratch.keep(
+            within.select(*keys, "block", "path", "place", (F.col("used") + F.col("of")).alias("used"), "name", F.when(holds, F.to_json("v")).alias("inner"), F.when(~holds, F.col("v").cast("string")).alias("value"), holds.alias("holds")), f"level-{k}"
+        )
+        leaves = kept.where(~F.col("holds")).select(*keys, "block", "path", "name", "value", F.lit(k).alias("level"))
+        out = leaves if out is None else out.unionByName(leaves)
+        level = kept.where("holds").select(*keys, "block", "path", "place", "used", F.parse_json("inner").alias("v"))
+        if level.isEmpty():
+            break
+    return out

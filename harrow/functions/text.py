@@ -185,9 +185,9 @@ def first_alias(text: Column, aliases: list[tuple[str, str]]) -> Column:
     return out
 
 
-def short_hash(*parts: Column, length: int = 24) -> Column:
-    """Leading hex digits of the SHA-256 of the parts, joined by line breaks."""
-    joined = F.concat_ws("\n", *[F.coalesce(p, F.lit("")) for p in parts])
+def short_hash(*parts: Column | str, length: int = 24) -> Column:
+    """Leading hex digits of the SHA-256 of the parts (columns or their names), joined by line breaks."""
+    joined = F.concat_ws("\n", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in parts])
     return F.substring(F.sha2(joined, 256), 1, length)
 
 
@@ -220,9 +220,18 @@ def markdown_cell(text: Column) -> Column:
 
 
 def ocr_repair(text: Column) -> Column:
-    """Glyphs that recognisers confuse inside dates: O as zero, I, l and | as one, between digits or date marks."""
+    """Glyphs that recognisers confuse inside dates: O as zero, I, l and | as one, between digits or date marks, and in numbers parted by date marks."""
     out = F.regexp_replace(text, r"(?<=[0-9/月:年])[Oo](?=[0-9/月日:年時])|(?<=[0-9])[Oo]|[Oo](?=[0-9])", "0")
-    return F.regexp_replace(out, r"(?<=[0-9/月:年])[Il|](?=[0-9/月日:年時])|(?<=[0-9])[Il|](?=[0-9])", "1")
+    out = F.regexp_replace(out, r"(?<=[0-9/月:年])[Il|](?=[0-9/月日:年時])|(?<=[0-9])[Il|](?=[0-9])", "1")
+    return repaired_numbers(out)
+
+
+def repaired_numbers(text: Column, letters: str = "OoIl|", digits: str = "00111") -> Column:
+    """Numbers that date marks part (two or three of them), with the letters in them as the digits that they stand for: 2O26/O7/1l."""
+    number, mark = f"[0-9{letters}]", r"[/.\-]"
+    run = rf"(?<![0-9A-Za-z_])({number}{{1,4}}{mark}{number}{{1,2}}(?:{mark}{number}{{1,2}})?)(?![0-9A-Za-z_])"
+    parts = F.split(F.regexp_replace(F.replace(text, F.lit("\u0001"), F.lit("")), run, "\u0001$1\u0001"), "\u0001")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.translate(p, letters, digits)).otherwise(p)), "")
 
 
 def non_empty(*cols: Column) -> Column:

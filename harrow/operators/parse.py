@@ -1,145 +1,17 @@
-"""Text to records: a registry of parsers, records from labelled sections, product lists, confidence."""
+"""Parts of readings that layouts share: product lists, posts, two readings as one, recognised text, forms' states, image headers. Layouts are in notices."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harrow.functions import dates, urls
+from harrow.functions import dates
 from harrow.functions import text as tx
-from harrow.operators.discover import extract_links
-
-#: Labels in front of the facts of a notice, and lines that end a section.
-LABELS = {
-    "product": ("商品", "対象商品", "商品名", "販売商品"),
-    "apply": ("応募期間", "受付期間", "応募締切", "抽選期間", "申込期間"),
-    "result": ("当選発表", "抽選結果", "結果発表"),
-    "purchase": ("購入期間", "引取期間", "受取期間", "販売期間"),
-}
-STOPS = tuple(label for group in LABELS.values() for label in group) + ("注意事項", "お問い合わせ")
-ACTION = "応募|エントリー|申込|申し込み|抽選"
-CARD = "ポケモンカード|ポケカ|拡張パック|スターター|デッキ"
-
-PARSERS: dict[str, Callable] = {}
-
-
-def parser(name: str):
-    def add(f):
-        PARSERS[name] = f
-        return f
-
-    return add
-
-
-def parse_pages(pages: DataFrame, base: Column, parser_col: str = "parser") -> DataFrame:
-    """Each page by the parser it names; unknown names are generic. One scan per parser in use; the union is the result."""
-    names = list(PARSERS)
-    out = None
-    for name in names:
-        mine = pages.where((F.col(parser_col) == name) | (F.lit(name == "generic") & (F.col(parser_col).isNull() | ~F.col(parser_col).isin(*names))))
-        part = PARSERS[name](mine, base)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
-def confidence(official: Column, card: Column, applies: Column, result: Column, purchase: Column) -> Column:
-    """0.55 plus what is known, at most 0.99, two decimals."""
-    plus = lambda c, v: F.when(F.coalesce(c, F.lit(False)), F.lit(v)).otherwise(F.lit(0.0))
-    return F.round(F.least(F.lit(0.99), F.lit(0.55) + plus(official, 0.2) + plus(card, 0.1) + plus(applies, 0.1) + plus(result, 0.03) + plus(purchase, 0.02)), 2)
-
-
-def build_records(rows: DataFrame, base: Column) -> DataFrame:
-    """rows (source_url, shop, product, apply_text, result_text, purchase_text, url, official) -> canonical records."""
-    has = lambda c: F.col(c).isNotNull()
-    ranged = (
-        rows.withColumn("_a", dates.period("apply", dates.date_range(F.col("apply_text"), base)))
-        .withColumn("_r", dates.period("result", dates.date_range(F.col("result_text"), base)))
-        .withColumn("_p", dates.date_range(F.col("purchase_text"), base))
-    )
-    flat = ranged.withColumn("applyStartDate", F.col("_a.start.date")).withColumn("applyEndDate", F.col("_a.end.date")).withColumn("applyEndTime", F.col("_a.end.time"))
-    flat = flat.withColumn("resultStartDate", F.col("_r.start.date")).withColumn("purchaseEndDate", F.coalesce("_p.end.date", "_p.start.date"))
-    scored = flat.withColumn(
-        "confidence", confidence(F.col("official"), F.col("product").rlike(CARD), has("applyStartDate") | has("applyEndDate"), has("resultStartDate"), has("purchaseEndDate"))
-    )
-    return scored.select(
-        tx.short_hash(F.col("source_url"), F.col("shop"), F.col("product"), F.coalesce("applyEndDate", F.lit(""))).alias("externalId"),
-        "shop", "product", "url", "source_url", "applyStartDate", "applyEndDate", "applyEndTime", "resultStartDate", "purchaseEndDate", "confidence",
-        (F.col("confidence") >= 0.8).alias("verified"),
-    )
-
-
-def _sections(pages: DataFrame) -> DataFrame:
-    lines = pages.withColumn("_lines", tx.lines_of(tx.html_to_text(F.col("html"))))
-    stops = list(STOPS)
-    for field, labels in LABELS.items():
-        found = tx.non_empty(*[tx.section_after(F.col("_lines"), label, stops) for label in labels])
-        lines = lines.withColumn(f"{field}_text", found)
-    return lines
 
-
-def action_url(html_links: DataFrame, keys: list[str], pattern: str = ACTION) -> DataFrame:
-    """Per page the first link whose text asks to act: keys, action_url."""
-    return html_links.where(F.col("link_text").rlike(pattern)).groupBy(*keys).agg(F.min_by("url", "ord").alias("action_url"))
-
-
-@parser("generic")
-def label_records(pages: DataFrame, base: Column) -> DataFrame:
-    """Notices whose facts stand behind labels: a record per product line."""
-    sections = _sections(pages.select("page_id", F.col("url").alias("source_url"), "html"))
-    acts = action_url(extract_links(pages.select("page_id", F.col("url").alias("base"), "html"), base_col="base"), ["page_id"])
-    joined = sections.join(acts, "page_id", "left")
-    rows = joined.select(
-        "page_id", "source_url", urls.host(F.col("source_url")).alias("shop"), F.explode(F.slice(F.array_distinct(F.filter(F.split("product_text", "\n"), lambda s: s != "")), 1, 20)).alias("product"),
-        "apply_text", "result_text", "purchase_text", F.coalesce("action_url", "source_url").alias("url"), F.lit(True).alias("official"),
-    )
-    return build_records(rows, base)
-
-
-@parser("keyword-lines")
-def keyword_lines(pages: DataFrame, base: Column, keywords: tuple[str, ...] = ("抽選",), card: str = CARD, longest: int = 140, most: int = 8) -> DataFrame:
-    """Pages that hold every keyword: their lines that name a card product. No keywords: no rows."""
-    text = tx.html_to_text(F.col("html"))
-    held = F.lit(bool(keywords))
-    for k in keywords:
-        held = held & text.contains(k)
-    lines = F.slice(F.filter(tx.lines_of(text), lambda s: s.rlike(card) & (F.length(s) < longest)), 1, most)
-    empty = F.lit("")
-    rows = pages.where(held).select(
-        F.col("url").alias("source_url"), urls.host(F.col("url")).alias("shop"), F.explode(lines).alias("product"), text.alias("apply_text"), empty.alias("result_text"), empty.alias("purchase_text"), "url", F.lit(True).alias("official")
-    )
-    return build_records(rows, base)
-
-
-@parser("line-windows")
-def window_records(pages: DataFrame, base: Column, card: str = CARD, mention: str = "抽選", before: int = 2, after: int = 8, most: int = 20) -> DataFrame:
-    """Card lines with a mention in the lines around them."""
-    lines = pages.select(F.col("url").alias("source_url"), "url", tx.lines_of(tx.html_to_text(F.col("html"))).alias("l"))
-    both = F.arrays_zip(F.col("l").alias("line"), tx.line_windows(F.col("l"), before, after).alias("w"))
-    hits = F.slice(F.filter(both, lambda x: x["line"].rlike(card) & x["w"].rlike(mention)), 1, most)
-    empty = F.lit("")
-    rows = lines.select("source_url", "url", F.explode(hits).alias("h")).select(
-        "source_url", urls.host(F.col("source_url")).alias("shop"), F.col("h.line").alias("product"), F.col("h.w").alias("apply_text"), empty.alias("result_text"), empty.alias("purchase_text"), "url", F.lit(True).alias("official")
-    )
-    return build_records(rows.dropDuplicates(["source_url", "product"]), base)
-
-
-@parser("sections")
-def split_sections(pages: DataFrame, base: Column, head: str = "抽選販売", most: int = 12) -> DataFrame:
-    """A page cut at its section heads; each section is read as a notice of its own."""
-    text = tx.html_to_text(F.col("html"))
-    parts = F.slice(F.filter(F.split(text, f"(?={head})"), lambda s: s.startswith(head)), 1, most)
-    each = pages.select("url", F.posexplode(parts).alias("page_id", "html"))
-    return label_records(each.withColumn("page_id", F.concat_ws("#", "url", "page_id")), base)
-
-
-@parser("none")
-def no_records(pages: DataFrame, base: Column) -> DataFrame:
-    """Pages that only lead to others."""
-    return label_records(pages.where(F.lit(False)), base)
+#: How a page that speaks of cards is told.
+CARD = "ポケモンカード|ポケカ|拡張パック|スターター|デッキ"
 
 
 def explode_products(rows: DataFrame, products: str, most: int) -> DataFrame:
@@ -186,7 +58,9 @@ def needs_ocr(html: Column, least_products: int = 2) -> Column:
 
 def form_access(text: Column) -> Column:
     """State of a form page: closed, restricted or open."""
-    return F.when(text.rlike("回答の受け付けは終了|受付を終了|no longer accepting"), "closed").when(text.rlike("ログインが必要|アクセス権が必要|permission"), "restricted").otherwise("open")
+    closed = "(?i)回答の受け付けを終了|回答の受け付けは終了|回答を受け付けていません|受付を終了|no longer accepting|not accepting responses"
+    restricted = "(?i)権限が必要|ログインが必要|アクセス権が必要|組織内のユーザーのみ|need permission|permission|only be viewed by users in"
+    return F.when(text.rlike(closed), "closed").when(text.rlike(restricted), "restricted").otherwise("open")
 
 
 @F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))

@@ -31,6 +31,57 @@ def best_with_alternatives(rows: DataFrame, group: list[str], value: str, score:
     return ranked.groupBy(*group).agg(F.min_by(value, "_r").alias(value), F.max("_s").alias("score"), F.transform(others, lambda x: x[value]).alias("alternatives"))
 
 
+def consensus_key(name: Column) -> Column:
+    """What names have in common that differ by case, blanks, brackets, points and dashes only; the name is in NFKC."""
+    return F.regexp_replace(F.lower(name), r"[\s\x{3000}「」『』【】［］\[\]()（）・･\-‐‑‒–—―_]", "")
+
+
+def consensus(candidates: Column, near: int = 18, most: int = 8, size_first: bool = False) -> Column:
+    """candidates: array of (name, score, i) -> struct(name, score, names, contested).
+
+    Names that are one by their consensus key count once, at their best place. They are ranked by score, then (`size_first`) the
+    longer name, then i; `names` are the first `most`, `name` the first ("" without any), `contested` whether the second is within `near` points of it.
+    """
+    size = lambda c: -F.length(c["name"]) if size_first else F.lit(0)
+    placed = F.transform(candidates, lambda c: F.struct((-c["score"]).alias("down"), size(c).alias("size"), c["i"].alias("i"), c["name"].alias("name"), consensus_key(c["name"]).alias("key")))
+
+    def read(ranked: Column) -> Column:
+        keys = F.slice(F.array_distinct(F.filter(F.transform(ranked, lambda c: c["key"]), lambda k: k != "")), 1, most)
+        return F.transform(keys, lambda k: F.get(F.filter(ranked, lambda c: c["key"] == k), F.lit(0)))
+
+    def told(first: Column) -> Column:
+        top, second = F.get(first, F.lit(0)), F.get(first, F.lit(1))
+        contested = F.coalesce(second["down"] <= top["down"] + near, F.lit(False))
+        return F.struct(F.coalesce(top["name"], F.lit("")).alias("name"), (-top["down"]).alias("score"), F.transform(first, lambda c: c["name"]).alias("names"), contested.alias("contested"))
+
+    one = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    return one(one(F.array_sort(placed), read), told)
+
+
+def choice_confidence(score: Column, contested: Column, share: float = 220.0, least: float = 0.55, most: float = 0.86, tied: float = 0.68) -> Column:
+    """How sure a choice is: by its score within bounds, a fixed value where another is near it, 0 without one."""
+    return F.when(score.isNull(), 0.0).when(contested, tied).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), score / F.lit(share))))
+
+
+def consensus_choice(rows: DataFrame, group: list[str], value: str, key: Column, score: Column, order: str, near: int = 18, most: int = 8, salts: int = 16) -> DataFrame:
+    """Per group the best value with its score, the distinct values by consensus key (`names`, at most `most`) and `confidence`.
+
+    Values are folded by key first (score, then length, then order); what is ranked then is at most `most` of each of a group's `salts` shares.
+    Values with an empty key don't count. Groups without any have no row.
+    """
+    by = lambda: F.struct(F.col("_s"), F.length(F.col(value)), -F.col(order))
+    keyed = rows.withColumns({"_s": score, "_k": key}).where("_k != ''")
+    once = keyed.groupBy(*group, "_k").agg(F.max_by(F.struct(value, "_s", order), by()).alias("b")).select(*group, "_k", "b.*")
+    down = [F.desc("_s"), F.desc(F.length(value)), F.asc(order)]
+    share = F.pmod(F.xxhash64("_k"), F.lit(salts))
+    few = once.withColumn("_share", share).withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_share").orderBy(*down))).where(F.col("_r") <= most)
+    few = few.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*down))).where(F.col("_r") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("_r", F.col(value).alias("v"), "_s"))).alias("l")
+    told = few.groupBy(*group).agg(listed).withColumn("contested", F.coalesce(F.get("l", F.lit(1))["_s"] >= F.get("l", F.lit(0))["_s"] - near, F.lit(False)))
+    top = F.get("l", F.lit(0))
+    return told.select(*group, top["v"].alias(value), top["_s"].alias("score"), F.transform("l", lambda x: x["v"]).alias("names"), choice_confidence(top["_s"], F.col("contested")).alias("confidence"))
+
+
 def top_by_score(rows: DataFrame, group: list[str], score: Column, order: str, least: int, most: int) -> DataFrame:
     """Rows that score more than `least`, the best `most` of each group, with score and rank."""
     w = Window.partitionBy(*group).orderBy(F.desc("score"), F.asc(order))

@@ -1,4 +1,4 @@
-"""More registered queries: operators over records, addresses, rankings and notices, on stand-in tables or the pages written in notice_pages."""
+"""More registered queries: operators over records, addresses and rankings, on stand-in tables; those of notices are in notice_queries."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from harrow.functions import dates, urls
 from harrow.functions import text as tx
-from harrow.operators import catalog_pages, discover, gate, health, match, merge, parse, products, rank, records, registry, screen_text
-from harrow.plans import notice_pages
-from harrow.plans.queries import ORACLES, QUERIES, _registry, _sql_text, query
+from harrow.operators import catalog_pages, discover, gate, health, match, merge, products, rank, records, registry, screen_text
+from harrow.plans import notice_queries, reader_queries, state_queries  # noqa: F401  register their queries
+from harrow.plans.queries import ORACLES, QUERIES, _SQL_LINKS, _registry, _sql_host, _sql_part, _sql_text, query
 from harrow.session import table
 
 _ALIASES = (("brand1", "one"), ("brand2|brand3", "few"))
@@ -232,28 +232,6 @@ def newest_orders(spark, sf):
     return rank.newest_first(table(spark, sf, "orders"), "o_orderdate", "o_orderkey").limit(50).select("o_custkey", "o_orderkey", F.lit(True).alias("newest"))
 
 
-# ---- notices: the records that the pages must give
-
-
-def _notice(name: str, parsers: tuple[str, ...]) -> None:
-    def run(spark, sf):
-        return notice_pages.read(spark, parsers)
-
-    run.__name__ = name
-    run.__doc__ = "Reads the pages of notice_pages, no table."
-    QUERIES[name] = run
-    ORACLES[name] = notice_pages.expected(parsers)
-
-
-_notice("notice_books", ("rakuten-books",))
-_notice("notice_goods", ("geo-lottery",))
-_notice("notice_pairs", ("hobby-station-news",))
-_notice("notice_sections", ("furuichi-news", "amiami"))
-_notice("notice_event_page", ("livepocket",))
-_notice("notice_form", ("google-form",))
-_notice("notice_listing", ("listing-intelligence-v1",))
-_notice("notice_generic", ("generic", "odd-name", "livepocket-search"))
-
 @query(
     f"""with p as (select page_id, h, string_split(h, 'ation') as parts from (select page_id, replace(html, '&amp;', '&') as h from pages)), w as (select page_id, h, i, length(array_to_string(parts[1:i], 'ation')) + 1 as pos from (select *, unnest(range(1, len(parts))) as i from p)),
     c as (select page_id, i, {_sql_text("substr(h, greatest(pos - 30, 1), pos - greatest(pos - 30, 1) + 5 + 40)")} as context from w)
@@ -265,49 +243,6 @@ def embedded_places(spark, sf):
     return found.groupBy("page_id").agg(F.count("*").alias("places"), F.sha2(joined, 256).alias("contexts_sha256"))
 
 
-# ---- images, screen texts and product pages: what is written here, no table
-
-_IMAGES = [
-    (1, "89504E470D0A1A0A0000000D49484452000001F40000012C", 5000, "png", 500, 300, True),
-    (2, "474946383961F4012C01", 5000, "gif", 500, 300, True),
-    (3, "FFD8FFE000104A46494600010100000100010000FFC00011080078006403012200", 5000, "jpeg", 100, 120, False),
-    (4, "524946460000000057454250565038580A00000000000000F301002B0100", 5000, "webp", 500, 300, True),
-    (5, "52494646000000005745425056503820000000000000009D012AF4012C01", 5000, "webp", 500, 300, True),
-    (6, "524946460000000057454250565038" + "4C000000002F" + "F3C14A00", 3999, "webp", 500, 300, False),
-    (7, b"<svg xmlns='x' width='640' height='480'>".hex(), 5000, "svg", 640, 480, True),
-    (8, b"<?xml?><svg viewBox='0 0 200.5 90'>".hex(), 5000, "svg", 200, 90, False),
-    (9, "00112233", 5000, None, None, None, False),
-    (10, "FFD8FFE10004", 6, "jpeg", None, None, False),
-]
-
-
-@query(notice_pages.sql_values([(i, *r) for i, _, _, *r in _IMAGES], ["id", "kind", "width", "height", "valid"]))
-def image_headers(spark, sf):
-    rows = [(i, bytes.fromhex(h).ljust(n, b"\0")[: max(n, len(h) // 2)]) for i, h, n, *_ in _IMAGES]
-    found = spark.createDataFrame(rows, "id int, content binary").select("id", "content", parse.image_info(F.col("content")).alias("i"))
-    return found.select("id", "i.kind", "i.width", "i.height", parse.image_valid(F.col("content"), F.col("i")).alias("valid"))
-
-
-_SCREENS = [
-    (1, "応募期間：11月28日(金) 10時〜1月5日 23:59\n当選発表 1月8日\n購入期間 1/10から", "2025-11-28", "10:00", "2026-01-05", "23:59", "2025-01-08", "", "2025-01-10", "", 4),
-    (2, "応募締切 2026年３月４日\n注意事項 4月1日\n受取期限 3.20まで\n結果発表\n3/10 12:30", "", "", "2026-03-04", "", "2026-03-10", "12:30", "", "2026-03-20", 3),
-    (3, "日程なし 13月45日", "", "", "", "", "", "", "", "", 0),
-]
-
-
-@query(notice_pages.sql_values([(r[0], *r[2:10], float(round(r[10] / 6, 6))) for r in _SCREENS], ["id", "apply_start", "apply_start_time", "apply_end", "apply_end_time", "result", "result_time", "purchase_start", "purchase_end", "confidence"]))
-def screen_texts(spark, sf):
-    rows = spark.createDataFrame([(r[0], r[1]) for r in _SCREENS], "id int, raw string").withColumn("t", screen_text.screen_text(F.col("raw")))
-    year = F.when(F.col("id") == 1, 2025).otherwise(F.regexp_extract("t", r"(20\d{2})", 1).try_cast("int"))
-    for kind in ("apply", "result", "purchase"):
-        rows = rows.withColumn(kind, screen_text.screen_period(F.col("t"), kind, year))
-    fields = [F.col(c) for c in ("apply.start", "apply.end", "result.start", "purchase.start", "purchase.end")]
-    return rows.select(
-        "id", F.col("apply.start").alias("apply_start"), F.col("apply.startTime").alias("apply_start_time"), F.col("apply.end").alias("apply_end"), F.col("apply.endTime").alias("apply_end_time"), F.col("result.start").alias("result"),
-        F.col("result.startTime").alias("result_time"), F.col("purchase.start").alias("purchase_start"), F.col("purchase.end").alias("purchase_end"), F.round(screen_text.reading_confidence(*fields), 6).alias("confidence"),
-    )
-
-
 @query(
     """select c_custkey, case when c_custkey % 4 <> 0 and (c_custkey % 3 = 0 or c_mktsegment = 'BUILDING') then 'other' when c_custkey % 3 = 0 then '' else c_name end as shop,
     case when c_custkey % 4 <> 0 and (c_custkey % 3 = 0 or c_mktsegment = 'BUILDING') then '店舗' when c_mktsegment = 'BUILDING' then '通販' else '店舗' end as kind from customer"""
@@ -318,34 +253,7 @@ def merged_readings(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", both.alias("b")).select("c_custkey", "b.*")
 
 
-_PRODUCT_PAGES = [
-    (1, "https://www.maker.example.jp/products/2026/", "<h1>商品一覧</h1><img src='/img/logo.svg' alt='ロゴ'><div><img data-src='/img/product/a.png' alt='拡張パック「アオゾラ」'><p>2026年8月7日 発売</p><p>希望小売価格 1,980円</p></div>" + "<p>あいだ</p>" * 300 + "<img src='https://cdn.example.com/product/b.png' alt='ハイクラスパック「ミカヅキ」'>"),
-    (2, "https://www.maker.example.jp/info/x", "<p>スターターセットex ピカチュウex&amp;ミュウex 9月18日(金)発売</p><p>価格 2,000円</p><p>拡張パック 柄のデッキケース</p><img src='/img/package/set.png' alt='スターターセットex ピカチュウex'><img src='/img/banner/kv.png' alt=''>"),
-]
-
-
-@query(
-    notice_pages.sql_values(
-        [(1, "拡張パック アオゾラ", "拡張パック", "2026-08-07", 1980, "https://www.maker.example.jp/img/product/a.png"), (2, "スターターセットex ピカチュウex", "構築デッキ", "2026-09-18", 2000, "https://www.maker.example.jp/img/package/set.png"),
-         (2, "スターターセットex ピカチュウex&ミュウex", "構築デッキ", "2026-09-18", 2000, "https://www.maker.example.jp/img/package/set.png")],
-        ["page_id", "name", "category", "releaseDate", "priceYen", "imageUrl"],
-    )
-)
-def product_pages(spark, sf):
-    pages = spark.createDataFrame(_PRODUCT_PAGES, "page_id int, url string, html string")
-    return catalog_pages.page_products(pages, F.lit("2026-07-18").cast("date"))
-
-
-@query(notice_pages.sql_values([("https://m.example.jp/products/a", "拡張パック アオゾラ"), ("https://m.example.jp/ex/b/", "新商品")], ["url", "link_text"]))
+@query(rf"with {_SQL_LINKS} select page_id, ord::int as ord, url, link_text from absolute where {_sql_host('url')} = {_sql_host('base')} and url <> base and regexp_matches({_sql_part('url', 3)}, '/[a-z]*(?:er|th)[a-z]*(?:/|$)') and regexp_matches(link_text, 'an|e')")
 def product_page_links(spark, sf):
-    base = "https://m.example.jp/products/"
-    rows = [(base, "https://m.example.jp/products/a", "拡張パック アオゾラ"), (base, "https://m.example.jp/ex/b/", "新商品"), (base, base, "商品"), (base, "https://n.example.jp/products/a", "商品"), (base, "https://m.example.jp/exit", "商品"), (base, "https://m.example.jp/info/", "会社")]
-    return catalog_pages.product_links(spark.createDataFrame(rows, "base string, url string, link_text string")).select("url", "link_text")
-
-
-ORACLES["japanese_dates"] = notice_pages.sql_values(
-    [(1, "2025-12-28", "10:00", "2026-01-05", "23:59"), (2, None, None, "2026-03-10", ""), (3, "2025-07-14", "", "2025-07-20", ""), (4, "2025-08-01", "15:00", None, None), (5, None, None, None, None)],
-    ["id", "start_date", "start_time", "end_date", "end_time"],
-)
-ORACLES["japanese_records"] = """select substr(sha256('https://shop.example.jp/news' || chr(10) || 'shop.example.jp' || chr(10) || p || chr(10) || '2026-07-05'), 1, 24) as "externalId", 'shop.example.jp' as shop, p as product, 'https://shop.example.jp/e/abc' as url, 'https://shop.example.jp/news' as source_url,
-    '2026-07-01' as "applyStartDate", '2026-07-05' as "applyEndDate", '' as "applyEndTime", '2026-07-08' as "resultStartDate", null as "purchaseEndDate", 0.98::double as confidence, true as verified from (select '拡張パック ナイトワンダラー BOX' as p)"""
+    links = discover.extract_links(table(spark, sf, "pages").select("page_id", F.col("url").alias("base"), "html"), base_col="base")
+    return catalog_pages.product_links(links, path="/[a-z]*(?:er|th)[a-z]*(?:/|$)", hint="an|e").select("page_id", "ord", "url", "link_text")

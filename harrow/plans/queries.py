@@ -641,26 +641,6 @@ def explode_products(spark, sf):
     return parse.explode_products(table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0)).alias("products")), "products", 12)
 
 
-# ---- Japanese dates and parsers: inline rows
-
-
-@query()  # their SQL, the expected rows, is in plans.more
-def japanese_dates(spark, sf):
-    from harrow.functions import dates
-
-    rows = [(1, "応募期間：12月28日(土) 10:00〜1月5日 23:59"), (2, "2026年3月10日まで"), (3, "受付 7/14〜7/20"), (4, "当選発表 8月1日 午後3時"), (5, "なし")]
-    base = F.lit("2025-11-20").cast("date")
-    found = spark.createDataFrame(rows, "id int, text string").select("id", dates.date_range(F.col("text"), base).alias("r"))
-    return found.select("id", F.col("r.start.date").alias("start_date"), F.col("r.start.time").alias("start_time"), F.col("r.end.date").alias("end_date"), F.col("r.end.time").alias("end_time"))
-
-
-@query()
-def japanese_records(spark, sf):
-    page = "<h1>抽選販売</h1><p>商品：拡張パック ナイトワンダラー BOX</p><p>応募期間：7月1日〜7月5日まで</p><p>当選発表：7月8日</p><a href='/e/abc'>応募はこちら</a>"
-    pages = spark.createDataFrame([(1, "https://shop.example.jp/news", page)], "page_id int, url string, html string")
-    return parse.label_records(pages, F.lit("2026-06-20").cast("date"))
-
-
 # ---- rankings and catalogs
 
 

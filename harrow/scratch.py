@@ -7,6 +7,7 @@ whole plan, and what several branches read is worked out once.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -64,6 +65,12 @@ class Scratch:
             _remove(self.spark, f"{self.root}/{name}")
             self.names.discard(name)
 
+    def sweep(self) -> None:
+        """Has the driver collect its garbage: Spark then removes the shuffle files of steps that are written and that nothing refers to any more.
+        For operators of several large shuffles, whose files would else lie there until the driver happens to collect."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def only(self, *names: str) -> None:
         """Free every table but these."""
         self.drop(*(self.names - set(names)))

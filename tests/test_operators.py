@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import dates, urls
 from harrow.functions import text as tx
-from harrow.operators import discover, gate, health, match, merge, parse, registry, state
+from harrow.operators import discover, gate, health, match, merge, notices, parse, registry, state
 from harrow.sources import tables
 
 def base():
@@ -182,12 +182,12 @@ def test_state_and_health(spark):
 
 
 def test_parsers(spark):
-    html = "<h1>抽選販売</h1><p>商品：拡張パック A<br>スターターセット B</p><p>応募期間：7月1日〜7月5日まで</p><p>当選発表：7月8日</p><a href='/e/abc'>応募はこちら</a>"
-    pages = spark.createDataFrame([(1, "https://shop.jp/n", html, "generic"), (2, "https://shop.jp/m", html, "line-windows"), (3, "https://shop.jp/o", "<p>x</p>", "unknown-name")], "page_id int, url string, html string, parser string")
-    got = parse.parse_pages(pages, F.lit("2026-06-20").cast("date")).collect()
-    first = [r for r in got if r["source_url"].endswith("/n")]
-    assert {r["product"] for r in first} == {"拡張パック A", "スターターセット B"} and {r["applyEndDate"] for r in first} == {"2026-07-05"} and first[0]["url"] == "https://shop.jp/e/abc" and first[0]["verified"]
-    assert [r for r in got if r["source_url"].endswith("/m")] and not [r for r in got if r["source_url"].endswith("/o")]
+    html = "<h1>ポケモンカードゲームの抽選</h1><p>対象商品：拡張パック A<br>スターターセット B</p><p>応募期間：7月1日〜7月5日まで</p><p>当選発表：7月8日</p><a href='/e/abc'>応募はこちら</a>"
+    pages = spark.createDataFrame([(1, "https://shop.jp/n", html, "rakuten-books"), (2, "https://shop.jp/m", html, "hobby-search"), (3, "https://shop.jp/o", "<p>x</p>", "unknown-name"), (4, None, None, None)], "page_id int, url string, html string, parser string")
+    got = notices.read_notices(pages, F.lit("2026-06-20").cast("date")).collect()
+    first = [r for r in got if r["page_id"] == 1]
+    assert {r["product"] for r in first} == {"拡張パック A"} and {r["applyEndDate"] for r in first} == {"2026-07-05"} and first[0]["url"] == "https://shop.jp/e/abc" and first[0]["verified"]
+    assert [r for r in got if r["page_id"] == 2] and not [r for r in got if r["page_id"] > 2]
     png = bytes.fromhex("89504E470D0A1A0A0000000D49484452000001F40000012C") + b"\0" * 20
     assert tuple(spark.createDataFrame([(png,)], "c binary").select(parse.image_info(F.col("c")).alias("i")).first()["i"]) == ("png", 500, 300)
 
