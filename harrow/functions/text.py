@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,6 +179,37 @@ def normalised(text: Column, drop: str | None = None, keep: str = "a-z0-9ぁ-ん
     return F.regexp_replace(out, f"[^{keep}]+", "")
 
 
+@dataclass(frozen=True)
+class Normaliser:
+    """How names become keys. entities: decoded first. drop: words taken out, pattern after pattern. off: characters taken out."""
+
+    drop: tuple[str, ...] = ()
+    off: str = "[^a-z0-9ぁ-んァ-ヶ一-龠]+"
+    entities: bool = False
+
+
+_MARKS = r"[\s\x{3000}「」『』【】［］\[\]()（）・･\-‐‑‒–—―_]"
+#: The six kinds of keys. They are not interchangeable.
+NORMALISERS = {
+    "dedupe": Normaliser(("ポケモンカードゲーム|ポケモンカード|ポケカ|抽選販売|招待リクエスト|予約販売|受付開始|応募開始", "box|ボックス|シュリンク付き|1箱|一箱")),
+    "gate": Normaliser(("ポケモンカードゲーム|ポケモンカード|ポケカ", "抽選販売|予約販売|招待リクエスト|応募受付|box|ボックス|1箱|一箱")),
+    "groups": Normaliser(("ポケモンカードゲーム|ポケモンカード|ポケカ|mega",)),
+    "catalog": Normaliser(("ポケモンカードゲーム", _MARKS, "抽選販売|抽選受付|予約販売|応募フォーム|再販"), "", entities=True),
+    "identity": Normaliser((r"https?://\S+",), _MARKS),
+    "destination": Normaliser(),
+}
+
+
+def key_of(text: Column, kind: str) -> Column:
+    """A name's key of one of the six kinds: NFKC, lower case, without the kind's words and characters. `text` should be a plain column."""
+    rules = NORMALISERS[kind]
+    plain = F.coalesce(text, F.lit(""))
+    out = F.lower(nfkc(decode_entities(plain) if rules.entities else plain))
+    for pattern in (*rules.drop, rules.off):
+        out = F.regexp_replace(out, pattern, "") if pattern else out
+    return js_trim(out)
+
+
 def first_alias(text: Column, aliases: list[tuple[str, str]]) -> Column:
     """Name of the first pattern that is found, else the text itself."""
     out = text

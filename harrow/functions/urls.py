@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,12 +15,14 @@ from harrow.functions.text import short_hash
 @dataclass(frozen=True)
 class UrlPolicy:
     """drop: pattern for names of query parameters to take out (matched from the start, any case).
-    drop_query_under: pattern of paths whose whole query goes. invalid: what bad input gives (None: the input, trimmed)."""
+    drop_query_under: pattern of paths whose whole query goes. invalid: what bad input gives (None: the input, trimmed).
+    standard: the address is parsed as browsers do first (see standard_url)."""
 
     drop: str | None = None
     drop_query_under: str | None = None
     strip_slash: bool = False
     invalid: str | None = None
+    standard: bool = False
 
 
 #: What each use of addresses in the collection pipeline takes out.
@@ -60,6 +62,9 @@ def host_under(host_col: Column, domains: list[str]) -> Column:
 def canonical_url(url: Column, policy: UrlPolicy = SCOPE) -> Column:
     """The address without fragment and tracking parameters, scheme and host in lower case."""
     url = F.coalesce(url, F.lit(""))
+    if policy.standard:
+        parsed = standard_url(url)
+        return F.when(parsed.isNull(), F.trim(url) if policy.invalid is None else F.lit(policy.invalid)).otherwise(canonical_url(parsed, replace(policy, standard=False)))
     path = url_part(url, "path")
     path = F.when(path == "", F.lit("/")).otherwise(path)
     query = F.substring(url_part(url, "query"), F.lit(2), F.length(url))
@@ -78,6 +83,83 @@ def canonical_url(url: Column, policy: UrlPolicy = SCOPE) -> Column:
     return F.when(url_part(url, "host") != "", whole).otherwise(bad)
 
 
+#: Characters that stay as they are in paths, queries and fragments (the URL standard's percent-encode sets).
+_PATH_KEEPS, _QUERY_KEEPS, _FRAGMENT_KEEPS = r"[!$%&'()*+,\-./0-9:;=@A-Z\[\]\\_a-z|~]", r"[!$%&()*+,\-./0-9:;=?@A-Z\[\]\\^_`a-z{|}~]", r"[!#$%&'()*+,\-./0-9:;=?@A-Z\[\]\\^_a-z{|}~]"
+
+
+def percent_encoded(text: Column, keeps: str) -> Column:
+    """Text with all characters but those that `keeps` matches as their UTF-8 bytes in hexadecimal."""
+    coded = lambda c: F.when(c.rlike(keeps), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1"))
+    return F.when(text.rlike(f"^(?:{keeps})*$"), text).otherwise(F.array_join(F.transform(F.split(text, ""), coded), ""))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without . and .. segments, encoded ones too; a segment that goes up from the root stays there."""
+    one, two = r"(?i)^(?:\.|%2e)$", r"(?i)^(?:\.|%2e){2}$"
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("i"))
+
+    def walk(segments: Column) -> Column:
+        last = F.size(segments) - 1
+        tail = lambda s, kept: F.when(s["i"] == last, F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+
+        def step(s: Column, part: Column) -> Column:
+            up = F.slice(s["out"], F.lit(1), F.greatest(F.size(s["out"]) - 1, F.lit(0)))
+            out = F.when(part.rlike(two), tail(s, up)).when(part.rlike(one), tail(s, s["out"])).otherwise(F.concat(s["out"], F.array(part)))
+            return F.struct(out.alias("out"), (s["i"] + 1).alias("i"))
+
+        return F.concat(F.lit("/"), F.array_join(F.aggregate(segments, start, step, lambda s: s["out"]), "/"))
+
+    inside = F.split(F.regexp_replace(path, "^/", ""), "/")
+    return F.when(path.rlike(r"(?i)(?:^|/)(?:\.|%2e){1,2}(?:/|$)"), F.element_at(F.transform(F.array(inside), walk), 1)).otherwise(path)
+
+
+@F.pandas_udf(T.StringType())
+def _ascii_host(hosts: pd.Series) -> pd.Series:
+    """Labels in Punycode where they have other letters (NFKC and lower case first); null where a host can't be one."""
+    import unicodedata
+    from urllib.parse import unquote
+
+    def one(host):
+        if host is None:
+            return None
+        labels = []
+        for label in unicodedata.normalize("NFKC", unquote(host)).lower().replace("\u3002", ".").split("."):
+            label = unicodedata.normalize("NFC", label)
+            labels.append(label if label.isascii() else "xn--" + label.encode("punycode").decode())
+        out = ".".join(labels)
+        return None if not out or any(c in out for c in " #%/:<>?@[\\]^|") or any(ord(c) < 33 or ord(c) == 127 for c in out) else out
+
+    return hosts.map(one)
+
+
+def ascii_host(host_col: Column) -> Column:
+    """A host name in ASCII, null where it can't be one. Python sees hosts with other letters, percent signs or forbidden characters only."""
+    plain = r"^[a-z0-9.\-_~!$&'()*+,;=]+$"
+    lower = F.lower(host_col)
+    return F.when(lower.rlike(plain), lower).otherwise(_ascii_host(F.when(~lower.rlike(plain), host_col)))
+
+
+def standard_url(url: Column) -> Column:
+    """An http or https address as the URL standard serialises it: control characters and outer blanks off, scheme and host in lower case, other letters
+    of the host in Punycode, default ports off, backslashes as slashes, dot segments resolved, path, query and fragment percent-encoded; null for no such address."""
+    tidy = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), r"^[\x{0}-\x{20}]+|[\x{0}-\x{20}]+$", ""), "[\t\n\r]", "")
+    parts = r"(?is)^(https?):[/\\]*([^/\\?#]+)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+    part = lambda g: F.regexp_extract(tidy, parts, g)
+    scheme, authority = F.lower(part(1)), part(2)
+    login = F.regexp_extract(authority, "^(.*@)", 1)
+    rest = F.regexp_replace(authority, "^.*@", "")
+    port = F.regexp_extract(rest, r":(\d*)$", 1)
+    number = F.regexp_replace(port, "^0+(?=.)", "")
+    shown = F.when((number == "") | ((scheme == "http") & (number == "80")) | ((scheme == "https") & (number == "443")), "").otherwise(F.concat(F.lit(":"), number))
+    name = ascii_host(F.regexp_replace(rest, r":\d*$", ""))
+    path = percent_encoded(F.translate(part(3), "\\", "/"), _PATH_KEEPS)
+    path = F.when(path == "", F.lit("/")).otherwise(without_dots(path))
+    query = F.when(F.regexp_replace(tidy, "(?s)#.*$", "").contains("?"), F.concat(F.lit("?"), percent_encoded(part(4), _QUERY_KEEPS))).otherwise("")
+    fragment = F.when(tidy.contains("#"), F.concat(F.lit("#"), percent_encoded(part(5), _FRAGMENT_KEEPS))).otherwise("")
+    sound = tidy.rlike(parts) & name.isNotNull() & (F.length(number) <= 5) & (F.coalesce(number.try_cast("int"), F.lit(0)) <= 65535)
+    return F.when(sound, F.concat(scheme, F.lit("://"), login, name, shown, path, query, fragment))
+
+
 def opaque_key(url: Column) -> Column:
     """A short hash that stands for an address, so that state holds no addresses."""
     return short_hash(canonical_url(url, OPAQUE))

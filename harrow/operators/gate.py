@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import urls
 from harrow.functions.text import nfkc, non_empty
+from harrow.operators.match import fill_start
 
 #: Hosts of the social network, as the pipeline tests them: any host that ends so.
 SOCIAL_HOST = r"x\.com$|twitter\.com$"
@@ -77,6 +78,50 @@ def evaluate(candidates: DataFrame, now: Column, blocked: list[str], past_days:
     return judged.withColumn("accepted", F.size("reasons") == 0).drop(*bound)
 
 
+#: Kinds of sources whose destinations have to be verified, and reasons that reject for good.
+INTELLIGENCE = ("aggregated", "intelligence", "x")
+HARD = "^(?:expired|far|order|weekday)$"
+
+
+def decide(candidates: DataFrame, matches: DataFrame, verified: DataFrame, now: Column, blocked: list[str], votes: DataFrame | None = None, key: str = "key", least: float = 0.8, floor: float = 0.86) -> DataFrame:
+    """What becomes of candidates, through both gates: status (published, review, rejected), product and productCatalogId as published,
+    purchaseStartDate, destinationVerified, confidence, reasons, catalogMatched, directVerified.
+
+    candidates: key, sourceKind, manualEntry, noticeOnly, officialAccount, officialNotice, shop, product, applyStartDate, applyEndDate,
+    resultStartDate, purchaseStartDate, purchaseEndDate, rawApplyText, url, sourceUrl, purchasePolicy (boolean), context (text), confidence.
+    matches: key, catalog_id, catalog_name, release (the catalog's product, if any). verified: key, ok (the check of a destination).
+    votes: key, accepted, confidence (of models, if they were asked).
+
+    Destinations of aggregated, intelligence and social candidates count as verified by their check, those of others if they have one, official
+    notices always. The first gate judges a candidate as it came; one that the catalog knows takes its name and, where it has none, a start
+    of purchases, and is judged again. A candidate that is refused and isn't sure can be made sure by votes, and is judged a third time. Manual
+    entries with all they need are published whatever the gates say; others of theirs are under review.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    manual = (F.col("sourceKind") == "manual") | flag("manualEntry")
+    rows = candidates.join(matches.select(key, "catalog_id", "catalog_name", "release"), key, "left").join(verified.select(key, F.col("ok").alias("_ok")), key, "left")
+    intelligence, notice = F.coalesce(F.col("sourceKind").isin(*INTELLIGENCE), F.lit(False)), flag("noticeOnly") & (flag("officialAccount") | flag("officialNotice"))
+    checked = F.when(notice, True).when(intelligence, F.when(non_empty(F.col("url")) != "", F.coalesce("_ok", F.lit(False)))).otherwise(non_empty(F.col("url")) != "")
+    first = evaluate(rows.withColumns({"destinationVerified": checked, "officialNotice": notice}), now, blocked)
+    known = F.col("catalog_id").isNotNull()
+    start = non_empty(F.col("purchaseStartDate"), fill_start(candidates, F.col("release"), F.col("context"), F.col("resultStartDate"), F.col("purchaseEndDate"), F.coalesce(F.col("purchasePolicy"), F.lit(False))))
+    renamed = first.drop("reasons", "warnings", "accepted", "directHost").withColumns({"product": F.when(known, F.col("catalog_name")).otherwise(F.col("product")), "purchaseStartDate": F.when(known & ~manual, start).otherwise(F.col("purchaseStartDate"))})
+    second = evaluate(renamed, now, blocked).withColumn("_sure", F.coalesce(F.col("confidence"), F.lit(0.0)))
+    if votes is not None:
+        second = second.join(votes.select(key, F.col("accepted").alias("_yes"), F.col("confidence").alias("_vote")), key, "left")
+        asked = ~F.col("accepted") & (F.col("_sure") < least) & F.coalesce(F.col("_yes"), F.lit(False))
+        second = second.withColumn("_sure", F.when(asked, F.round(F.greatest("_sure", F.coalesce("_vote", F.lit(0.0))), 2)).otherwise(F.col("_sure")))
+    complete = manual_complete(F.col("shop"), F.col("product"), F.col("applyEndDate"), F.col("resultStartDate"))
+    status = F.when(manual, F.when(complete, "published").otherwise("review")).otherwise(split_status(F.col("reasons"), HARD))
+    why = F.when(manual, F.when(complete, F.array().cast("array<string>")).otherwise(F.array(F.lit("incomplete")))).otherwise(F.col("reasons"))
+    sure = F.when(manual & complete, 0.99).when(status == "published", F.round(F.greatest(F.lit(floor), F.col("_sure")), 2)).otherwise(F.col("_sure"))
+    direct = ~manual & F.col("destinationVerified") & ~F.exists("reasons", lambda r: r.isin("not_direct", "no_host", "blocked"))
+    return second.select(
+        *[c for c in candidates.columns if c not in {"product", "purchaseStartDate", "confidence", "officialNotice", "destinationVerified"}], "product", "purchaseStartDate", F.col("catalog_id").alias("productCatalogId"),
+        F.when(~manual, F.col("destinationVerified")).alias("destinationVerified"), status.alias("status"), why.alias("reasons"), sure.alias("confidence"), known.alias("catalogMatched"), F.coalesce(direct, F.lit(False)).alias("directVerified"),
+    )
+
+
 def split_status(reasons_col: Column, hard: str, bypass: Column | None = None) -> Column:
     """published, rejected (a reason that matches `hard`) or review; rows of the bypass are published."""
     rejected = F.exists(reasons_col, lambda r: r.rlike(hard))

@@ -58,6 +58,41 @@ def report_level(errors: Column, warnings: Column) -> Column:
     return F.struct(level.alias("level"), F.when(level == "error", 1).otherwise(0).alias("exit_code"))
 
 
+#: What a search that found nothing means.
+SEARCH_ERRORS, SEARCH_WARNINGS = ("search_failed", "candidate_fetch_failed", "parser_returned_zero"), ("no_candidates", "no_relevant_pages", "partial")
+
+
+def health_report(results: DataFrame, searches: DataFrame | None = None, group: list[str] | None = None) -> DataFrame:
+    """One row for each group (all, without one): level, exit_code, checked, ok, failed, annotations (array of level, title, message, by name) and table (Markdown, a line for each source).
+
+    results: name, ok, severity (of failures: warning or error), error, items, pages. searches: the groups' columns, status: what the search for
+    sources ended in. Failures that aren't warnings, no source that worked, and searches that failed are errors.
+    """
+    group = group or []
+    failed, grave = ~F.coalesce(F.col("ok"), F.lit(False)), F.coalesce(F.col("severity"), F.lit("error")) != "warning"
+    cell = lambda c: F.left(F.regexp_replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), "[\r\n]+", " "), F.lit(180))
+    level = F.when(grave, "error").otherwise("warning")
+    note = F.when(failed, F.struct(F.col("name"), level.alias("level"), F.concat(F.when(grave, "取得元エラー: ").otherwise("取得元警告: "), F.coalesce("name", F.lit("不明"))).alias("title"), F.coalesce("error", F.lit("原因不明の取得エラー")).alias("message")))
+    mark = F.when(~failed & (F.coalesce("items", F.lit(0)) > 0), "✅").when(failed & grave, "❌").otherwise("⚠️")
+    line = F.concat(F.lit("| "), cell(F.col("name")), F.lit(" | "), mark, F.lit(" | "), cell(F.coalesce("pages", F.lit(0))), F.lit(" | "), cell(F.coalesce("items", F.lit(0))), F.lit(" |"))
+    told = results.groupBy(*group).agg(
+        F.count("*").alias("checked"), F.count_if(~failed).alias("ok"), F.count_if(failed).alias("failed"), F.count_if(failed & grave).alias("_errors"), F.count_if(failed & ~grave).alias("_warnings"),
+        F.array_sort(F.collect_list(note)).alias("_notes"), F.array_sort(F.collect_list(F.struct("name", line.alias("line")))).alias("_lines"),
+    )
+    if searches is None:
+        told = told.withColumn("_search", F.lit(None).cast("string"))
+    elif group:
+        told = told.join(searches.select(*group, F.col("status").alias("_search")), group, "left")
+    else:
+        told = told.withColumn("_one", F.lit(1)).join(searches.agg(F.max("status").alias("_search")).withColumn("_one", F.lit(1)), "_one", "left")
+    errors = (F.col("_errors") > 0) | ((F.col("checked") > 0) & (F.col("ok") == 0)) | F.coalesce(F.col("_search").isin(*SEARCH_ERRORS), F.lit(False))
+    warnings = (F.col("_warnings") > 0) | F.coalesce(F.col("_search").isin(*SEARCH_WARNINGS), F.lit(False))
+    worst = F.when(errors, "error").when(warnings, "warning").otherwise("ok")
+    notes = F.transform("_notes", lambda n: F.struct(n["level"], n["title"], n["message"]))
+    head = F.lit("| source | state | pages | items |\n|---|---|---|---|\n")
+    return told.select(*group, worst.alias("level"), F.when(errors, 1).otherwise(0).alias("exit_code"), "checked", "ok", "failed", notes.alias("annotations"), F.concat(head, F.array_join(F.transform("_lines", lambda x: x["line"]), "\n")).alias("table"))
+
+
 def quality_summary(rows: DataFrame, status: str) -> DataFrame:
     """Candidates by status: published, duplicate, review, rejected."""
     return rows.agg(F.count("*").alias("candidates"), *[F.count_if(F.col(status) == s).alias(s) for s in ("published", "duplicate", "review", "rejected")])

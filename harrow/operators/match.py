@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harrow.scratch import Scratch
+
 
 def label_table(catalog: DataFrame, id_col: str, labels: Column) -> DataFrame:
     """catalog rows -> id, ordinal, label; labels is an array column, in order of preference."""
@@ -18,18 +20,26 @@ def _grams(text: Column, size: int) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
-def best_match(values: DataFrame, value_col: str, labels: DataFrame, shortest: int = 4, row_cols: list[str] | None = None) -> DataFrame:
+def best_match(values: DataFrame, value_col: str, labels: DataFrame, shortest: int = 4, row_cols: list[str] | None = None, generic: str | None = None) -> DataFrame:
     """The best label for each value, both sides normalised: values' key columns, id, label, score.
 
     labels: id, ordinal, key. Exact: 10000 + |key|; the value holds the key (of `shortest`
     characters or more): 2000 + |key| - 2 gap; the key holds the value: 1000 + |value| - 3 gap;
     ties to the earlier label (ordinal, id). Values under three characters match nothing.
 
-    Containment has no equi-key, so pairs meet on `shortest`-character grams: a held string shares
-    its leading gram with its holder. That is a hash join on both directions, never a product; gram
+    Containment has no equi-key, so pairs meet on `shortest`-character grams: a string is looked up
+    by its rarest gram (see _held_pairs). That is a hash join in both directions, never a product; gram
     rows hold hashes of the strings, which come back for the pairs that met.
+
+    `generic` names a boolean column of values: those that only name a kind of goods. They match nothing but groups, labels whose
+    `is_group` is true, and these only exactly; the earliest of equal ones. Groups match other values as any label does.
     """
-    rows = row_cols or [c for c in values.columns if c != value_col]
+    rows = row_cols or [c for c in values.columns if c not in (value_col, generic)]
+    if generic:
+        plain = best_match(values.where(~F.coalesce(F.col(generic), F.lit(False))), value_col, labels.select("id", "ordinal", "key"), shortest, rows)
+        groups = labels.where("is_group and key != ''").groupBy(F.col("key").alias("_k")).agg(F.min(F.struct("ordinal", "id")).alias("_first"))
+        named = values.where(F.col(generic) & (F.length(value_col) >= 3)).join(groups, F.col(value_col) == F.col("_k"))
+        return plain.unionByName(named.select(*rows, "_first.id", F.col("_k").alias("label"), (10_000 + F.length("_k")).alias("score")))
     target = values.select(*rows, F.col(value_col).alias("_t")).where(F.length("_t") >= 3)
     first = F.max_by(F.struct("ordinal", "id"), F.struct(-F.col("ordinal"), -F.col("id"))).alias("_first")
     keys = labels.groupBy(F.col("key").alias("_k")).agg(first).where("_k != ''").select("_first.id", "_first.ordinal", "_k")
@@ -52,13 +62,21 @@ def best_match(values: DataFrame, value_col: str, labels: DataFrame, shortest: i
 
 
 def _held_pairs(holders: DataFrame, holder: str, held: DataFrame, part: str, shortest: int) -> DataFrame:
-    """Pairs (holder, part) of distinct strings where the holder contains the part, of `shortest` characters or more."""
+    """Pairs (holder, part) of distinct strings where the holder contains the part, of `shortest` characters or more.
+
+    A part is looked up by the one of its grams that the fewest holders have, by count; a part with a gram that none has is held by none.
+    So a gram that all parts begin with, or that all holders have, brings no pairs together unless a part has nothing rarer.
+    """
     mark = lambda c: F.xxhash64(c)
-    grams = holders.where(F.length(holder) >= shortest).select(mark(holder).alias("_h"), F.explode(_grams(F.col(holder), shortest)).alias("_g"))
-    heads = held.where(F.length(part) >= shortest).select(mark(part).alias("_p"), F.substring(part, 1, shortest).alias("_g"))
-    met = grams.join(heads, "_g").select("_h", "_p").distinct()
-    both = met.join(holders.withColumn("_h", mark(holder)), "_h").join(held.withColumn("_p", mark(part)), "_p")
-    return both.where(F.contains(holder, part)).select(holder, part)
+    scratch = Scratch(holders.sparkSession, "grams")
+    grams = holders.where(F.length(holder) >= shortest).select(mark(F.col(holder)).alias("_h"), F.explode(_grams(F.col(holder), shortest)).alias("_g")).select("_h", mark(F.col("_g")).alias("_g"))
+    grams = scratch.keep(grams, "holders")
+    own = held.where(F.length(part) >= shortest).select(mark(F.col(part)).alias("_p"), F.explode(_grams(F.col(part), shortest)).alias("_g")).select("_p", mark(F.col("_g")).alias("_g"))
+    counted = own.join(grams.groupBy("_g").agg(F.count("*").alias("_n")), "_g", "left")
+    rarest = counted.groupBy("_p").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_g")).alias("_r")).where("_r._n > 0")
+    met = grams.join(rarest.select("_p", F.col("_r._g").alias("_g")), "_g").select("_h", "_p").distinct()
+    both = met.join(holders.withColumn("_h", mark(F.col(holder))), "_h").join(held.withColumn("_p", mark(F.col(part))), "_p")
+    return both.where(F.contains(F.col(holder), F.col(part))).select(holder, part)
 
 
 def longest_label(texts: DataFrame, text_col: str, labels: DataFrame, shortest: int = 3) -> DataFrame:
@@ -74,6 +92,15 @@ def longest_label(texts: DataFrame, text_col: str, labels: DataFrame, shortest:
     return found.select(*texts.columns, F.col("b.id").alias("id"), F.col("b.label").alias("label"))
 
 
+def repaired_names(items: DataFrame, name_col: str, key: Column, polluted: Column, catalog: DataFrame, shortest: int = 4) -> DataFrame:
+    """items with names that are `polluted` (a boolean Column: they read like descriptions) replaced by the catalog's name whose label is the longest that
+    the name's key holds; others, and those that hold none, stay. catalog: id, name, label (a key, of `shortest` characters or more). Ties fall to the smaller id."""
+    marked = items.withColumn("_key", F.when(F.coalesce(polluted, F.lit(False)), key))
+    names = catalog.groupBy("id").agg(F.min("name").alias("_name"))
+    found = longest_label(marked, "_key", catalog.where(F.length("label") >= shortest).select("id", "label"), shortest).join(names, "id", "left")
+    return found.select(*[F.coalesce("_name", name_col).alias(c) if c == name_col else F.col(c) for c in items.columns])
+
+
 def expand_groups(items: DataFrame, groups: DataFrame, members: DataFrame, date_col: str = "release_date") -> DataFrame:
     """Items of a group become one row per member; groups: group_id, stem, advertised (0: none), date; members: member_id, name_key, date.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harrow.functions import text as tx
+from harrow.functions import urls
 from harrow.functions.text import non_empty
 
 
@@ -150,3 +152,31 @@ def prune_missing(rows: DataFrame, keys_now: DataFrame, key: str, managed: Colum
 def drop_stale_tombstones(tombstones: DataFrame, live: DataFrame, key: str, newest: str, most: int = 500) -> DataFrame:
     """Tombstones whose key isn't live again, the newest `most` of them."""
     return tombstones.join(live.select(key).distinct(), key, "left_anti").orderBy(F.desc(newest), key).limit(most)
+
+
+def enrich_applications(items: DataFrame, readings: DataFrame, hosts: tuple[str, ...] = ("livepocket.jp", "forms.gle", "docs.google.com", "forms.google.com"), kept: tuple[str, ...] = ("externalId", "xPostId", "xAuthor", "sourceUrl"), country: str = "全国", least: float = 0.9) -> DataFrame:
+    """items whose address is an application's, with what was read from its page: the page's filled fields go before the item's own, but for `kept`; the area
+    only if it isn't the whole country; memos of both; the greater confidence, at least `least`; `enriched` tells which. Items elsewhere, or whose page
+    gave nothing, stay as they are.
+
+    items: url, confidence, memo, area, and columns that readings (url, ord, fields) may have as well. Addresses are compared by identity; of several
+    readings of an address the first (ord) counts.
+    """
+    own = urls.host_under(urls.host(F.col("url")), list(hosts))
+    fields = [c for c in readings.columns if c in items.columns and c not in {"url", *kept}]
+    first = readings.groupBy(urls.identity_url(F.col("url")).alias("_at")).agg(F.min_by(F.struct(*fields), "ord").alias("_r"))
+    both = items.withColumn("_at", F.when(own, urls.identity_url(F.col("url")))).join(first, "_at", "left")
+    there = F.col("_r").isNotNull()
+
+    def taken(c: str) -> Column:
+        mine, read = F.col(c), F.col(f"_r.{c}")
+        if c == "area":
+            return F.when(there & (tx.non_empty(read) != "") & (read != country), read).otherwise(mine)
+        if c == "memo":
+            return F.when(there, F.array_join(F.filter(F.array(mine, read), lambda m: tx.non_empty(m) != ""), "\n")).otherwise(mine)
+        if c == "confidence":
+            return F.when(there, F.greatest(F.coalesce(mine, F.lit(0.0)), F.coalesce(read, F.lit(0.0)), F.lit(least))).otherwise(mine)
+        filled = read.isNotNull() & (read.cast("string") != "")
+        return F.when(there & filled, read).otherwise(mine)
+
+    return both.select(*[taken(c).alias(c) if c in fields else F.col(c) for c in items.columns], F.coalesce(there, F.lit(False)).alias("enriched"))

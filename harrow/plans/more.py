@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from harrow.functions import dates, urls
 from harrow.functions import text as tx
 from harrow.operators import catalog_pages, discover, gate, health, match, merge, products, rank, records, registry, screen_text
-from harrow.plans import notice_queries, reader_queries, state_queries  # noqa: F401  register their queries
+from harrow.plans import gate_queries, notice_queries, reader_queries, state_queries  # noqa: F401  register their queries
 from harrow.plans.queries import ORACLES, QUERIES, _SQL_LINKS, _registry, _sql_host, _sql_part, _sql_text, query
 from harrow.session import table
 

@@ -53,11 +53,11 @@ class Scratch:
         self.names: set[str] = set()
         atexit.register(_remove_quietly, spark, self.root)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet under the shared folder and read it back."""
+    def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+        """Write df as Parquet under the shared folder and read it back. codec: zstd for wide tables that lie there beside large shuffles."""
         path = f"{self.root}/{name}"
         self.names.add(name)
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

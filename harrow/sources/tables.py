@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harrow.functions import urls
+
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str, multi_line: bool = True) -> DataFrame:
     """JSON by a fixed schema; bad records are null rows, a missing path is an empty table."""
@@ -66,13 +68,55 @@ def write_split(rows: DataFrame, status: str, root: str) -> None:
     rows.withColumn(status, F.coalesce(F.col(status), F.lit("review"))).write.mode("overwrite").partitionBy(status).parquet(root)
 
 
+#: What stores and products don't show in public.
+PRIVATE_STORE_KEYS = ("sourceUrl", "sourceName", "verificationStatus")
+PRIVATE_PRODUCT_KEYS = ("source", "sourceUrl", "imageSource", "imageSourceUrl", "imageSourceType", "sourceFingerprint", "imageInfo", "lastSeenAt", "discoveredAt")
+PRIVATE_FEED_KEYS = (
+    "sourceUrl", "sourceType", "sourceKind", "sourceKinds", "intelligenceSource", "privateSources", "evidenceCount", "destinationHost", "destinationVerified", "destinationVerificationReason", "verificationChecks", "rawApplyText",
+    "rawResultText", "xAuthor", "xPostId",
+)
+
+
+def public_tables(feed: DataFrame, stores: DataFrame, products: DataFrame, blocked: list[str], url_col: str = "url") -> dict[str, DataFrame]:
+    """What is published: the feed without records whose address leads to a blocked host or below one, stores and products, each without its private columns."""
+    host = urls.host(F.col(url_col))
+    shown = feed.where((host == "") | ~urls.host_under(host, blocked))
+    return {"feed": shown.drop(*PRIVATE_FEED_KEYS), "stores": stores.drop(*PRIVATE_STORE_KEYS), "products": products.drop(*PRIVATE_PRODUCT_KEYS)}
+
+
+def write_public(tables: dict[str, DataFrame], root: str) -> None:
+    """A folder of JSON for each table; each is written aside first, so a reader of root/<name> sees a whole one or none."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").json(f"{root}/.next/{name}")
+        spark = rows.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        files.delete(path(f"{root}/{name}"), True)
+        files.rename(path(f"{root}/.next/{name}"), path(f"{root}/{name}"))
+
+
+def write_run(decided: DataFrame, root: str, state: DataFrame, status: str = "status", source: str = "sourceKind") -> None:
+    """The five outputs of a run, from one pass over what the gate decided: root/records in folders feed (published), review and rejected
+    (status=...), root/status (counts by source), root/quality (counts by status), root/state."""
+    spark = decided.sparkSession
+    marked = decided.withColumn(status, F.coalesce(F.col(status), F.lit("review")))
+    marked.write.mode("overwrite").partitionBy(status).parquet(f"{root}/records")
+    written = spark.read.parquet(f"{root}/records")
+    count = lambda s: F.count_if(F.col(status) == s).alias(s)
+    written.groupBy(source).agg(F.count("*").alias("candidates"), count("published"), count("review"), count("rejected")).write.mode("overwrite").json(f"{root}/status")
+    written.agg(F.count("*").alias("candidates"), count("published"), count("review"), count("rejected")).write.mode("overwrite").json(f"{root}/quality")
+    state.write.mode("overwrite").parquet(f"{root}/state")
+
+
 def write_version(rows: DataFrame, root: str, expected: int) -> int:
-    """Optimistic versions: writes root/v=<expected+1>, or fails if someone else has."""
-    spark = rows.sparkSession
-    path = f"{root}/v={expected + 1}"
-    rows.write.mode("errorifexists").parquet(path)
-    spark.catalog.refreshByPath(root)
-    return expected + 1
+    """Puts rows in root as version expected + 1, or raises versions.Conflict if it has another newest version than `expected`. See versions for keyed tables."""
+    from harrow.sources.versions import Conflict, VersionedTable
+
+    key = rows.columns[0]
+    table = VersionedTable(rows.sparkSession, root, key, key, tries=1)
+    if table.version() != expected:
+        raise Conflict(f"{root}: a version after {expected} already exists, or {expected} does not")
+    return table.change(lambda old, deleted: (rows, rows.select(key, F.lit(None).cast("timestamp").alias("deleted_at")).where("false")))
 
 
 def encode_payload(rows: DataFrame) -> DataFrame:
