@@ -128,6 +128,62 @@ def discovery_stats(judged: DataFrame, source_col: str) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Bound:
+    """Links of one kind of source that are taken by where they lead and by the text around them. parser: the sources' layout. hosts: where links may lead.
+    where: pattern of path and query, "" for any. near: patterns that the link's text with the text around (before, after: characters of HTML) must hold.
+    child: the layout of the page behind the link."""
+
+    parser: str
+    hosts: tuple[str, ...]
+    where: str
+    near: tuple[str, ...]
+    child: str
+    before: int = 1200
+    after: int = 800
+
+
+#: The kinds of sources whose links are taken so.
+BOUND = (
+    Bound("hobby-station-news", ("hbst.net",), r"(?i)[?&]p(?:=|&|$)|/(?:news|blog)/", (), "hobby-station-news"),
+    Bound("hobby-station-news", ("livepocket.jp",), "", ("(?i)ポケモンカード|ポケカ", "(?i)抽選|応募|LivePocket|ライブポケット"), "livepocket"),
+    Bound("furuichi-news", ("furu1.net",), "(?i)/news/(?:news_information|news_campaign)/", ("(?i)ポケモンカード|ポケカ", "抽選|受付"), "furuichi-news", 600, 600),
+)
+
+
+def bound_links(pages: DataFrame, bounds: tuple[Bound, ...] = BOUND, parser_col: str = "parser", html_col: str = "html", base_col: str = "base") -> DataFrame:
+    """Links of pages whose source has a Bound: the pages' other columns, ord, url (without fragment), link_text (with the text around), child, trusted (true).
+
+    The first place of an address on a page counts. Addresses are absolute or from the host's root; others and those of other sources have no row. What is trusted
+    skips the patterns and paths of link_reason.
+    """
+    rest = [c for c in pages.columns if c != html_col]
+    own = pages.where(F.col(parser_col).isin(*{b.parser for b in bounds})).withColumn("_h", tx.decode_entities(F.coalesce(F.col(html_col), F.lit(""))))
+    parts = F.split("_h", r"(?i)(?=<a\b[^>]*href\s*=)")
+    run = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(parts, run, lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+    anchors = own.select(*rest, "_h", F.posexplode(F.arrays_zip(parts.alias("part"), starts.alias("at"))).alias("ord", "_p"))
+    tag = r"""(?is)^<a\b[^>]*href\s*=\s*(["'])(.*?)\1[^>]*>(.*?)</a>"""
+    anchors = anchors.withColumns({"_href": F.regexp_extract("_p.part", tag, 2), "_body": F.regexp_extract("_p.part", tag, 3), "_size": F.length(F.regexp_extract("_p.part", tag, 0)), "_at": F.col("_p.at")}).where("_size > 0")
+    site = F.regexp_extract(F.col(base_col), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    whole = F.when(F.col("_href").rlike("(?i)^https?://"), F.col("_href")).when(F.col("_href").rlike("^/(?!/)"), F.concat(site, F.col("_href")))
+    anchors = anchors.withColumn("url", F.regexp_replace(whole, "#.*$", "")).where("url is not null")
+    path = F.concat(urls.url_part(F.col("url"), "path"), urls.url_part(F.col("url"), "query"))
+    text = lambda b: F.trim(F.regexp_replace(F.concat_ws(" ", tx.html_to_text(F.col("_body")), tx.html_to_text(F.substring("_h", F.greatest(F.col("_at") - b.before, F.lit(0)) + 1, F.least(F.col("_at"), F.lit(b.before)) + F.col("_size") + b.after))), r"(?U)\s+", " "))
+    choice = None
+    for b in bounds:
+        hit = (F.col(parser_col) == b.parser) & urls.host_under(urls.host(F.col("url")), list(b.hosts)) & (path.rlike(b.where) if b.where else F.lit(True))
+        around = text(b)
+        for pattern in b.near:
+            hit = hit & around.rlike(pattern)
+        found = F.struct(around.alias("link_text"), F.lit(b.child).alias("child"))
+        choice = F.when(hit, found) if choice is None else choice.when(hit, found)
+    kept = anchors.withColumn("_c", choice).where("_c is not null")
+    first = Window.partitionBy(*[c for c in rest if c == base_col or c == parser_col or c.endswith("_id")], "url").orderBy("ord")
+    kept = kept.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return kept.select(*rest, "ord", "url", "_c.link_text", "_c.child", F.lit(True).alias("trusted"))
+
+
 def merge_links(first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
     """Links of two extractors by key: the first's text unless empty, then the second's; flags joined."""
     a = first.select(*key, F.col("link_text").alias("_a"), F.lit(True).alias("in_first"))

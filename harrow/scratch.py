@@ -7,13 +7,14 @@ whole plan, and what several branches read is worked out once.
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Spark's own setting for shuffle files of a finished query.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,11 +54,17 @@ class Scratch:
         self.names: set[str] = set()
         atexit.register(_remove_quietly, spark, self.root)
 
-    def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-        """Write df as Parquet under the shared folder and read it back. codec: zstd for wide tables that lie there beside large shuffles."""
+    def keep(self, df: DataFrame, name: str, codec: str = "snappy", free: bool = False) -> DataFrame:
+        """Write df as Parquet under the shared folder and read it back. codec: zstd for wide tables that lie there beside large shuffles.
+        free: have Spark remove the shuffle files of this write as it ends, not when the driver happens to collect its garbage."""
         path = f"{self.root}/{name}"
         self.names.add(name)
-        df.write.mode("overwrite").option("compression", codec).parquet(path)
+        before = self.spark.conf.get(FREED, "false")
+        self.spark.conf.set(FREED, "true" if free else before)
+        try:
+            df.write.mode("overwrite").option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.set(FREED, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -65,12 +72,6 @@ class Scratch:
             _remove(self.spark, f"{self.root}/{name}")
             self.names.discard(name)
 
-    def sweep(self) -> None:
-        """Has the driver collect its garbage: Spark then removes the shuffle files of steps that are written and that nothing refers to any more.
-        For operators of several large shuffles, whose files would else lie there until the driver happens to collect."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def only(self, *names: str) -> None:
         """Free every table but these."""
         self.drop(*(self.names - set(names)))
