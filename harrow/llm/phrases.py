@@ -2,9 +2,9 @@
 
 Texts are cut at punctuation into pieces and those into words. Everything is per language.
 A frequent word (at least `least` occurrences) gets an id. Then, length by length, two adjacent
-frequent (k-1)-grams, which share all but their ends, are a pair of ids that names a k-gram: pairs
-are counted over the corpus, frequent ones get an id by a join, and the ids take the pairs'
-places in the texts. A phrase can only be frequent if both its (k-1)-grams are, so nothing is lost.
+frequent (k-1)-grams, which share all but their ends, are a pair of ids that names a k-gram: where all
+places of a pair meet they are counted, a frequent pair gets one id for the whole corpus (its
+smallest place), and a join takes the ids back to the texts, where they replace the pairs. A phrase can only be frequent if both its (k-1)-grams are, so nothing is lost.
 The pair is at once the pointer to the k-gram's two parents. They give all that the score needs,
 length by length: the counts of a phrase's beginnings are those of its left parent and its own,
 the counts of its ends those of its right parent and its own. And they tell what is contained in
@@ -13,10 +13,10 @@ it, so does every phrase between the two, down to one that has the phrase as a p
 
 Scale: a task writes its texts as blocks of about `block_bytes`: an array of numbers (0 between
 pieces) and the block's own dictionary of what the numbers mean, with counts. Only dictionaries
-are shuffled by key, so a word or pair comes once for each block, however frequent it is; names come
-back to a block as one bounded list, and numbers move to meet their block's names. From length to
-length the arrays shrink to what can still be frequent. No table of words or pairs is broadcast
-by this code or collected.
+are shuffled by key, once for each length, so a word or pair comes once for each block, however
+frequent it is; names come back to a block as one bounded list, and numbers (deflated) move to meet
+their block's names. From length to length the arrays shrink to what can still be frequent. No table
+of words or pairs is broadcast by this code or collected.
 
 Defined results: null and empty texts have no words; a null language is `und`; rows alike count as
 often as they come; extra columns are ignored, whatever their names, and ids aren't needed; an empty table
@@ -26,6 +26,7 @@ count and then by phrase in UTF-8 byte order.
 
 from __future__ import annotations
 
+import zlib
 from functools import partial
 
 import numpy as np
@@ -42,6 +43,8 @@ _MARK = b"\xff"
 _FOLD = bytes.maketrans(_CAPITALS + ENDS + BLANKS, _CAPITALS.lower() + _MARK * len(ENDS) + b" " * len(BLANKS))
 #: Bytes of a text that are split into words at a time.
 SLICE = 1 << 20
+#: Bits of a block's number for the blocks of a task, and of an id for the entry of a block.
+BLOCK_BITS, ENTRY_BITS = 16, 27
 
 
 def _tokens(text: bytes):
@@ -80,7 +83,7 @@ def _blocks(batches, block_bytes: int):
         for lang, block in open_blocks.items():
             codes = np.concatenate(block.codes)
             counts = np.bincount(codes, minlength=len(block.words))[1:]
-            row = [[(task << 32) + made], [lang], [_squeezed(codes).tobytes()], [list(block.words)[1:]], [counts]]
+            row = [[_block_number(task, made)], [lang], [_packed(codes)], [list(block.words)[1:]], [counts]]
             made += 1
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["block", "lang", "codes", "words", "counts"])
         open_blocks.clear()
@@ -99,6 +102,16 @@ def _blocks(batches, block_bytes: int):
     yield from written()
 
 
+def _block_number(task: int, made: int) -> int:
+    if made >> BLOCK_BITS or task >> (63 - BLOCK_BITS - ENTRY_BITS):
+        raise ValueError("too many blocks for their numbers: larger blocks are needed")
+    return task << BLOCK_BITS | made
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    return zlib.compress(_squeezed(codes).tobytes(), 1)
+
+
 def _squeezed(codes: np.ndarray) -> np.ndarray:
     """The codes with runs of zeros as one zero, and codes that stand alone between zeros as zeros as well."""
     apart = np.concatenate([[0], codes, [0]])
@@ -113,7 +126,7 @@ def _paired(batches):
 
     for batch in batches:
         for i in range(batch.num_rows):
-            codes = np.frombuffer(batch.column(1)[i].as_py(), np.int32)
+            codes = np.frombuffer(zlib.decompress(batch.column(1)[i].as_py()), np.int32)
             names = batch.column(2)[i].values
             at, ids = np.asarray(names.field(0)), np.asarray(names.field(1))
             order = np.argsort(ids)
@@ -127,15 +140,18 @@ def _paired(batches):
             pairs = np.zeros(len(x), np.int32)
             pairs[both] = code + 1
             ids = ids[order]
-            row = [[batch.column(0)[i].as_py()], [_squeezed(pairs).tobytes()], [ids[key // len(ids)]], [ids[key % len(ids)]], [counts]]
+            row = [[batch.column(0)[i].as_py()], [_packed(pairs)], [ids[key // len(ids)]], [ids[key % len(ids)]], [counts]]
             kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["block", "codes", "lefts", "rights", "counts"])
 
 
-def _named(entries: DataFrame, grams: DataFrame, keys: list[str]) -> DataFrame:
-    """For each block the numbers of its frequent entries with their ids."""
-    met = entries.join(grams.select("id", *keys), keys)
-    return met.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("names"))
+def _frequent(entries: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """entries (block, at, keys, counts) of blocks -> block, at, id of those whose key is frequent in the whole corpus; the id is the
+    key's smallest place. At that place stand the key and its count `a` as well, null elsewhere."""
+    place = F.shiftleft("block", ENTRY_BITS) + F.col("at")
+    alike = Window.partitionBy(*keys)
+    met = entries.withColumns({"a": F.sum("counts").over(alike), "id": F.min(place).over(alike)}).where(F.col("a") >= least)
+    return met.select("block", "at", "id", *[F.when(F.col("id") == place, F.col(c)).alias(c) for c in [*keys, "a"]])
 
 
 def _scored(grams: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
@@ -148,7 +164,7 @@ def _scored(grams: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
 
 
 def mine_phrases(
-    documents: DataFrame, least: int = 100, longest: int = 5, percent: int = 100, lang_col: str = "lang", text_col: str = "text", block_bytes: int = 4 << 20
+    documents: DataFrame, least: int = 100, longest: int = 5, percent: int = 100, lang_col: str = "lang", text_col: str = "text", block_bytes: int = 32 << 20
 ) -> DataFrame:
     """lang, phrase, a (count), l and r (counts of the two parts of the weakest cut), n (words of the language), score:
     all phrases of 2 to `longest` words with at least `least` occurrences, without those inside a longer one."""
@@ -158,22 +174,23 @@ def mine_phrases(
     sizes = scratch.keep(blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n")), "sizes")
     entries = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "e")).select("block", "lang", (F.col("at") + 1).alias("at"), "e.words", "e.counts")
     entries = entries.withColumnRenamed("words", "word")
-    words = entries.groupBy("lang", "word").agg(F.sum("counts").alias("a")).where(F.col("a") >= least)
+    found, swallowed = [], []
+    named = scratch.keep(_frequent(entries, ["lang", "word"], least), "named-1")
     one = F.array("a")
-    grams = scratch.keep(words.select(F.monotonically_increasing_id().alias("id"), "lang", "word", F.col("word").cast("string").alias("phrase"), "a", one.alias("begins"), one.alias("ends")), "grams-1")
-    keys, found, swallowed = ["lang", "word"], [], []
+    grams = scratch.keep(named.where("a is not null").select("id", "lang", "word", F.col("word").cast("string").alias("phrase"), "a", one.alias("begins"), one.alias("ends")), "grams-1")
     pair_type = "block long, codes binary, lefts array<long>, rights array<long>, counts array<long>"
     for k in range(2, longest + 1):
-        names = _named(entries, grams, keys)
+        names = named.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("names"))
         blocks = scratch.keep(blocks.select("block", "codes").join(names, "block").select("block", "codes", "names").mapInArrow(_paired, pair_type), f"blocks-{k}")
-        scratch.drop(f"blocks-{k - 1}")
+        scratch.drop(f"blocks-{k - 1}", f"named-{k - 1}")
         entries = blocks.select("block", F.posexplode(F.arrays_zip("lefts", "rights", "counts")).alias("at", "e"))
         entries = entries.select("block", (F.col("at") + 1).alias("at"), F.col("e.lefts").alias("left"), F.col("e.rights").alias("right"), "e.counts")
-        pairs = entries.groupBy("left", "right").agg(F.sum("counts").alias("a")).where(F.col("a") >= least)
+        named = scratch.keep(_frequent(entries, ["left", "right"], least), f"named-{k}")
+        pairs = named.where("a is not null").select("id", "left", "right", "a")
         left = grams.select(F.col("id").alias("left"), "lang", "phrase", "begins", F.col("a").alias("left_a"))
         right = grams.select(F.col("id").alias("right"), "word", "ends", F.col("a").alias("right_a"))
         longer = pairs.join(left, "left").join(right, "right").select(
-            F.monotonically_increasing_id().alias("id"), "lang", "word", F.concat("phrase", F.lit(" "), F.col("word").cast("string")).alias("phrase"), "a",
+            "id", "lang", "word", F.concat("phrase", F.lit(" "), F.col("word").cast("string")).alias("phrase"), "a",
             F.concat("begins", F.array("a")).alias("begins"), F.concat("ends", F.array("a")).alias("ends"), "left", "right", "left_a", "right_a",
         )
         longer = scratch.keep(longer, f"grams-{k}")
@@ -181,7 +198,8 @@ def mine_phrases(
             inside = [longer.where(100 * F.col("a") >= percent * F.col(f"{side}_a")).select(F.col(side).alias("id")) for side in ("left", "right")]
             swallowed.append(inside[0].unionByName(inside[1]).distinct())
         found.append(longer)
-        grams, keys = longer, ["left", "right"]
+        grams = longer
+    scratch.drop(f"named-{longest}")
     scratch.drop(f"blocks-{longest}")
     kept = [g.join(s, "id", "left_anti") for g, s in zip(found, swallowed)] + found[len(swallowed) :]
     scored = [_scored(g, sizes, k) for k, g in enumerate(kept, 2)]
