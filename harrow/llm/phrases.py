@@ -13,8 +13,8 @@ it, so does every phrase between the two, down to one that has the phrase as a p
 
 Scale: a task writes its texts as blocks of about `block_bytes`: an array of numbers (0 between
 pieces) and the block's own dictionary of what the numbers mean, with counts. Only dictionaries
-are shuffled by key, once for each length, so a word or pair comes once for each block, however
-frequent it is; names come back to a block as one bounded list, and numbers (deflated) move to meet
+are shuffled by key, once for each length and in passes by key, so a word or pair comes once for each
+block, however frequent it is; names come back to a block as one bounded list, and numbers (deflated) move to meet
 their block's names. From length to length the arrays shrink to what can still be frequent. No table
 of words or pairs is broadcast by this code or collected.
 
@@ -30,7 +30,7 @@ import zlib
 from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.scratch import Scratch
@@ -44,7 +44,7 @@ _FOLD = bytes.maketrans(_CAPITALS + ENDS + BLANKS, _CAPITALS.lower() + _MARK * l
 #: Bytes of a text that are split into words at a time.
 SLICE = 1 << 20
 #: Bits of a block's number for the blocks of a task, and of an id for the entry of a block.
-BLOCK_BITS, ENTRY_BITS = 16, 27
+BLOCK_BITS, ENTRY_BITS = 12, 23
 
 
 def _tokens(text: bytes):
@@ -58,18 +58,28 @@ def _tokens(text: bytes):
         at = end
 
 
+def _parts(text: bytes):
+    """A text in parts of about a slice that end with a piece: blocks can begin between them."""
+    folded = text.translate(_FOLD)
+    at = 0
+    while at < len(folded):
+        end = folded.find(_MARK, at + SLICE) + 1
+        end = end or len(folded)
+        yield folded[at:end]
+        at = end
+
+
 class _Block:
     """Texts of one language as numbers, with the words that these stand for (0: end of a piece)."""
 
     def __init__(self):
-        self.words, self.codes, self.size = {_MARK: 0}, [], 0
+        self.words, self.codes = {_MARK: 0}, []
 
     def add(self, text: bytes) -> None:
         known = self.words
         for tokens in _tokens(text):
             self.codes.append(np.array([known.setdefault(t, len(known)) for t in tokens], np.int32))
         self.codes.append(np.zeros(1, np.int32))
-        self.size += len(text)
 
 
 def _blocks(batches, block_bytes: int):
@@ -81,6 +91,8 @@ def _blocks(batches, block_bytes: int):
     def written():
         nonlocal made
         for lang, block in open_blocks.items():
+            if len(block.words) >> ENTRY_BITS:
+                raise ValueError("too many words in a block for their numbers: smaller blocks are needed")
             codes = np.concatenate(block.codes)
             counts = np.bincount(codes, minlength=len(block.words))[1:]
             row = [[_block_number(task, made)], [lang], [_packed(codes)], [list(block.words)[1:]], [counts]]
@@ -93,12 +105,12 @@ def _blocks(batches, block_bytes: int):
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             raw = text.as_py()
-            if raw:
-                open_blocks.setdefault(lang, _Block()).add(raw)
-                size += len(raw)
-            if size >= block_bytes:
-                yield from written()
-                size = 0
+            for part in _parts(raw or b""):
+                open_blocks.setdefault(lang, _Block()).add(part)
+                size += len(part)
+                if size >= block_bytes:
+                    yield from written()
+                    size = 0
     yield from written()
 
 
@@ -121,7 +133,7 @@ def _squeezed(codes: np.ndarray) -> np.ndarray:
 
 
 def _paired(batches):
-    """block, codes, names (number in the block, id) -> block, codes of the adjacent pairs of named codes, and what these stand for."""
+    """block, codes, names (number in the block, id) -> block, codes of the adjacent pairs of named codes, the ids, and for each pair the places of its two among them."""
     import pyarrow as pa
 
     for batch in batches:
@@ -130,28 +142,46 @@ def _paired(batches):
             names = batch.column(2)[i].values
             at, ids = np.asarray(names.field(0)), np.asarray(names.field(1))
             order = np.argsort(ids)
-            number = np.zeros(max(int(codes.max(initial=0)), int(at.max(initial=0))) + 1, np.int64)  # place in ids' order, from 1
-            number[at[order]] = np.arange(1, len(ids) + 1)
+            number = np.zeros(max(int(codes.max(initial=0)), int(at.max(initial=0))) + 1, np.int32)  # place in ids' order, from 1
+            number[at[order]] = np.arange(1, len(ids) + 1, dtype=np.int32)
             x = number[codes]
-            both = np.flatnonzero((x[:-1] != 0) & (x[1:] != 0))
-            if not len(both):
+            both = (x[:-1] != 0) & (x[1:] != 0)
+            pair = x[:-1][both].astype(np.int64) * (len(ids) + 1) + x[1:][both]
+            if not len(pair):
                 continue
-            key, code, counts = np.unique((x[both] - 1) * len(ids) + x[both + 1] - 1, return_inverse=True, return_counts=True)
+            key = np.unique(pair)
+            code = np.searchsorted(key, pair).astype(np.int32)
+            counts = np.bincount(code)
             pairs = np.zeros(len(x), np.int32)
-            pairs[both] = code + 1
-            ids = ids[order]
-            row = [[batch.column(0)[i].as_py()], [_packed(pairs)], [ids[key // len(ids)]], [ids[key % len(ids)]], [counts]]
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["block", "codes", "lefts", "rights", "counts"])
+            pairs[:-1][both] = code + 1
+            wide = len(ids) + 1
+            row = [[batch.column(0)[i].as_py()], [_packed(pairs)], [ids[order]], [(key // wide - 1).astype(np.int32)], [(key % wide - 1).astype(np.int32)], [counts.astype(np.int32)]]
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["block", "codes", "ids", "lefts", "rights", "counts"])
 
 
 def _frequent(entries: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """entries (block, at, keys, counts) of blocks -> block, at, id of those whose key is frequent in the whole corpus; the id is the
+    """entries (place, keys, counts) of blocks -> block, at, id of those whose key is frequent in the whole corpus; the id is the
     key's smallest place. At that place stand the key and its count `a` as well, null elsewhere."""
-    place = F.shiftleft("block", ENTRY_BITS) + F.col("at")
     alike = Window.partitionBy(*keys)
-    met = entries.withColumns({"a": F.sum("counts").over(alike), "id": F.min(place).over(alike)}).where(F.col("a") >= least)
-    return met.select("block", "at", "id", *[F.when(F.col("id") == place, F.col(c)).alias(c) for c in [*keys, "a"]])
+    met = entries.withColumns({"a": F.sum("counts").over(alike), "id": F.min("place").over(alike)}).where(F.col("a") >= least)
+    told = [F.when(F.col("id") == F.col("place"), F.col(c)).alias(c) for c in [*keys, "a"]]
+    return met.select(F.shiftright("place", ENTRY_BITS).alias("block"), F.col("place").bitwiseAND((1 << ENTRY_BITS) - 1).cast("int").alias("at"), "id", *told)
+
+
+def _kept(scratch: Scratch, entries: DataFrame, keys: list[str], least: int, passes: int, name: str) -> DataFrame:
+    """The frequent entries, written. Keys are dealt over passes, so that the shuffle of one pass only lies on the disks."""
+    out = None
+    for i in range(passes):
+        mine = entries.where(F.pmod(F.hash(*keys), F.lit(passes)) == i)
+        part = scratch.keep(_frequent(mine, keys, least), f"{name}-{i}", "zstd", free=True)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _place() -> Column:
+    """An entry's block and number in one."""
+    return F.shiftleft("block", ENTRY_BITS) + F.col("at") + 1
 
 
 def _scored(grams: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
@@ -164,28 +194,28 @@ def _scored(grams: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
 
 
 def mine_phrases(
-    documents: DataFrame, least: int = 100, longest: int = 5, percent: int = 100, lang_col: str = "lang", text_col: str = "text", block_bytes: int = 32 << 20
+    documents: DataFrame, least: int = 100, longest: int = 5, percent: int = 100, lang_col: str = "lang", text_col: str = "text", block_bytes: int = 8 << 20, passes: int = 2
 ) -> DataFrame:
     """lang, phrase, a (count), l and r (counts of the two parts of the weakest cut), n (words of the language), score:
     all phrases of 2 to `longest` words with at least `least` occurrences, without those inside a longer one."""
     scratch = Scratch(documents.sparkSession, "phrases")
     texts = documents.select(F.coalesce(documents[lang_col].cast("string"), F.lit("und")).alias("lang"), documents[text_col].cast("string").cast("binary").alias("text"))
-    blocks = scratch.keep(texts.mapInArrow(partial(_blocks, block_bytes=block_bytes), "block long, lang string, codes binary, words array<binary>, counts array<long>"), "blocks-1")
+    blocks = scratch.keep(texts.mapInArrow(partial(_blocks, block_bytes=block_bytes), "block long, lang string, codes binary, words array<binary>, counts array<long>"), "blocks-1", "zstd")
     sizes = scratch.keep(blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n")), "sizes")
-    entries = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "e")).select("block", "lang", (F.col("at") + 1).alias("at"), "e.words", "e.counts")
-    entries = entries.withColumnRenamed("words", "word")
+    entries = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "e")).select(_place().alias("place"), "lang", F.col("e.words").alias("word"), "e.counts")
     found, swallowed = [], []
-    named = scratch.keep(_frequent(entries, ["lang", "word"], least), "named-1")
+    named = _kept(scratch, entries, ["lang", "word"], least, passes, "named-1")
     one = F.array("a")
     grams = scratch.keep(named.where("a is not null").select("id", "lang", "word", F.col("word").cast("string").alias("phrase"), "a", one.alias("begins"), one.alias("ends")), "grams-1")
-    pair_type = "block long, codes binary, lefts array<long>, rights array<long>, counts array<long>"
+    pair_type = "block long, codes binary, ids array<long>, lefts array<int>, rights array<int>, counts array<int>"
     for k in range(2, longest + 1):
         names = named.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("names"))
-        blocks = scratch.keep(blocks.select("block", "codes").join(names, "block").select("block", "codes", "names").mapInArrow(_paired, pair_type), f"blocks-{k}")
-        scratch.drop(f"blocks-{k - 1}", f"named-{k - 1}")
-        entries = blocks.select("block", F.posexplode(F.arrays_zip("lefts", "rights", "counts")).alias("at", "e"))
-        entries = entries.select("block", (F.col("at") + 1).alias("at"), F.col("e.lefts").alias("left"), F.col("e.rights").alias("right"), "e.counts")
-        named = scratch.keep(_frequent(entries, ["left", "right"], least), f"named-{k}")
+        blocks = scratch.keep(blocks.select("block", "codes").join(names, "block").select("block", "codes", "names").mapInArrow(_paired, pair_type), f"blocks-{k}", "zstd", free=True)
+        scratch.drop(f"blocks-{k - 1}", *[f"named-{k - 1}-{i}" for i in range(passes)])
+        of = lambda side: F.transform(side, lambda i: F.get("ids", i)).alias(side)
+        entries = blocks.select("block", F.posexplode(F.arrays_zip(of("lefts"), of("rights"), "counts")).alias("at", "e"))
+        entries = entries.select(_place().alias("place"), F.col("e.lefts").alias("left"), F.col("e.rights").alias("right"), "e.counts")
+        named = _kept(scratch, entries, ["left", "right"], least, passes, f"named-{k}")
         pairs = named.where("a is not null").select("id", "left", "right", "a")
         left = grams.select(F.col("id").alias("left"), "lang", "phrase", "begins", F.col("a").alias("left_a"))
         right = grams.select(F.col("id").alias("right"), "word", "ends", F.col("a").alias("right_a"))
@@ -193,14 +223,13 @@ def mine_phrases(
             "id", "lang", "word", F.concat("phrase", F.lit(" "), F.col("word").cast("string")).alias("phrase"), "a",
             F.concat("begins", F.array("a")).alias("begins"), F.concat("ends", F.array("a")).alias("ends"), "left", "right", "left_a", "right_a",
         )
-        longer = scratch.keep(longer, f"grams-{k}")
+        longer = scratch.keep(longer, f"grams-{k}", free=True)
         if found:
             inside = [longer.where(100 * F.col("a") >= percent * F.col(f"{side}_a")).select(F.col(side).alias("id")) for side in ("left", "right")]
             swallowed.append(inside[0].unionByName(inside[1]).distinct())
         found.append(longer)
         grams = longer
-    scratch.drop(f"named-{longest}")
-    scratch.drop(f"blocks-{longest}")
+    scratch.drop(f"blocks-{longest}", *[f"named-{longest}-{i}" for i in range(passes)])
     kept = [g.join(s, "id", "left_anti") for g, s in zip(found, swallowed)] + found[len(swallowed) :]
     scored = [_scored(g, sizes, k) for k, g in enumerate(kept, 2)]
     out = scored[0]
