@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from harrow.llm.labels import fit_logistic, fold, sample, texts_of
 
 FIT_DOCS, FIT_LINES = 6000, 400
+#: Bytes of text whose features are worked out side by side.
+SLICE_BYTES = 2 << 20
 BINS = 6
 #: Upper edges of the bins of each measure; the last bin is open.
 EDGES = np.array(
@@ -217,13 +219,28 @@ def score_texts(field: Field, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(a * _logit(raw) + b, -30, 30)))
 
 
+def slices(batch, column: int):
+    """A record batch in slices of at most SLICE_BYTES of text each, or one row: features take some 55 bytes of memory for a byte of text."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at, size = 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and size + n > SLICE_BYTES:
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+        size += int(n)
+    if at < len(sizes):
+        yield batch.slice(at)
+
+
 def learn(documents: DataFrame, labels: DataFrame, learn_rows, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> Field | None:
     import pyarrow as pa
 
     chosen = sample(labels.where("quality in (0, 1)"), "quality", learn_rows, FIT_DOCS, seed)
 
     def lines(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             bins, size, doc = line_bins(batch.column(2).to_pylist())
             n = batch.num_rows
             edge = np.searchsorted(doc, np.arange(n + 1))
@@ -255,12 +272,10 @@ def score_quality(documents: DataFrame, labels: DataFrame, folds: int = 3, held:
     sent = documents.sparkSession.sparkContext.broadcast(field)
 
     def score(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = batch.column(2).to_pylist()
-                values = np.full(len(texts), 0.5) if sent.value is None else score_texts(sent.value, texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values), pa.array((values >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            texts = batch.column(2).to_pylist()
+            values = np.full(len(texts), 0.5) if sent.value is None else score_texts(sent.value, texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values), pa.array((values >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = documents.select(documents[id_col].cast("long").alias("doc_id"), F.coalesce(fold(documents[id_col], folds) == held, F.lit(False)).alias("held_out"), documents[text_col].cast("string").alias("text"))
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
