@@ -121,7 +121,12 @@ def _block_number(task: int, made: int) -> int:
 
 
 def _packed(codes: np.ndarray) -> bytes:
-    return zlib.compress(_squeezed(codes).tobytes(), 1)
+    """Squeezed codes, deflated with their lowest bytes first, then the next ones: the high bytes are nearly all zero."""
+    return zlib.compress(np.ascontiguousarray(_squeezed(codes).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
 
 
 def _squeezed(codes: np.ndarray) -> np.ndarray:
@@ -138,7 +143,7 @@ def _paired(batches):
 
     for batch in batches:
         for i in range(batch.num_rows):
-            codes = np.frombuffer(zlib.decompress(batch.column(1)[i].as_py()), np.int32)
+            codes = _unpacked(batch.column(1)[i].as_py())
             names = batch.column(2)[i].values
             at, ids = np.asarray(names.field(0)), np.asarray(names.field(1))
             order = np.argsort(ids)
