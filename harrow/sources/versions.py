@@ -27,7 +27,8 @@ class Conflict(RuntimeError):
 
 class VersionedTable:
     """Rows by `key` (a column), with `stamp` (a column, e.g. updatedAt) telling which of two rows is newer. tombstones: as many deleted keys as
-    are remembered, the newest. Null keys are refused by upsert and delete: such rows are left out."""
+    are remembered, the newest, then by key; those of one time stay whole until `repair`, so that of many keys deleted at once the ones that come
+    back don't cost others their place. Null keys are refused by upsert and delete: such rows are left out."""
 
     def __init__(self, spark: SparkSession, root: str, key: str, stamp: str, tombstones: int = 500, tries: int = 3):
         self.spark, self.root, self.key, self.stamp, self.tombstones, self.tries = spark, root.rstrip("/"), key, stamp, tombstones, tries
@@ -59,9 +60,20 @@ class VersionedTable:
         return self.spark.read.parquet(f"{self.root}/data/{self._data(version)}/rows") if version else None
 
     def deleted(self, version: int | None = None) -> DataFrame | None:
-        """Tombstones of a version: the key, deleted_at."""
+        """Tombstones of a version, the newest `tombstones` of them: the key, deleted_at."""
         version = self.version() if version is None else version
-        return self.spark.read.parquet(f"{self.root}/data/{self._data(version)}/deleted") if version else None
+        return self._remembered(self._all_deleted(version)) if version else None
+
+    def _all_deleted(self, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/data/{self._data(version)}/deleted")
+
+    def _remembered(self, deleted: DataFrame) -> DataFrame:
+        return deleted.orderBy(F.desc(TOMBSTONE), self.key).limit(self.tombstones)
+
+    def _not_older(self, deleted: DataFrame) -> DataFrame:
+        """Without those older than the last that is remembered."""
+        last = self._remembered(deleted).agg(F.when(F.count(TOMBSTONE) == self.tombstones, F.min(TOMBSTONE)).alias("_last"))
+        return deleted.join(F.broadcast(last), F.col("_last").isNull() | (F.col(TOMBSTONE) >= F.col("_last"))).drop("_last")
 
     # ---- writing
 
@@ -95,11 +107,10 @@ class VersionedTable:
         writer was faster, `tries` times in all, then raises Conflict. Returns the version."""
         for attempt in range(self.tries):
             version = self.version()
-            rows, deleted = apply(self.read(version) if version else None, self.deleted(version) if version else None)
+            rows, deleted = apply(self.read(version) if version else None, self._all_deleted(version) if version else None)
             data = uuid.uuid4().hex
             rows.write.parquet(f"{self.root}/data/{data}/rows")
-            newest = deleted.groupBy(self.key).agg(F.max(TOMBSTONE).alias(TOMBSTONE)).orderBy(F.desc(TOMBSTONE), self.key).limit(self.tombstones)
-            newest.write.parquet(f"{self.root}/data/{data}/deleted")
+            self._not_older(deleted.groupBy(self.key).agg(F.max(TOMBSTONE).alias(TOMBSTONE))).write.parquet(f"{self.root}/data/{data}/deleted")
             if self._claim(version + 1, data):
                 return version + 1
             self._fs.delete(self._path(f"data/{data}"), True)
@@ -141,13 +152,14 @@ class VersionedTable:
         return self.change(apply)
 
     def repair(self, refresh: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> int:
-        """One row for each key (see _newest), refreshed, again one for each key; tombstones of keys that are there go."""
+        """One row for each key (see _newest), refreshed, again one for each key; tombstones of keys that are there go, and all
+        but the newest `tombstones` of the others."""
 
         def apply(old: DataFrame | None, deleted: DataFrame | None) -> tuple[DataFrame, DataFrame]:
             if old is None:
                 raise ValueError("nothing to repair: the table has no version yet")
             rows = self._newest(refresh(self._newest(old.where(F.col(self.key).isNotNull()))))
-            return rows, deleted.join(rows.select(self.key), self.key, "left_anti")
+            return rows, self._remembered(deleted.join(rows.select(self.key), self.key, "left_anti"))
 
         return self.change(apply)
 

@@ -87,6 +87,16 @@ def test_tombstones_repair_and_old_versions(spark, tmp_path):
     assert kept(table) == {"a": "OLD", "c": "BACK"} and table.version() == first
 
 
+def test_keys_that_come_back_cost_no_other_tombstone(spark, tmp_path):
+    table = VersionedTable(spark, f"file://{tmp_path}/t", "k", "at", tombstones=2)
+    table.upsert(rows(spark, *[(k, "1", 0) for k in "abcde"]))
+    table.delete(rows(spark, *[(k, "", 0) for k in "abcd"]), F.lit(NOW))
+    table.upsert(rows(spark, ("a", "back", 1)))
+    assert {r["k"] for r in table.deleted().collect()} == {"b", "c"}
+    table.repair()
+    assert {r["k"] for r in table.deleted().collect()} == {"b", "c"} and table._all_deleted(table.version()).count() == 2
+
+
 def test_state_crosses_triggers_and_is_freed(spark, tmp_path):
     """Each file is a trigger; a source that no row comes for is freed by its timer, and known again as new."""
     day = lambda n, h=0: NOW + timedelta(days=n, hours=h)
