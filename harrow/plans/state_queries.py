@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from harrow.plans.notice_queries import _query
 from harrow.scratch import Scratch
@@ -31,18 +34,17 @@ def versioned_upserts(spark: SparkSession, sf: str) -> DataFrame:
     return kept.read().select("k", "c", "stamp", F.lit("row").alias("kind")).unionByName(gone)
 
 
-def _event_files(spark: SparkSession, sf: str, scratch: Scratch, files: int = 4) -> DataFrame:
-    """A stream over the events, a quarter of the time to each file and a file to each trigger."""
+def _by_quarters(spark: SparkSession, sf: str, scratch: Scratch, start: Callable[[DataFrame], StreamingQuery], parts: int = 4) -> None:
+    """Runs a stream over the events, a quarter of the time to each trigger. A quarter is written when the one before has been read: the order of
+    files that lie there together would hang on the times that their file system gives them."""
     events = table(spark, sf, "events")
     ends = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    if ends["a"] is None:
-        ends = {"a": None, "b": None}
-        files = 1
-    for i in range(files):
-        cut = lambda j: ends["a"] + (ends["b"] - ends["a"]) * j / files
-        part = events if files == 1 else events.where((F.col("ts") >= F.lit(cut(i))) & ((F.col("ts") < F.lit(cut(i + 1))) | F.lit(i == files - 1)))
-        part.coalesce(1).write.mode("append").parquet(f"{scratch.root}/events")
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.root}/events")
+    parts = 1 if ends["a"] is None else parts
+    for i in range(parts):
+        cut = lambda j: ends["a"] + (ends["b"] - ends["a"]) * j / parts
+        part = events if parts == 1 else events.where((F.col("ts") >= F.lit(cut(i))) & ((F.col("ts") < F.lit(cut(i + 1))) | F.lit(i == parts - 1)))
+        part.write.mode("append").parquet(f"{scratch.root}/events")
+        start(spark.readStream.schema(events.schema).parquet(f"{scratch.root}/events")).awaitTermination()
 
 
 _TRACKED = """with e as (select event_id, user_id::varchar as source, case when event_id % 5 = 0 then null else event_type || (event_id % 3) end as candidate, ts as seen, sha256(props) as fingerprint, row_number() over (partition by user_id order by ts, case when event_id % 5 = 0 then null else event_type || (event_id % 3) end nulls first, sha256(props)) as i from events),
@@ -60,12 +62,14 @@ def tracked_candidates(spark: SparkSession, sf: str) -> DataFrame:
     from harrow.streaming.tracker import Retention, rocks_state, track
 
     scratch = Scratch(spark, "tracked")
-    rows = _event_files(spark, sf, scratch)
     candidate = F.when(F.col("event_id") % 5 != 0, F.concat("event_type", (F.col("event_id") % 3).cast("string")))
-    observed = rows.select(F.col("user_id").cast("string").alias("source"), candidate.alias("candidate"), F.col("ts").alias("at"), F.sha2("props", 256).alias("fingerprint"))
+
+    def start(rows: DataFrame) -> StreamingQuery:
+        observed = rows.select(F.col("user_id").cast("string").alias("source"), candidate.alias("candidate"), F.col("ts").alias("at"), F.sha2("props", 256).alias("fingerprint"))
+        return track(observed, Retention(2, 1, 4)).writeStream.format("parquet").option("checkpointLocation", f"{scratch.root}/checkpoint").trigger(availableNow=True).outputMode("append").start(f"{scratch.root}/out")
+
     with rocks_state(spark):
-        running = track(observed, Retention(2, 1, 4)).writeStream.format("parquet").option("checkpointLocation", f"{scratch.root}/checkpoint").trigger(availableNow=True).outputMode("append").start(f"{scratch.root}/out")
-        running.awaitTermination()
+        _by_quarters(spark, sf, scratch, start)
     return spark.read.parquet(f"{scratch.root}/out").select("source", "candidate", F.col("at").alias("seen"), "fingerprint", "first_seen", "changed", "known")
 
 
@@ -78,10 +82,14 @@ def carried_feed(spark: SparkSession, sf: str) -> DataFrame:
     from harrow.streaming.tracker import carry_forward
 
     scratch = Scratch(spark, "carried")
-    rows = _event_files(spark, sf, scratch).select("user_id", "event_type", F.col("ts").alias("seen"))
     feed = VersionedTable(spark, f"{scratch.root}/feed", "user_id", "seen")
     merge = carry_forward(feed, 1, "seen", lambda r: r.where("event_type <> 'error'"))
-    rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{scratch.root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    def start(rows: DataFrame) -> StreamingQuery:
+        seen = rows.select("user_id", "event_type", F.col("ts").alias("seen"))
+        return seen.writeStream.foreachBatch(merge).option("checkpointLocation", f"{scratch.root}/checkpoint").trigger(availableNow=True).start()
+
+    _by_quarters(spark, sf, scratch, start)
     kept = feed.read()
     return kept.select("user_id", "event_type", "seen") if kept is not None else table(spark, sf, "events").select("user_id", "event_type", F.col("ts").alias("seen")).where("false")
 

@@ -48,7 +48,9 @@ class _Tracker(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
         seen = pd.concat(list(rows)).sort_values(["at", "candidate", "fingerprint"], kind="stable", na_position="first")
         own = self.source.get() if self.source.exists() else None
-        known = {k[0]: v for k, v in self.candidates.iterator()}
+        # the store gives them in the order of its keys: the last seen have to stand last, equal times as rows are sorted
+        never = pd.Timestamp.min.to_pydatetime()
+        known = dict(sorted(((k[0], v) for k, v in self.candidates.iterator()), key=lambda e: (e[1][1] or never, e[0])))
         before = set(known)
         out = []
         for candidate, at, fingerprint in zip(seen["candidate"], seen["at"], seen["fingerprint"], strict=True):

@@ -97,6 +97,20 @@ def test_keys_that_come_back_cost_no_other_tombstone(spark, tmp_path):
     assert {r["k"] for r in table.deleted().collect()} == {"b", "c"} and table._all_deleted(table.version()).count() == 2
 
 
+def test_the_last_seen_stay_across_triggers(spark, tmp_path):
+    """The state store gives candidates by name; who goes when there are too many is told by time."""
+    hour = lambda n: NOW + timedelta(hours=n)
+    files = [[("s", "z", hour(0), "f"), ("s", "a", hour(1), "f")], [("s", "m", hour(2), "f"), ("s", "a", hour(3), "f"), ("s", "z", hour(4), "f")]]
+    schema = "source string, candidate string, at timestamp, fingerprint string"
+    with rocks_state(spark):
+        for part in files:
+            spark.createDataFrame(part, schema).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+            track(stream, Retention(5, 3, 2)).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    got = [(r["candidate"], r["first_seen"]) for r in spark.read.parquet(f"{tmp_path}/out").orderBy("at").collect()]
+    assert got == [("z", True), ("a", True), ("m", True), ("a", False), ("z", True)]
+
+
 def test_state_crosses_triggers_and_is_freed(spark, tmp_path):
     """Each file is a trigger; a source that no row comes for is freed by its timer, and known again as new."""
     day = lambda n, h=0: NOW + timedelta(days=n, hours=h)
