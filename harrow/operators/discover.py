@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -162,26 +163,37 @@ def bound_links(pages: DataFrame, bounds: tuple[Bound, ...] = BOUND, parser_col:
     parts = F.split("_h", r"(?i)(?=<a\b[^>]*href\s*=)")
     run = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     starts = F.aggregate(parts, run, lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
-    anchors = own.select(*rest, "_h", F.posexplode(F.arrays_zip(parts.alias("part"), starts.alias("at"))).alias("ord", "_p"))
     tag = r"""(?is)^<a\b[^>]*href\s*=\s*(["'])(.*?)\1[^>]*>(.*?)</a>"""
-    anchors = anchors.withColumns({"_href": F.regexp_extract("_p.part", tag, 2), "_body": F.regexp_extract("_p.part", tag, 3), "_size": F.length(F.regexp_extract("_p.part", tag, 0)), "_at": F.col("_p.at")}).where("_size > 0")
+    found = F.transform(F.arrays_zip(parts.alias("part"), starts.alias("at")), lambda p, i: F.struct(i.alias("ord"), p["at"].alias("at"), F.regexp_extract(p["part"], tag, 0).alias("tag")))
+    anchors = own.select(*rest, "_h", F.explode(F.filter(found, lambda p: p["tag"] != "")).alias("_p"))
+    anchors = anchors.select(*rest, "_h", "_p.ord", F.regexp_extract("_p.tag", tag, 2).alias("_href"), F.regexp_extract("_p.tag", tag, 3).alias("_body"), F.length("_p.tag").alias("_size"), F.col("_p.at").alias("_at"))
     site = F.regexp_extract(F.col(base_col), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
     whole = F.when(F.col("_href").rlike("(?i)^https?://"), F.col("_href")).when(F.col("_href").rlike("^/(?!/)"), F.concat(site, F.col("_href")))
     anchors = anchors.withColumn("url", F.regexp_replace(whole, "#.*$", "")).where("url is not null")
     path = F.concat(urls.url_part(F.col("url"), "path"), urls.url_part(F.col("url"), "query"))
     text = lambda b: F.trim(F.regexp_replace(F.concat_ws(" ", tx.html_to_text(F.col("_body")), tx.html_to_text(F.substring("_h", F.greatest(F.col("_at") - b.before, F.lit(0)) + 1, F.least(F.col("_at"), F.lit(b.before)) + F.col("_size") + b.after))), r"(?U)\s+", " "))
-    choice = None
-    for b in bounds:
-        hit = (F.col(parser_col) == b.parser) & urls.host_under(urls.host(F.col("url")), list(b.hosts)) & (path.rlike(b.where) if b.where else F.lit(True))
-        around = text(b)
-        for pattern in b.near:
-            hit = hit & around.rlike(pattern)
-        found = F.struct(around.alias("link_text"), F.lit(b.child).alias("child"))
-        choice = F.when(hit, found) if choice is None else choice.when(hit, found)
-    kept = anchors.withColumn("_c", choice).where("_c is not null")
+    anchors = anchors.withColumns({"_host": urls.host(F.col("url")), "_path": path})
+    # the text around is read once, and only for links that lead where the Bound says; an explode, as a filter behind it would have it read again
+    def near(n: int, b: Bound) -> Callable[[Column], Column]:
+        def read(t: Column) -> Column:
+            hit = F.lit(True)
+            for pattern in b.near:
+                hit = hit & t.rlike(pattern)
+            return F.when(hit, F.struct(F.lit(n).alias("n"), F.lit(b.child).alias("child"), t.alias("text")))
+
+        return read
+
+    choices, told = [], None
+    for n, b in enumerate(bounds):
+        leads = (F.col(parser_col) == b.parser) & urls.host_under(F.col("_host"), list(b.hosts)) & (F.col("_path").rlike(b.where) if b.where else F.lit(True))
+        choices.append(F.when(leads, tx.let(text(b) if b.near else F.lit(None).cast("string"), near(n, b))))
+        plain = text(b) if not b.near else F.col("_c.text")
+        told = F.when(F.col("_c.n") == n, plain) if told is None else told.when(F.col("_c.n") == n, plain)
+    kept = anchors.withColumn("_c", F.explode(F.array_compact(F.array(F.coalesce(*choices)))))
+    kept = kept.select(*rest, "ord", "url", told.alias("link_text"), F.col("_c.child").alias("child"))
     first = Window.partitionBy(*[c for c in rest if c == base_col or c == parser_col or c.endswith("_id")], "url").orderBy("ord")
     kept = kept.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return kept.select(*rest, "ord", "url", "_c.link_text", "_c.child", F.lit(True).alias("trusted"))
+    return kept.select(*rest, "ord", "url", "link_text", "child", F.lit(True).alias("trusted"))
 
 
 def merge_links(first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
