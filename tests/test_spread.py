@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from harrow.functions import dates
+from harrow.operators import notices
 from harrow.plans.notice_queries import sales
 
 
@@ -30,3 +31,10 @@ def test_days_that_exist_by_the_calendar(spark):
         near = [x for x in (day(y, r["m"], r["d"]) for y in (2026, 2025, 2027)) if x]
         assert [t["date"] for t in r["s"]] == ([min(near, key=lambda x: (abs((x - base).days), x.year)).isoformat()] if near else []), r
         assert (r["r"]["start"] and r["r"]["start"]["date"]) == (on.isoformat() if on else None), r
+
+
+def test_a_name_is_looked_for_in_a_text_made_once(spark):
+    data = spark.createDataFrame([("in 大阪府", "x"), ("", "宮城県 大阪府"), ("", "")], "a string, b string")
+    told = data.select(notices.first_of(("宮城県", "大阪府"), F.concat_ws("~", "a", "b")).alias("p"))
+    assert [r["p"] for r in told.collect()] == ["大阪府", "宮城県", None]
+    assert "contains(concat_ws" not in told._jdf.queryExecution().optimizedPlan().toString().lower()
