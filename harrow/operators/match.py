@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from harrow.scratch import Scratch
 
 
+#: As many grams of parts are sent to every task (a number of eight bytes each); more meet the holders' in a shuffle.
+BROADCAST_GRAMS = 2_000_000
+
+
 def label_table(catalog: DataFrame, id_col: str, labels: Column) -> DataFrame:
     """catalog rows -> id, ordinal, label; labels is an array column, in order of preference."""
     return catalog.select(F.col(id_col).alias("id"), F.posexplode(labels).alias("ordinal", "label"))
@@ -70,8 +74,12 @@ def _held_pairs(holders: DataFrame, holder: str, held: DataFrame, part: str, sho
     mark = lambda c: F.xxhash64(c)
     scratch = Scratch(holders.sparkSession, "grams")
     grams = holders.where(F.length(holder) >= shortest).select(mark(F.col(holder)).alias("_h"), F.explode(_grams(F.col(holder), shortest)).alias("_g")).select("_h", mark(F.col("_g")).alias("_g"))
-    grams = scratch.keep(grams, "holders")
     own = held.where(F.length(part) >= shortest).select(mark(F.col(part)).alias("_p"), F.explode(_grams(F.col(part), shortest)).alias("_g")).select("_p", mark(F.col("_g")).alias("_g"))
+    own = scratch.keep(own, "parts")
+    # of the holders' grams only those that a part has are written: a gram for each character would be many times the texts
+    looked = own.select("_g").distinct()
+    looked = F.broadcast(looked) if looked.count() <= BROADCAST_GRAMS else looked
+    grams = scratch.keep(grams.join(looked, "_g", "left_semi").select("_h", "_g"), "holders")
     counted = own.join(grams.groupBy("_g").agg(F.count("*").alias("_n")), "_g", "left")
     rarest = counted.groupBy("_p").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_g")).alias("_r")).where("_r._n > 0")
     met = grams.join(rarest.select("_p", F.col("_r._g").alias("_g")), "_g").select("_h", "_p").distinct()

@@ -71,3 +71,23 @@ def test_group_expand_takes_every_part(spark, tmp_path):
     expected = sorted((b, k, i) for (b, k), stem in stems.items() for i, name, _, kind, _ in parts if kind == k and name.lower().startswith(stem))
     got = sorted((r["group_id"], r["release_date"], r["member_id"]) for r in QUERIES["group_expand"](spark, str(tmp_path)).collect())
     assert got == expected
+
+
+def test_grams_that_no_label_has_are_not_written(spark, monkeypatch):
+    from harrow.operators import match
+    from harrow.scratch import Scratch
+
+    written, keep = {}, Scratch.keep
+
+    def spy(self, df, name, **how):
+        out = keep(self, df, name, **how)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", spy)
+    texts = spark.createDataFrame([(1, "a long text " * 3 + "with needle in it, and more"), (2, "nothing of the kind, but long enough")], "doc_id long, t string")
+    labels = spark.createDataFrame([(7, "needle")], "id long, label string")
+    for most in (match.BROADCAST_GRAMS, 0):
+        monkeypatch.setattr(match, "BROADCAST_GRAMS", most)
+        got = {r["doc_id"]: r["id"] for r in match.longest_label(texts, "t", labels, 4).select("doc_id", "id").collect()}
+        assert got == {1: 7, 2: None} and written["holders"] == 3
