@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pyspark.sql import types as T
 
 from harrow.functions.text import decode_entities
 from harrow.scratch import Scratch
+from harrow.session import spread
 
 #: A walk goes so deep and over so many nodes; what lies beyond isn't read.
 DEPTH, NODES = 20, 30_000
@@ -66,11 +70,22 @@ def walk_pages(pages: DataFrame, keys: list[str], html: str, depth: int = DEPTH,
 
     Each level is one explode of the objects and lists of the level before it, written before the next one, so no level is worked out
     twice and no Python sees a value. A page's walk ends at `depth` levels or `nodes` nodes, whichever is first; nodes of a level count in the order of their
-    places. Blocks that are no JSON, pages without any and null pages have no rows; null values have a null text. A page's nodes are one window's group, bounded by the page.
+    places. Blocks that are no JSON, pages without any and null pages have no rows; null values have a null text. A value takes a character at least, so
+    only the nodes of pages with more characters than `nodes` are counted, as one window's group, bounded by the page; all others move through no shuffle.
     """
-    spark = pages.sparkSession
-    scratch = Scratch(spark, "walk")
-    blocks = pages.select(*keys, F.posexplode(json_blocks(F.col(html))).alias("block", "text"))
+    scratch = Scratch(pages.sparkSession, "walk")
+    blocks = scratch.keep(spread(pages.select(*keys, F.posexplode(json_blocks(F.col(html))).alias("block", "text")), *keys), "blocks")
+    sizes = blocks.groupBy(*keys).agg(F.sum(F.length("text")).alias("size"))
+    large = scratch.keep(sizes.where(F.col("size") > nodes).select(*[F.col(k).alias(f"_{k}") for k in keys]), "large", free=True)
+    if large.isEmpty():
+        return _walk(scratch, blocks, keys, depth)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return _walk(scratch, blocks.join(large, same, "left_anti"), keys, depth).unionByName(_walk(scratch, blocks.join(large, same, "left_semi"), keys, depth, nodes))
+
+
+def _walk(scratch: Scratch, blocks: DataFrame, keys: list[str], depth: int, nodes: int | None = None) -> DataFrame:
+    """See walk_pages; without `nodes` none are counted."""
+    spark = blocks.sparkSession
     level = blocks.select(
         *keys, "block", F.lit("$").alias("path"), F.array().cast("array<int>").alias("place"), F.lit(0).cast("long").alias("used"), F.try_parse_json(decode_entities(F.col("text"))).alias("v")
     ).where("v is not null")
@@ -80,11 +95,14 @@ def walk_pages(pages: DataFrame, keys: list[str], html: str, depth: int = DEPTH,
         inside = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
         step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
         found = inside.select(*keys, "block", F.concat("path", step).alias("path"), F.concat("place", F.array("pos")).alias("place"), "used", F.col("key").alias("name"), F.col("value").alias("v"))
-        counted = found.withColumns({"n": F.row_number().over(page.orderBy("block", "place")), "of": F.count("*").over(page)})
-        within = counted.where(F.col("used") + F.col("n") <= nodes).withColumn("kind", F.schema_of_variant("v"))
+        if nodes is not None:
+            counted = found.withColumns({"n": F.row_number().over(page.orderBy("block", "place")), "of": F.count("*").over(page)})
+            found = counted.where(F.col("used") + F.col("n") <= nodes).withColumn("used", F.col("used") + F.col("of"))
+        within = found.withColumn("kind", F.schema_of_variant("v"))
         holds = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
         kept = scratch.keep(
-            within.select(*keys, "block", "path", "place", (F.col("used") + F.col("of")).alias("used"), "name", F.when(holds, F.to_json("v")).alias("inner"), F.when(~holds, F.col("v").cast("string")).alias("value"), holds.alias("holds")), f"level-{k}"
+            within.select(*keys, "block", "path", "place", "used", "name", F.when(holds, F.to_json("v")).alias("inner"), F.when(~holds, F.col("v").cast("string")).alias("value"), holds.alias("holds")),
+            f"level-{k}" if nodes is None else f"counted-{k}",
         )
         leaves = kept.where(~F.col("holds")).select(*keys, "block", "path", "name", "value", F.lit(k).alias("level"))
         out = leaves if out is None else out.unionByName(leaves)
