@@ -63,6 +63,7 @@ class Vocabulary:
 
     def __init__(self, terms: list[str], toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int):
         self.place = {t: i for i, t in enumerate(terms)}
+        self.begins = {t[1:]: i for i, t in enumerate(terms) if t[0] == "^"}
         self.counts = np.stack([other, toxic])
         self.sizes = (n_other, n_toxic)
         self.weight = self.weigh(other, toxic, n_other, n_toxic)
@@ -76,12 +77,21 @@ class Vocabulary:
     def vector(self, text: str | None, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places of the text's terms in ascending order and their weights, of length one. own: the label of
         a document of the sample, whose own share in the counts is left out."""
-        counts = terms_of(text)
-        place = self.place
-        known = sorted((place[t], c) for t, c in counts.items() if t in place)
+        word, begin = self.place.get, self.begins.get
+        known: dict[int, int] = {}
+        for w, n in Counter(WORD.findall((text or "").lower())).items():
+            at = word(w)
+            if at is not None:
+                known[at] = n
+            if len(w) > STEM:
+                at = begin(w[:STEM])
+                if at is not None:
+                    known[at] = known.get(at, 0) + n
         if not known:
             return np.empty(0, np.int64), np.empty(0)
-        at, tf = np.array(known, np.int64).T
+        at, tf = np.fromiter(known.keys(), np.int64, len(known)), np.fromiter(known.values(), np.int64, len(known))
+        order = np.argsort(at)
+        at, tf = at[order], tf[order]
         if own is None:
             weight = self.weight[at]
         else:
@@ -204,7 +214,7 @@ def learn(documents: DataFrame, labels: DataFrame, learn_rows, seed: int = 29, i
     rows = texts.mapInArrow(vectors, "id long, y int, terms binary, weights binary").toPandas().sort_values("id", kind="stable")
     built = [(np.frombuffer(t, np.int32), np.frombuffer(w, np.float64)) for t, w in zip(rows["terms"], rows["weights"], strict=True)]
     ids, y = rows["id"].to_numpy(), rows["y"].to_numpy(float)
-    index = Index(len(words.place), ids, y, built, float((y.sum() + 0.5) / (len(y) + 1.0)))
+    index = Index(len(words.weight), ids, y, built, float((y.sum() + 0.5) / (len(y) + 1.0)))
     del rows, built
     both = documents.sparkSession.sparkContext.broadcast((words, index))
 
