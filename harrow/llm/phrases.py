@@ -16,7 +16,8 @@ pieces) and the block's own dictionary of what the numbers mean, with counts. On
 are shuffled by key, once for each length and in passes by key, so a word or pair comes once for each
 block, however frequent it is; names come back to a block as one bounded list, and numbers (deflated) move to meet
 their block's names. From length to length the arrays shrink to what can still be frequent. No table
-of words or pairs is broadcast by this code or collected.
+of words, pairs or phrases is broadcast or collected: all of these grow with the corpus, and their Parquet files, by which Spark would
+choose a broadcast, are a small part of what they take in memory. Only a row for each language may be broadcast.
 
 Defined results: null and empty texts have no words; a null language is `und`; rows alike count as
 often as they come; extra columns are ignored, whatever their names, and ids aren't needed; an empty table
@@ -179,11 +180,16 @@ def _kept(scratch: Scratch, entries: DataFrame, keys: list[str], least: int, pas
     out = None
     for i in range(passes):
         mine = entries.where(F.pmod(F.hash(*keys), F.lit(passes)) == i)
-        part = scratch.keep(_frequent(mine, keys, least), f"{name}-{i}", "zstd", free=True)
+        part = scratch.keep(_frequent(mine, keys, least), f"{name}-{i}", "zstd", free=True, one_by_one=True)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _met(one: DataFrame, other: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the corpus, both shuffled and sorted: neither goes through the driver, however small its files."""
+    return one.join(other.hint("merge"), key, how)
+
+
 def _place() -> Column:
     """An entry's block and number in one."""
     return F.shiftleft("block", ENTRY_BITS) + F.col("at") + 1
@@ -215,7 +221,7 @@ def mine_phrases(
     pair_type = "block long, codes binary, ids array<long>, lefts array<int>, rights array<int>, counts array<int>"
     for k in range(2, longest + 1):
         names = named.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("names"))
-        blocks = scratch.keep(blocks.select("block", "codes").join(names, "block").select("block", "codes", "names").mapInArrow(_paired, pair_type), f"blocks-{k}", "zstd", free=True)
+        blocks = scratch.keep(_met(blocks.select("block", "codes"), names, "block").select("block", "codes", "names").mapInArrow(_paired, pair_type), f"blocks-{k}", "zstd", free=True)
         scratch.drop(f"blocks-{k - 1}", *[f"named-{k - 1}-{i}" for i in range(passes)])
         of = lambda side: F.transform(side, lambda i: F.get("ids", i)).alias(side)
         entries = blocks.select("block", F.posexplode(F.arrays_zip(of("lefts"), of("rights"), "counts")).alias("at", "e"))
@@ -224,7 +230,7 @@ def mine_phrases(
         pairs = named.where("a is not null").select("id", "left", "right", "a")
         left = grams.select(F.col("id").alias("left"), "lang", "phrase", "begins", F.col("a").alias("left_a"))
         right = grams.select(F.col("id").alias("right"), "word", "ends", F.col("a").alias("right_a"))
-        longer = pairs.join(left, "left").join(right, "right").select(
+        longer = _met(_met(pairs, left, "left"), right, "right").select(
             "id", "lang", "word", F.concat("phrase", F.lit(" "), F.col("word").cast("string")).alias("phrase"), "a",
             F.concat("begins", F.array("a")).alias("begins"), F.concat("ends", F.array("a")).alias("ends"), "left", "right", "left_a", "right_a",
         )
@@ -235,7 +241,7 @@ def mine_phrases(
         found.append(longer)
         grams = longer
     scratch.drop(f"blocks-{longest}", *[f"named-{longest}-{i}" for i in range(passes)])
-    kept = [g.join(s, "id", "left_anti") for g, s in zip(found, swallowed)] + found[len(swallowed) :]
+    kept = [_met(g, s, "id", "left_anti") for g, s in zip(found, swallowed)] + found[len(swallowed) :]
     scored = [_scored(g, sizes, k) for k, g in enumerate(kept, 2)]
     out = scored[0]
     for more in scored[1:]:

@@ -73,3 +73,24 @@ def test_nothing_to_mine(spark, docs):
     assert mined(spark, docs, 10**6) == [] and mined(spark, [(None, None)], 1) == [] and phrases.mine_phrases(frame(spark, docs).where("false")).count() == 0
     with pytest.raises(ValueError):
         phrases._block_number(0, 1 << phrases.BLOCK_BITS)
+
+
+def test_growing_tables_stay_off_the_driver_and_blocks_are_read_singly(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    seen, write = {}, DataFrameWriter.parquet
+
+    def recorded(self, path, *args, **options):
+        seen[path.rsplit("/", 1)[-1]] = self._df._jdf.queryExecution().executedPlan().toString(), spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+        return write(self, path, *args, **options)
+
+    usual = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    monkeypatch.setattr(DataFrameWriter, "parquet", recorded)
+    docs = [("a b c d e f, a b c", "en"), ("a b c d x", "en"), ("b c d", None)] * 3
+    mined = phrases.mine_phrases(frame(spark, docs), least=2, passes=1)
+    plans = [p for p, _ in seen.values()] + [mined._jdf.queryExecution().executedPlan().toString()]
+    joins = [line for p in plans for line in p.split("\n") if "Join" in line]
+    assert sum("SortMergeJoin" in j for j in joins) >= 12
+    assert not [j for j in joins if "Broadcast" in j and "[lang#" not in j]
+    assert {n: size for n, (_, size) in seen.items() if n.startswith("named-")} == {f"named-{k}-0": "1" for k in range(1, 6)}
+    assert seen["blocks-2"][1] == seen["grams-2"][1] == spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == usual
