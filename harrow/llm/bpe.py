@@ -22,6 +22,7 @@ import json
 import re
 import unicodedata
 from array import array
+from operator import itemgetter
 
 import numpy as np
 import regex
@@ -40,6 +41,9 @@ SPECIAL = " "
 #: Beyond these letters the library's own normaliser and pre-tokeniser run.
 NOT_LATIN = re.compile("[^\x00-\u036f]")
 LATIN_SPACE = re.compile("[\x09-\x0d \x85\xa0]+")
+#: Ids and decoded text of a piece without words.
+NOTHING = b"", ""
+IDS, DECODED = itemgetter(0), itemgetter(1)
 #: The file's pattern for words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -82,8 +86,10 @@ class Bpe:
             if made is not None and left in self.vocab and right in self.vocab:
                 self.merges.setdefault((self.vocab[left], self.vocab[right]), (rank, made))
         self._tables()
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, tuple[bytes, str]] = {}
+        #: Of each token its text after a blank; of words and pieces their ids, and the texts of their tokens so.
+        self.spaced = {i: " " + t for i, t in self.tokens.items()}
+        self.words: dict[bytes, tuple[bytes, str]] = {}
+        self.pieces: dict[str, tuple[bytes, str]] = {"": NOTHING}
 
     def _tables(self) -> None:
         """The vocabulary as arrays: symbols of bytes, byte pairs inside tokens, merges sorted by pair."""
@@ -109,9 +115,14 @@ class Bpe:
         return np.where(found, self.merge_ranks[at], NONE), self.merge_made[at]
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word. All fragments of all words merge side by side, one merge a round in each."""
+        """Ids of each word."""
+        ids, ends = self._encoded(words)
+        return np.split(ids, ends[:-1]) if words else []
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and where those of each end. All fragments of all words merge side by side, one merge a round in each."""
         if not words:
-            return []
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         data = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(lengths)
@@ -156,7 +167,7 @@ class Bpe:
                 rank[left], made[left] = self._ranks(symbol[left], symbol[right])
         kept = result >= 0
         counts = np.add.reduceat(kept, np.r_[0, ends[:-1]])
-        return np.split(result[kept].astype("<u4"), np.cumsum(counts)[:-1])
+        return result[kept].astype("<u4"), np.cumsum(counts)
 
     def _merge_long(self, symbols: list[int]) -> list[int]:
         """Merges by rank, leftmost first among equal ranks, over a linked list and a heap: n log n for long words."""
@@ -181,50 +192,40 @@ class Bpe:
 
     def _fill(self, missing: list[str]) -> None:
         """Encode pieces (normalised, without white space) that no cache holds."""
-        split: list[tuple[str, list[str]]] = []
-        unknown: dict[str, None] = {}
-        words = self.words
+        whole: list[tuple[str, bytes]] = []  # pieces of one word, as most are
+        split: list[tuple[str, list[bytes]]] = []
         for piece in missing:
-            if piece.isalpha() and NOT_LATIN.search(piece) is None:
-                found = [piece.encode().decode("latin-1")]
-            elif NOT_LATIN.search(piece) is None:
-                found = [w.encode().decode("latin-1") for w in WORDS.findall(piece)]
+            if not (piece.isascii() or NOT_LATIN.search(piece) is None):
+                split.append((piece, [bytes([ord(self.from_letter[c]) for c in w]) for w, _ in self.pre_tokenizer.pre_tokenize_str(piece)]))
+            elif piece.isalpha():
+                whole.append((piece, piece.encode()))
             else:
-                found = ["".join([self.from_letter[c] for c in w]) for w, _ in self.pre_tokenizer.pre_tokenize_str(piece)]
-            split.append((piece, found))
-            for w in found:
-                if w not in words:
-                    unknown[w] = None
+                split.append((piece, [w.encode() for w in WORDS.findall(piece)]))
+        words = self.words
+        needed = {w for _, w in whole}
+        needed.update(*[found for _, found in split])
+        unknown = [w for w in needed if w not in words]
+        if len(words) + len(unknown) > CACHE_ENTRIES:  # what this batch needs stays
+            self.words = words = {w: words[w] for w in needed if w in words}
         short = [w for w in unknown if len(w) <= LONG]
-        fresh: dict[str, tuple[bytes, str]] = {}
-        tokens = self.tokens
-        for w, ids in zip(short, self.encode_words([w.encode("latin-1") for w in short]), strict=True):
-            fresh[w] = ids.tobytes(), " ".join([tokens[i] for i in ids.tolist()])
+        ids, ends = self._encoded(short)
+        raw, shown, at = ids.tobytes(), [self.spaced[i] for i in ids.tolist()], 0
+        for w, end in zip(short, ends.tolist(), strict=True):
+            words[w] = raw[4 * at : 4 * end], "".join(shown[at:end])
+            at = end
         for w in unknown:
             if len(w) > LONG:
-                ids = self._encode_long(w)
-                fresh[w] = array("I", ids).tobytes(), " ".join([tokens[i] for i in ids])
-        if len(words) + len(fresh) > CACHE_ENTRIES:
-            self.words = words = {}
-            for _, found in split:  # what this batch needs and the old cache held
-                for w in found:
-                    if w not in fresh:
-                        fresh |= self._again(w)
-        words |= fresh
+                long = self._encode_long(w)
+                words[w] = array("I", long).tobytes(), "".join([self.spaced[i] for i in long])
+        pieces = self.pieces
+        for piece, w in whole:
+            pieces[piece] = words[w]
         for piece, found in split:
-            if len(found) == 1:
-                self.pieces[piece] = words[found[0]]
-            else:
-                got = [words[w] for w in found]
-                self.pieces[piece] = b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
-
-    def _again(self, w: str) -> dict[str, tuple[bytes, str]]:
-        ids = self._encode_long(w)
-        return {w: (array("I", ids).tobytes(), " ".join([self.tokens[i] for i in ids]))}
+            got = [words[w] for w in found]
+            pieces[piece] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), "".join([g[1] for g in got]))
 
-    def _encode_long(self, word: str) -> list[int]:
+    def _encode_long(self, data: bytes) -> list[int]:
         """One word: its fragments merged one by one, over a heap."""
-        data = word.encode("latin-1")
         cuts = [i for i in range(1, len(data)) if not self.inside_bytes[data[i - 1], data[i]]]
         ids: list[int] = []
         for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True):
@@ -254,20 +255,18 @@ class Bpe:
                 rows.append(parts)
             else:
                 rows.append(self._normalised(text))
-        pieces = self.pieces
-        missing = [p for p in {p for row in rows for p in row} if p and p not in pieces]
-        if len(pieces) + len(missing) > CACHE_ENTRIES:
-            self.pieces = pieces = {}
-            missing = [p for p in {p for row in rows for p in row} if p]
+        pieces, used = self.pieces, set().union(*rows)
+        missing = [p for p in used if p not in pieces]
+        if len(pieces) + len(missing) > CACHE_ENTRIES:  # what this batch needs stays: words that are often used always are among it
+            self.pieces = pieces = {p: pieces[p] for p in used if p in pieces} | {"": NOTHING}
         for p in missing:
             if p[0] == SPECIAL and p[1:] in self.special:
-                pieces[p] = array("I", [self.special[p[1:]]]).tobytes(), p[1:]
+                pieces[p] = array("I", [self.special[p[1:]]]).tobytes(), p
         self._fill([p for p in missing if p not in pieces])
         out = []
         for row in rows:
-            found = [pieces[p] for p in row if p]
-            found = [x for x in found if x[0]]
-            out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found])))
+            found = [pieces[p] for p in row]
+            out.append((b"".join(map(IDS, found)), "".join(map(DECODED, found))[1:]))
         return out
 
     def decode(self, ids: list[int]) -> str:

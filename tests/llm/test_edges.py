@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.test_llm import brute_features, frame, prose, rows_of
@@ -105,3 +106,25 @@ def test_neighbours_of_nothing_and_of_repeated_rows(spark):
     got = sorted(tuple(r) for r in ann.nearest(table, table, k=2).collect())
     assert got == [(1, 1, 2, 0.0), (1, 2, 3, 2**0.5), (2, 1, 1, 0.0), (2, 2, 1, 0.0), (3, 1, 1, 2**0.5), (3, 2, 1, 2**0.5)]
     assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
+
+
+def test_bpe_caches_keep_what_a_batch_uses_when_they_are_full(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from harrow.llm import bpe
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    made, library = bpe.Bpe(path), Tokenizer.from_file(path)
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 40)
+    merged = []
+    monkeypatch.setattr(made, "_encoded", lambda words, f=made._encoded: merged.extend(words) or f(words))
+    texts = [f"the same-{i} Words again  {chr(97 + i % 26) * 3}{i} it's あい <|endoftext|> {'x' * 60}{i}" for i in range(60)]
+    for at in range(0, 60, 4):
+        batch = [*texts[at : at + 4], "", None, " "]
+        for text, (ids, decoded) in zip(batch, made.encode_decode(batch), strict=True):
+            right = library.encode(text or "", add_special_tokens=False).ids
+            assert np.frombuffer(ids, "<u4").tolist() == right
+            assert decoded == library.decode(right, skip_special_tokens=False)
+    assert len(made.pieces) <= 80 and len(made.words) <= 80
+    assert merged.count(b"words") == merged.count(b"again") == 1
