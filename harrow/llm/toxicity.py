@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -77,21 +78,17 @@ class Vocabulary:
     def vector(self, text: str | None, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places of the text's terms in ascending order and their weights, of length one. own: the label of
         a document of the sample, whose own share in the counts is left out."""
-        word, begin = self.place.get, self.begins.get
-        known: dict[int, int] = {}
-        for w, n in Counter(WORD.findall((text or "").lower())).items():
-            at = word(w)
-            if at is not None:
-                known[at] = n
-            if len(w) > STEM:
-                at = begin(w[:STEM])
-                if at is not None:
-                    known[at] = known.get(at, 0) + n
-        if not known:
+        counts = Counter(WORD.findall((text or "").lower()))
+        found, stems = list(counts), [w[:STEM] if len(w) > STEM else "" for w in counts]  # no beginning is empty
+        n = np.fromiter(counts.values(), np.int64, len(found))
+        at = np.fromiter(chain(map(self.place.get, found, repeat(-1)), map(self.begins.get, stems, repeat(-1))), np.int64, 2 * len(found))
+        known = np.flatnonzero(at >= 0)
+        if not len(known):
             return np.empty(0, np.int64), np.empty(0)
-        at, tf = np.fromiter(known.keys(), np.int64, len(known)), np.fromiter(known.values(), np.int64, len(known))
-        order = np.argsort(at)
-        at, tf = at[order], tf[order]
+        known = known[np.argsort(at[known])]
+        at, tf = at[known], n[known % len(found)]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])  # words of one beginning count together
+        at, tf = at[first], np.add.reduceat(tf, first)
         if own is None:
             weight = self.weight[at]
         else:
@@ -116,7 +113,7 @@ class Index:
         term = np.concatenate([vectors[e][0] for e in order] or [np.empty(0, np.int32)]).astype(np.int32)
         weight = np.concatenate([vectors[e][1] for e in order] or [np.empty(0)])
         by = np.argsort(term, kind="stable")
-        self.example, self.weight = example[by], weight[by]
+        self.example, self.weight = example[by].astype(np.int64), weight[by]  # as bincount takes them
         self.edges = np.searchsorted(term[by], np.arange(n_terms + 1))
         common = np.flatnonzero(np.diff(self.edges) * COMMON > n)
         self.row = np.full(n_terms, -1, np.int64)
@@ -138,8 +135,11 @@ class Index:
         rare, rows, heavy = terms[rows < 0], rows[rows >= 0], weights[rows >= 0]
         starts = self.edges[rare]
         lengths = self.edges[rare + 1] - starts
-        at = np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum()) if len(rare) else np.empty(0, np.int64)
-        partial = np.bincount(self.example[at], np.repeat(weights[self.row[terms] < 0], lengths) * self.weight[at], self.n_blocks * BLOCK)
+        at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+        at += np.arange(len(at))
+        product = np.repeat(weights[self.row[terms] < 0], lengths)
+        product *= self.weight.take(at)
+        partial = np.bincount(self.example.take(at), product, self.n_blocks * BLOCK)
         bounds = partial.reshape(-1, BLOCK).max(1) + heavy @ self.block_max[rows]
         visit = np.argsort(-bounds, kind="stable")
         found_e, found_s, done = np.empty(0, np.int64), np.empty(0), 0
