@@ -10,6 +10,8 @@ from harrow.scratch import Scratch
 
 #: As many grams of parts are sent to every task (a number of eight bytes each); more meet the holders' in a shuffle.
 BROADCAST_GRAMS = 2_000_000
+#: The longest grams that strings are looked up by.
+LONGEST_GRAM = 32
 
 
 def label_table(catalog: DataFrame, id_col: str, labels: Column) -> DataFrame:
@@ -31,8 +33,8 @@ def best_match(values: DataFrame, value_col: str, labels: DataFrame, shortest: i
     characters or more): 2000 + |key| - 2 gap; the key holds the value: 1000 + |value| - 3 gap;
     ties to the earlier label (ordinal, id). Values under three characters match nothing.
 
-    Containment has no equi-key, so pairs meet on `shortest`-character grams: a string is looked up
-    by its rarest gram (see _held_pairs). That is a hash join in both directions, never a product; gram
+    Containment has no equi-key, so pairs meet on grams: a string is looked up
+    by its rarest gram (see _met_pairs). That is a hash join in both directions, never a product; gram
     rows hold hashes of the strings, which come back for the pairs that met.
 
     `generic` names a boolean column of values: those that only name a kind of goods. They match nothing but groups, labels whose
@@ -65,18 +67,32 @@ def best_match(values: DataFrame, value_col: str, labels: DataFrame, shortest: i
     return best.select(*rows, "b.*")
 
 
-def _held_pairs(holders: DataFrame, holder: str, held: DataFrame, part: str, shortest: int) -> DataFrame:
-    """Pairs (holder, part) of distinct strings where the holder contains the part, of `shortest` characters or more.
+def _gram_size(text: Column) -> Column:
+    """The largest power of two that isn't beyond the text's length: the more there is of a string, the fewer others share its grams."""
+    out = F.lit(1)
+    for n in range(1, LONGEST_GRAM.bit_length()):
+        out = F.when(F.length(text) >= 1 << n, 1 << n).otherwise(out)
+    return out
+
+
+def _met_pairs(holders: DataFrame, holder: str, held: DataFrame, part: str, shortest: int) -> DataFrame:
+    """Pairs (holder, part) that share the part's rarest gram; those where the holder contains the part are among them.
 
     A part is looked up by the one of its grams that the fewest holders have, by count; a part with a gram that none has is held by none.
-    So a gram that all parts begin with, or that all holders have, brings no pairs together unless a part has nothing rarer.
+    So a gram that all parts begin with, or that all holders have, brings no pairs together unless a part has nothing rarer. Grams are as
+    long as the part allows (see _gram_size), so parts of any length are looked up, and long ones not by a few characters that many share.
     """
     mark = lambda c: F.xxhash64(c)
     scratch = Scratch(holders.sparkSession, "grams")
-    grams = holders.where(F.length(holder) >= shortest).select(mark(F.col(holder)).alias("_h"), F.explode(_grams(F.col(holder), shortest)).alias("_g")).select("_h", mark(F.col("_g")).alias("_g"))
-    own = held.where(F.length(part) >= shortest).select(mark(F.col(part)).alias("_p"), F.explode(_grams(F.col(part), shortest)).alias("_g")).select("_p", mark(F.col("_g")).alias("_g"))
-    own = scratch.keep(own, "parts")
+    parts = held.where(F.length(part) >= max(shortest, 1)).select(F.col(part).alias("_s"), _gram_size(F.col(part)).alias("_size"))
+    sizes = sorted(r["_size"] for r in parts.select("_size").distinct().collect())
+    none = F.array().cast("array<string>")
+    own = none
+    for n in sizes:
+        own = F.when(F.col("_size") == n, _grams(F.col("_s"), n)).otherwise(own)
+    own = scratch.keep(parts.select(mark(F.col("_s")).alias("_p"), F.explode(own).alias("_g")).select("_p", mark(F.col("_g")).alias("_g")), "parts")
     # of the holders' grams only those that a part has are written: a gram for each character would be many times the texts
+    grams = holders.select(mark(F.col(holder)).alias("_h"), F.explode(F.concat(none, *[_grams(F.col(holder), n) for n in sizes])).alias("_g")).select("_h", mark(F.col("_g")).alias("_g"))
     looked = own.select("_g").distinct()
     looked = F.broadcast(looked) if looked.count() <= BROADCAST_GRAMS else looked
     grams = scratch.keep(grams.join(looked, "_g", "left_semi").select("_h", "_g"), "holders")
@@ -84,13 +100,18 @@ def _held_pairs(holders: DataFrame, holder: str, held: DataFrame, part: str, sho
     rarest = counted.groupBy("_p").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_g")).alias("_r")).where("_r._n > 0")
     met = grams.join(rarest.select("_p", F.col("_r._g").alias("_g")), "_g").select("_h", "_p").distinct()
     both = met.join(holders.withColumn("_h", mark(F.col(holder))), "_h").join(held.withColumn("_p", mark(F.col(part))), "_p")
-    return both.where(F.contains(F.col(holder), F.col(part))).select(holder, part)
+    return both.select(holder, part)
+
+
+def _held_pairs(holders: DataFrame, holder: str, held: DataFrame, part: str, shortest: int = 1) -> DataFrame:
+    """Pairs (holder, part) of distinct strings where the holder contains the part, of `shortest` characters or more."""
+    return _met_pairs(holders, holder, held, part, shortest).where(F.contains(F.col(holder), F.col(part)))
 
 
-def longest_label(texts: DataFrame, text_col: str, labels: DataFrame, shortest: int = 3) -> DataFrame:
-    """texts with the id of the longest label (ties: smaller id) that their text holds; null without one. labels: id, label.
+def longest_label(texts: DataFrame, text_col: str, labels: DataFrame, shortest: int = 1) -> DataFrame:
+    """texts with the id of the longest label (ties: smaller id) that their text holds; null without one. labels: id, label; empty ones match nothing.
 
-    Gram rows hold a hash of the text, not the text; equal texts are looked up once.
+    Labels of any length count, unless `shortest` says otherwise. Gram rows hold a hash of the text, not the text; equal texts are looked up once.
     """
     once = texts.select(F.col(text_col).alias("_t")).where("_t is not null").distinct()
     names = labels.groupBy("label").agg(F.min("id").alias("id"))

@@ -1,9 +1,9 @@
 """Labels in texts, all at once, and what follows for shops: prefecture, pick-up or delivery, area.
 
 A label table is looked up in texts by an Aho-Corasick automaton: one pass over each text finds every
-label in it, whatever their number. The table is measured first; up to `most_bytes` it goes out to
-the tasks, where each Python worker builds its automaton once. A larger table is looked up by the
-gram join of `match`, which broadcasts nothing.
+label in it, whatever their number. The table is measured first; if its automaton takes up to
+`most_bytes` it goes out to the tasks, where each Python worker builds it once. A larger table is
+looked up by the gram join of `match`, whose rows are those grams of the texts that a label has.
 """
 
 from __future__ import annotations
@@ -22,58 +22,81 @@ from harrow.operators import vocabulary as words
 #: Automata of this Python worker, by the names of their tables; as many as one plan is likely to use.
 _BUILT: dict[str, object] = {}
 _KEPT = 4
+#: Bytes that a node of an automaton and a label beside its characters take in a worker, and labels so short that their shared beginnings are counted.
+_NODE, _LABEL, _SHORT = 80, 32, 256
 
 
 def _automaton(name: str, labels):
-    """The automaton of a broadcast list of (label, rank, id), built once in a worker; the oldest table's goes."""
+    """The automaton of a broadcast table of (label, id), best first, with its columns; built once in a worker, the oldest table's goes.
+    It holds numbers of rows, so a label costs its nodes and no objects."""
     import ahocorasick
+    import pyarrow as pa
 
     if name not in _BUILT:
-        made = ahocorasick.Automaton()
-        for label, rank, ident in labels.value:
-            made.add_word(label, (rank, ident, label))
+        rows = pa.ipc.open_stream(labels.value).read_all()
+        made, at = ahocorasick.Automaton(ahocorasick.STORE_INTS), 0
+        for batch in rows.to_batches(max_chunksize=10_000):
+            for label in batch.column("label").to_pylist():
+                made.add_word(label, at)
+                at += 1
         made.make_automaton()
         while len(_BUILT) >= _KEPT:
             del _BUILT[next(iter(_BUILT))]
-        _BUILT[name] = made
+        _BUILT[name] = made, rows["label"].combine_chunks(), rows["id"].combine_chunks()
     return _BUILT[name]
 
 
 def _finder(labels):
-    """A pandas UDF: the best label in each text by (rank, id), or nulls."""
+    """A pandas UDF: the first of the table's labels that each text holds, or nulls."""
     kind = T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.StringType())])
     name = uuid.uuid4().hex
 
     @F.pandas_udf(kind)
     def find(texts: pd.Series) -> pd.DataFrame:
-        made = _automaton(name, labels)
+        made, names, ids = _automaton(name, labels)
         found = []
         for text in texts:
-            best = min((hit for _, hit in made.iter(text)), default=None) if text else None
-            found.append((None, None) if best is None else (best[1], best[2]))
+            best = min((row for _, row in made.iter(text)), default=None) if text else None
+            found.append((None, None) if best is None else (ids[best].as_py(), names[best].as_py()))
         return pd.DataFrame(found, columns=["id", "label"]).astype({"id": "Int64"})
 
     return find
 
 
-def best_label(texts: DataFrame, text_col: str, labels: DataFrame, most_bytes: int = 64 << 20, shortest: int = 3) -> DataFrame:
+def _automaton_bytes(labels: DataFrame) -> int:
+    """What an automaton of distinct labels takes in a worker. It has a node for each distinct beginning of a label; those of long labels count as if none were shared."""
+    told = labels.agg(F.count("*").alias("n"), F.sum(F.octet_length("label")).alias("octets"), F.sum(F.length("label")).alias("nodes"), F.max(F.length("label")).alias("longest")).first()
+    nodes = told["nodes"] or 0
+    if nodes and told["longest"] <= _SHORT:
+        begins = labels.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("label")), lambda i: F.xxhash64(F.left("label", i)))).alias("b"))
+        nodes = min(nodes, begins.agg(F.approx_count_distinct("b", 0.02).alias("b")).first()["b"])
+    return nodes * _NODE + (told["octets"] or 0) + told["n"] * _LABEL
+
+
+def best_label(texts: DataFrame, text_col: str, labels: DataFrame, most_bytes: int = 160 << 20) -> DataFrame:
     """texts with `id` and `label` of the best label that their text holds, null without one.
 
     labels: id (long), label, and optionally rank (smaller is better); without ranks the longest label is the best. Ties fall to
-    the smaller id. Empty labels match nothing; of equal labels the best rank counts, then the smallest id. Tables beyond
-    `most_bytes` are joined on grams, for labels of `shortest` characters or more, the longest being the best: ranks need the automaton.
+    the smaller id. Empty labels match nothing; of equal labels the best rank counts, then the smallest id. Tables whose automaton
+    takes over `most_bytes` of a worker are joined on grams, the longest label being the best: ranks need the automaton.
     """
+    import pyarrow as pa
+
     spark = texts.sparkSession
     ranked = labels.select(F.col("id").cast("long").alias("id"), "label", F.col("rank").cast("long") if "rank" in labels.columns else (-F.length("label")).cast("long").alias("rank"))
     once = ranked.where("label != ''").groupBy("label").agg(F.min(F.struct("rank", "id")).alias("best")).select("label", "best.rank", "best.id")
-    size = once.agg(F.sum(F.octet_length("label") + 64).alias("b")).first()["b"] or 0
+    size = _automaton_bytes(once)
     if size > most_bytes:
         if "rank" in labels.columns:
             raise ValueError(f"ranked labels of {size} bytes are beyond {most_bytes}")
-        return match.longest_label(texts, text_col, once.select("id", "label"), shortest)
+        return match.longest_label(texts, text_col, once.select("id", "label"))
     if not size:
         return texts.withColumns({"id": F.lit(None).cast("long"), "label": F.lit(None).cast("string")})
-    known = spark.sparkContext.broadcast([(r["label"], r["rank"], r["id"]) for r in once.collect()])
+    rows = once.orderBy("rank", "id", "label").select("label", "id").toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    known = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
     return texts.withColumn("_found", _finder(known)(F.col(text_col))).select(*texts.columns, F.col("_found.id").alias("id"), F.col("_found.label").alias("label"))
 
 

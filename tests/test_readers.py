@@ -129,3 +129,18 @@ def test_readings_of_nothing(spark):
     rows = spark.createDataFrame([(0, None, None), (1, "", "ご案内"), (2, "このフォームは回答の受け付けを終了しました", "")], "k int, text string, title string")
     got = {r["k"]: (r["reading"]["shop"], r["reading"]["product"], r["reading"]["missing"], r["reading"]["review"], r["status"]) for r in reader.read_forms(rows, base=base()).collect()}
     assert got[0][:2] == ("", "") and got[0][2] == ["店舗名", "商品名", "応募締切", "結果発表"] and got[0][3] and got[2][4] == "closed" and got[1][4] == "open"
+
+
+def test_names_that_end_in_numbers_meet_few_texts(spark):
+    """Names that differ by a number at their end alone: pairs of digits, which many share, bring none together, and beginnings that are shared take no room twice."""
+    from harrow.operators import match
+
+    names = [(i, f"拡張パック ソラ{i * 7919 % 100000:05d}") for i in range(500)]
+    labels = spark.createDataFrame(names, "id long, label string")
+    rows = spark.createDataFrame([(i, f"抽選\n{n} 1BOX") for i, n in names], "k long, t string")
+    assert match._met_pairs(rows.select("t"), "t", labels.select("label"), "label", 2).count() == 500
+    size = places._automaton_bytes(labels)
+    assert size < 500 * 14 * places._NODE / 2
+    for most in (size, 0):
+        got = places.best_label(rows, "t", labels, most_bytes=most).collect()
+        assert len(got) == 500 and all(r["id"] == r["k"] and r["label"] == names[r["k"]][1] for r in got)
