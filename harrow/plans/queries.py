@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import text as tx
 from harrow.functions import urls
-from harrow.operators import discover, gate, health, match, merge, parse, products, rank, registry, state
+from harrow.operators import discover, gate, health, match, merge, parse, places, products, rank, registry, state
 from harrow.scratch import Scratch
 from harrow.session import table
 
@@ -258,12 +258,16 @@ def best_match(spark, sf):
 
 @query(
     """select doc_id, id, label from (select d.doc_id, b.item_id as id, b.text as label, row_number() over (partition by d.doc_id order by length(b.text) desc, b.item_id) as r
-    from documents d left join benchmark b on length(b.text) >= 24 and contains(d.text, b.text)) where r = 1"""
+    from documents d left join benchmark b on contains(d.text, b.text)) where r = 1"""
 )
 def longest_label(spark, sf):
     labels = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("label"))
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return match.longest_label(docs, "text", labels, shortest=24).select("doc_id", "id", "label")
+    # every text holds the empty label, which lookups leave out
+    empty = labels.agg(F.min(F.when(F.col("label") == "", F.col("id"))).alias("_empty"))
+    found = places.best_label(docs, "text", labels).crossJoin(F.broadcast(empty))
+    only = F.col("id").isNull() & F.col("text").isNotNull() & F.col("_empty").isNotNull()
+    return found.select("doc_id", F.when(only, F.col("_empty")).otherwise(F.col("id")).alias("id"), F.when(only, "").otherwise(F.col("label")).alias("label"))
 
 
 @query(

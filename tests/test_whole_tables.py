@@ -91,3 +91,30 @@ def test_grams_that_no_label_has_are_not_written(spark, monkeypatch):
         monkeypatch.setattr(match, "BROADCAST_GRAMS", most)
         got = {r["doc_id"]: r["id"] for r in match.longest_label(texts, "t", labels, 4).select("doc_id", "id").collect()}
         assert got == {1: 7, 2: None} and written["holders"] == 3
+
+
+def test_longest_label_has_no_shortest_label(spark, tmp_path):
+    """Labels of any length count, the empty one too, as in the query's SQL."""
+    import duckdb
+
+    from harrow.plans.queries import ORACLES
+
+    labels = {1: "a passage of more than thirty-two characters, whole", 2: "of", 3: "z", 4: "short one", 5: "", 6: "", 7: None, 8: "short one"}
+    texts = {1: f"it has {labels[1]}.", 2: "a short one of these", 3: "of it", 4: "nothing", 5: "", 6: None, 7: "fizz"}
+    put(spark, tmp_path, "benchmark", list(labels.items()), "item_id long, text string")
+    put(spark, tmp_path, "documents", list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["id"], r["label"]) for r in QUERIES["longest_label"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, labels[1]), 2: (4, "short one"), 3: (2, "of"), 4: (5, ""), 5: (5, ""), 6: (None, None), 7: (3, "z")}
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet{'/*.parquet' if (tmp_path / f'{name}.parquet').is_dir() else ''}'")
+    assert {d: (i, t) for d, i, t in con.execute(ORACLES["longest_label"]).fetchall()} == got
+
+
+def test_labels_of_any_length_by_grams(spark):
+    from harrow.operators import match
+
+    texts = spark.createDataFrame([(1, "xaby" + "q" * 40), (2, "b"), (3, "cab"), (4, ""), (5, None)], "i long, t string")
+    labels = spark.createDataFrame([(1, "b"), (2, "ab"), (3, "q" * 33), (4, "q" * 41), (5, "")], "id long, label string")
+    got = {r["i"]: r["id"] for r in match.longest_label(texts, "t", labels).collect()}
+    assert got == {1: 3, 2: 1, 3: 2, 4: None, 5: None}
