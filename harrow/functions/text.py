@@ -128,7 +128,7 @@ def meta_content(html: Column, name: str) -> Column:
     key = rf'(?:name|property)=["\']{name}["\']'
     first = F.regexp_extract(html, rf'(?is)<meta\b[^>]*{key}[^>]*content=["\']([^"\']*)["\']', 1)
     second = F.regexp_extract(html, rf'(?is)<meta\b[^>]*content=["\']([^"\']*)["\'][^>]*{key}', 1)
-    return decode_entities(F.when(first != "", first).otherwise(second))
+    return decode_entities(let(first, lambda f: F.when(f != "", f).otherwise(second)))
 
 
 def tag_text(html: Column, tag: str) -> Column:
@@ -277,8 +277,8 @@ def repaired_numbers(text: Column, letters: str = "OoIl|", digits: str = "00111"
 
 
 def non_empty(*cols: Column) -> Column:
-    """The first that is neither null nor empty, else the empty string."""
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
+    """The first that is neither null nor empty, else the empty string. Each is worked out once, and only if those before it gave nothing; Spark writes what nullif is given twice."""
+    return F.coalesce(*[let(c, lambda v: F.when(v != "", v)) for c in cols], F.lit(""))
 
 
 def to_base64(text: Column) -> Column:

@@ -34,3 +34,20 @@ def test_only_large_pages_have_their_nodes_counted(spark, monkeypatch):
     got = sorted((r["k"] or 0, r["path"], r["value"]) for r in walked.collect())
     assert got == sorted([(1, "$.a[0]", "1"), (1, "$.a[1]", "2"), *[(k, f"$[{i}]", str(i)) for k in (0, 2) for i in range(20)]])
     assert {"level-1", "level-2", "counted-1"} <= set(kept)
+
+
+def test_steps_of_lines_and_names_are_written_once(spark):
+    """A label is looked for once in a period's lines, a name weighed once, a value tried once."""
+    from pyspark.sql import functions as F
+
+    from harrow.functions import text as tx
+    from harrow.operators import notices
+
+    rows = spark.createDataFrame([(["a", "label x", "b", "stop"], "t")], "lines array<string>, title string")
+    told = rows.select(
+        notices.labelled_lines(F.col("lines"), "^label", "^stop", 5).alias("l"), notices.labelled_lines(F.col("lines"), "^none", "^stop", 5).alias("m"),
+        tx.non_empty(F.lit(None).cast("string"), F.regexp_extract("title", "(z)", 1), F.regexp_extract("title", "(t)", 1)).alias("n"),
+    )
+    assert tuple(told.first()) == (["label x", "b"], [], "t")
+    text = told._jdf.queryExecution().optimizedPlan().toString()
+    assert [text.count(p) for p in ("^label", "(z)", "(t)")] == [1, 1, 1]
